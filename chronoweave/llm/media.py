@@ -107,7 +107,7 @@ def read_png(media: bytes) -> np.ndarray:
     while at + 12 <= len(media):
         size = struct.unpack_from(">I", media, at)[0]
         kind, data = media[at + 4 : at + 8], media[at + 8 : at + 8 + size]
-        if len(data) < size or zlib.crc32(media[at + 4 : at + 8 + size]) != struct.unpack_from(">I", media, at + 8 + size)[0]:
+        if at + 12 + size > len(media) or zlib.crc32(media[at + 4 : at + 8 + size]) != struct.unpack_from(">I", media, at + 8 + size)[0]:
             raise ValueError(f"damaged chunk {kind!r}")
         at += 12 + size
         if kind == b"IHDR":
