@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, secrets, urls
+from . import bpe, chat, langid, media, secrets, urls
 from ._base import documents
 
 QUERIES: dict = {}
@@ -99,3 +99,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by the classifier."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score", "words")
+
+
+def fold(modulus: int, held: int):
+    """held_out by the checksum of the id as text; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(False))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.fit(docs, ~fold(4, 2))
+    return langid.identify(docs, model).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
