@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import _words, langid, queries
+from chronoweave.llm import _words, langid, queries, toxicity
 
 
 def test_words_and_hashes():
@@ -71,3 +71,81 @@ def test_scripts():
     starts, _, _ = _words.find(data, np.array([0, len(raw)]), _words.NO_LETTERS)
     assert [langid._NAMES[i] for i in langid.scripts(data, starts)] == ["latin", "greek", "cyrillic", "hebrew", "hangul", "han", "thai"]
     assert pa.types.is_list(langid.SPANS)
+
+
+def made_up(rng, n):
+    """Texts of which every other one has an unwanted word somewhere."""
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(400)]
+    texts, y = [], []
+    for i in range(n):
+        own = list(rng.choice(words, rng.integers(1, 200)))
+        if i % 2:
+            own.insert(int(rng.integers(0, len(own) + 1)), ["zorrnak", "zorrnaku", "vlixxor"][i // 2 % 3])
+        texts.append(" ".join(own))
+        y.append(i % 2)
+    return texts, np.array(y)
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(1)
+    texts = toxicity.Texts(*toxicity.utf8(pa.array(["one two three two one", "four five", "six " * 40])))
+    row, first, size = texts.windows()
+    y = np.arange(len(row)) % 2
+    w = {k: x.astype(np.float64) for k, x in toxicity.start_weights(rng).items()}
+    w["b"] += 0.1
+    x = toxicity.inputs(w, texts, np.zeros(0, np.uint64))
+    index = toxicity._index(texts, first, size)
+
+    def loss():
+        gates = np.stack([x @ w["wx"][k] + w["b"][k] for k in range(2)])
+        z = toxicity.forward(w, gates, index, size).astype(float)
+        return float((np.logaddexp(0, z) - y * z).sum()), gates
+
+    kept = {}
+    z = toxicity.forward(w, loss()[1], index, size, kept)
+    grads, d_gates = toxicity.backward(w, kept, size, 1 / (1 + np.exp(-z)) - y)
+    d_gates = np.stack([d_gates[0], d_gates[1][::-1]])
+    grads["wx"] = np.stack([x[index].reshape(-1, x.shape[1]).T @ d_gates[k].reshape(-1, d_gates.shape[-1]) for k in range(2)])
+    for name in ("w", "v", "wa", "wh", "wx"):
+        for place in list(np.ndindex(w[name].shape))[:: max(1, w[name].size // 6)]:
+            old, step = w[name][place], 1e-2
+            w[name][place] = old + step
+            up = loss()[0]
+            w[name][place] = old - step
+            down = loss()[0]
+            w[name][place] = old
+            assert (up - down) / (2 * step) == pytest.approx(grads[name][place], abs=2e-3, rel=2e-2), (name, place)
+
+
+def test_toxicity_on_held_out_texts():
+    rng = np.random.default_rng(4)
+    texts, y = made_up(rng, 500)
+    model = toxicity.fit(texts[:400], y[:400])
+    score, _ = toxicity.score_texts(model, *toxicity.utf8(pa.array(texts[400:])))
+    assert ((score >= 0.5) == (y[400:] == 1)).mean() > 0.95
+    # one unwanted word anywhere in a long text is found, as all windows are scored
+    clean = " ".join(t for t, k in zip(texts[:200], y[:200], strict=True) if not k)
+    parts = clean.split()
+    planted = [" ".join([*parts[:at], "zorrnak", *parts[at:]]) for at in (0, len(parts) // 2, len(parts))]
+    score, many = toxicity.score_texts(model, *toxicity.utf8(pa.array([clean, *planted])))
+    assert (score[1:] > score[0]).all() and many[0] == 1 + -(-(len(parts) - toxicity.WINDOW) // toxicity.STRIDE)
+
+
+def test_toxicity_rows(spark):
+    texts, y = made_up(np.random.default_rng(6), 120)
+    df = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([(i, int(k), 1) for i, k in enumerate(y)] + [(None, 1, 1), (3, None, 1), (4, 0, 1)], "doc_id long, toxic int, text int")
+    model = toxicity.learn(df, labels)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "--  12"), (None, texts[0]), (5, texts[0]), (5, texts[0]), (6, texts[0] * 3000)], "doc_id long, text string")
+    rows = toxicity.score(odd, model).collect()
+    assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (1, 2, 3)}) == 1 and len({r.score for r in rows if r.doc_id in (None, 5)}) == 1
+    assert toxicity.score(odd.limit(0), model).count() == 0
+    none = toxicity.learn(df, labels.limit(0))
+    assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
+
+
+def test_toxicity_query(spark, small):
+    rows = queries.op2_toxicity(spark, small).collect()
+    assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
