@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, packing, secrets, toxicity, urls
+from . import ann, bpe, chat, langid, media, packing, secrets, toxicity, urls
 from ._base import documents
 
 QUERIES: dict = {}
@@ -128,3 +128,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, labels.where(~fold(5, 0)))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for every row whose id is divisible by 100."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.search(ann.build_index(rows), rows.where(F.col("vec_id") % 100 == 0))
