@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, media, packing, secrets, toxicity, urls
+from . import ann, bpe, chat, jaccard, langid, media, packing, secrets, toxicity, urls
 from ._base import documents
 
 QUERIES: dict = {}
@@ -19,6 +19,12 @@ def query(f):
     return f
 
 
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and the group its links make."""
+    return jaccard.link(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the bytes they decode to, as digests."""
