@@ -68,3 +68,17 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """One record batch of the given schema from arrays or lists."""
     made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
+
+
+def passing(df: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows whose text passes, with all their columns and no shuffle. judge: two columns (a row's number in the
+    batch, text) -> one truth value for each."""
+    place = df.columns.index(text_col)
+
+    def run(batches):
+        for b in pieces(batches, place, 4 << 20):
+            text = b.column(place)
+            fine = judge(pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), text], names=["doc_id", "text"]))
+            yield b.filter(pa.array(np.asarray(fine, bool)))
+
+    return df.mapInArrow(run, df.schema)

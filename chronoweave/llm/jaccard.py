@@ -9,13 +9,14 @@ Two sets link if ``100 * both >= PERCENT * either``. The join is exact up to col
    many documents share make no buckets. Buckets with one set fall away, those with the same sets count once.
 3. Every set in a bucket gets a count vector: its shingles hashed into GROUPS groups. The sum over groups of the
    smaller counts bounds the intersection from above.
-4. First, each set is compared with the smallest of the bucket mates it shares most buckets with. That joins most of a group of
-   near copies at a pair for each set, and buckets whose sets are all joined are done.
+4. First, each set is verified with one other: of the first sets of its buckets the one with the highest bound. That
+   joins most of a group of near copies at one pair for each set, and buckets whose sets are all joined are done.
 5. In the others, count vectors are points of an R-tree (packed by size and leading groups). A query set goes down
    to the nodes whose upper corners leave the bound high enough, and the pairs that pass are candidates. Buckets of
    more than BLOCK sets are dealt to blocks, and all pairs of blocks are searched.
-6. Candidates are verified on the shingles themselves, the best of each set and group first; pairs that have been
-   joined meanwhile need no verification. All that are left are verified, so no link between groups is lost.
+6. Candidates are verified on the shingles themselves. One link joins two groups, so of each two groups that meet
+   the candidate of the highest bound comes first; where it fails, the next 8, then 64, and so on until the groups are
+   joined or no candidate is left. So no link between groups is lost.
 
 Defined cases: a null or empty text, or one of blanks alone, has no shingles and no links; fewer than SIZE words are
 one shingle; rows with a null id get their n_shingles and no component; rows that repeat an id are one document and
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window
 from . import _words
 from ._base import batch, binary, keep, pieces, utf8
 
-SIZE, PERCENT, GROUPS, BLOCK, FAN, FREQUENT, STEP, FLUSH = 5, 75, 128, 256, 8, 1 << 18, 4 << 20, 1 << 21
+SIZE, PERCENT, GROUPS, BLOCK, FAN, FREQUENT, STEP, FLUSH = 5, 75, 128, 256, 8, 1 << 20, 4 << 20, 1 << 22
 #: Bits of the map that spares documents in no bucket a second look; false hits cost time alone.
 MAP_BITS = 1 << 25
 _FACTOR = _words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -133,7 +134,8 @@ class RTree:
 
 PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 PREFIX = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-FEATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("found", pa.binary())])
+POINT = pa.schema([("doc_id", pa.int64()), ("counts", pa.binary())])
+SET = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
 
 
 def _profile(batches):
@@ -190,20 +192,24 @@ def _prefixes(frequent: np.ndarray, many: np.ndarray) -> Callable:
     return run
 
 
-def _features(bits: np.ndarray) -> Callable:
-    """Size, count vector and shingles of the documents whose bit is set."""
+def _of_marked(texts: DataFrame, ids: DataFrame, schema: pa.Schema, make: Callable) -> DataFrame:
+    """doc_id and ``make(shingles)`` (binary) for the documents of some ids, and a few more; kept.
+
+    The ids are told by a map of MAP_BITS, so that no text is shuffled."""
+    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            spot = (_words.mix(ids.view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
-            there = (bits[spot >> 3] >> (spot & 7)) & 1
-            for p in pieces([b.filter(pa.array(there == 1))], 1, STEP):
+            for p in pieces([b.filter(pa.array(_set(bits.value, b.column(0).to_numpy())))], 1, STEP):
                 found, until = shingles(*utf8(p.column(1)))
-                own = [found[until[i] : until[i + 1]] for i in range(p.num_rows)]
-                yield batch(FEATURE, p.column(0), np.diff(until), binary([vector(x).tobytes() for x in own]), binary([x.tobytes() for x in own]))
+                yield batch(schema, p.column(0), binary([make(found[until[i] : until[i + 1]]).tobytes() for i in range(p.num_rows)]))
+
+    name = schema.names[1]
+    return keep(texts.mapInArrow(run, f"doc_id long, {name} binary"), name)
 
-    return run
+
+def _spots(ids: np.ndarray) -> np.ndarray:
+    return (_words.mix(ids.view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -211,8 +217,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
     def spots(batches):
         for b in batches:
-            spot = _words.mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(MAP_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(spot.astype(np.int64)))], names=["spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_spots(b.column(0).to_numpy())))], names=["spot"])
 
     marked = ids.mapInArrow(spots, "spot long").select((F.col("spot") / 32768).cast("long").alias("part"), F.pmod("spot", F.lit(32768)).alias("bit"))
     bits = np.zeros(MAP_BITS // 8, np.uint8)
@@ -221,28 +226,49 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def verify(pairs: DataFrame, features: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (x, y) those that link, by the bound of their count vectors and then by the sets themselves."""
-    one = features.select(F.col("doc_id").alias("x"), F.col("counts").alias("cx"), F.col("found").alias("fx"))
-    two = features.select(F.col("doc_id").alias("y"), F.col("counts").alias("cy"), F.col("found").alias("fy"))
-    both = pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "cx", "cy", "fx", "fy")
+def _set(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the ids' bits are set."""
+    spot = _spots(ids)
+    return (bits[spot >> 3] >> (spot & 7)) & 1 == 1
+
+
+def _both(pairs: DataFrame, each: DataFrame, name: str) -> DataFrame:
+    """Adds a column of either document: name + "x" and name + "y"."""
+    for k in "xy":
+        pairs = pairs.join(each.select(F.col("doc_id").alias(k), F.col(name).alias(name + k)), k)
+    return pairs.select("x", "y", f"{name}x", f"{name}y")
+
+
+CANDIDATE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bound", pa.int64())])
+
+
+def bounded(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """x, y, bound: the pairs that their count vectors don't rule out, with the sum of coordinate minima."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                cx, cy = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int32).reshape(b.num_rows, -1) for k in (2, 3))
+                most = np.minimum(cx, cy).sum(1)
+                fine = pa.array((100 + percent) * most >= needed(cx.sum(1), cy.sum(1), percent))
+                yield batch(CANDIDATE, b.column(0), b.column(1), most).filter(fine)
+
+    return _both(pairs, points, "counts").mapInArrow(run, "x long, y long, bound long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (x, y) those that link, by the sets themselves."""
 
     def run(batches):
         for b in batches:
             fine = []
-            for cx, cy, fx, fy in zip(*[b.column(k) for k in range(2, 6)], strict=True):
-                cx, cy, fx, fy = (np.frombuffer(v.as_buffer(), t) for v, t in ((cx, np.int32), (cy, np.int32), (fx, np.uint64), (fy, np.uint64)))
-                least = needed(len(fx), len(fy), percent)
-                if (100 + percent) * int(np.minimum(cx, cy).sum()) < least:
-                    fine.append(False)
-                    continue
-                if len(fx) > len(fy):
-                    fx, fy = fy, fx
+            for fx, fy in zip(b.column(2), b.column(3), strict=True):
+                fx, fy = sorted((np.frombuffer(v.as_buffer(), np.uint64) for v in (fx, fy)), key=len)
                 place = np.minimum(np.searchsorted(fy, fx), len(fy) - 1)
-                fine.append((100 + percent) * int((fy[place] == fx).sum()) >= least)
+                fine.append((100 + percent) * int((fy[place] == fx).sum()) >= needed(len(fx), len(fy), percent))
             yield b.select(["x", "y"]).filter(pa.array(fine, pa.bool_()))
 
-    return both.mapInArrow(run, "x long, y long").distinct()
+    return _both(pairs, sets, "found").mapInArrow(run, "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,11 +310,13 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, vertex: str, name: str)
     return rows.join(labels.select(F.col("v").alias(vertex), F.col("label").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
-CANDIDATE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bound", pa.int64())])
+OFFER = pa.schema([*CANDIDATE, ("more", pa.bool_())])
 
 
-def _tree_pairs(batches):
-    """Candidates of sorted groups (key, side, doc_id, label, counts); a group may go on in the next batch."""
+def _tree_pairs(batches, many: int):
+    """Candidates of sorted groups (key, side, doc_id, label, counts); a group may go on in the next batch.
+
+    Of each pair of labels the ``many`` with the highest bounds, and whether there are more."""
 
     def pairs(rows: pa.Table):
         ids, label, side = (rows[k].to_numpy() for k in ("doc_id", "label", "side"))
@@ -300,8 +328,15 @@ def _tree_pairs(batches):
         fine = label[x] != label[y]
         if other is own:
             fine &= ids[x] < ids[y]
-        x, y, bound = x[fine], y[fine], bound[fine]
-        return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), bound.astype(np.int64)
+        x, y, bound = x[fine], y[fine], bound[fine].astype(np.int64)
+        one, two = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        order = np.lexsort((two, one, -bound, high, low))
+        low, high = low[order], high[order]
+        cuts = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(order) else np.zeros(0, np.int64)
+        size = np.diff(np.append(cuts, len(order)))
+        kept = np.arange(len(order)) - np.repeat(cuts, size) < many
+        return one[order][kept], two[order][kept], bound[order][kept], np.repeat(size > many, size)[kept]
 
     held = None
     for b in batches:
@@ -313,21 +348,28 @@ def _tree_pairs(batches):
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         held = table.slice(int(cuts[-2])).combine_chunks()
         for i, j in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield batch(CANDIDATE, *pairs(table.slice(int(i), int(j - i))))
+            yield batch(OFFER, *pairs(table.slice(int(i), int(j - i))))
     if held is not None:
-        yield batch(CANDIDATE, *pairs(held))
+        yield batch(OFFER, *pairs(held))
+
+
+def candidates(buckets: DataFrame, points: DataFrame, labels: DataFrame | None, many: int) -> DataFrame:
+    """x, y, more: pairs of different groups that meet in a bucket and that its R-tree can't rule out.
 
+    One link joins two groups, so of each two groups that meet in a block of a bucket only the ``many`` pairs of the
+    highest bounds are told, and whether there are more."""
+
+    def run(batches):
+        return _tree_pairs(batches, many)
 
-def candidates(buckets: DataFrame, features: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """x, y, bound: pairs of different groups that meet in a bucket and that its R-tree can't rule out."""
     rows = _labelled(buckets.select("bucket", "doc_id").distinct(), labels, "doc_id", "label")
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "size")
     open_ = rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     with_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     low, high = F.least("block", "with"), F.greatest("block", "with")
     dealt = with_.select(F.xxhash64("bucket", low, high).alias("key"), F.when(F.col("block") == high, F.when(low == high, 0).otherwise(1)).otherwise(0).alias("side"), "doc_id", "label")
-    points = dealt.join(features.select("doc_id", "counts"), "doc_id").select("key", "side", "doc_id", "label", "counts")
-    return points.repartition("key").sortWithinPartitions("key").mapInArrow(_tree_pairs, "x long, y long, bound long").groupBy("x", "y").agg(F.max("bound").alias("bound"))
+    placed = dealt.join(points, "doc_id").select("key", "side", "doc_id", "label", "counts")
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long, bound long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -341,10 +383,23 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         least = step
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = sums.where(F.col("step") >= least).select("a", "n").toPandas()
-    tokens = rows["a"].to_numpy(np.int64).view(np.uint64)
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([binary([b.column(0).to_numpy().tobytes()]), binary([b.column(1).to_numpy().tobytes()])], names=["a", "n"])
+
+    rows = sums.where(F.col("step") >= least).select("a", "n").mapInArrow(packed, "a binary, n binary").collect()  # FREQUENT * 16 bytes at most
+    tokens = np.concatenate([np.frombuffer(r.a, np.uint64) for r in rows])
     order = np.argsort(tokens)
-    return tokens[order], rows["n"].to_numpy(np.int64)[order]
+    return tokens[order], np.concatenate([np.frombuffer(r.n, np.int64) for r in rows])[order].astype(np.int32)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+
+
+def _same(found: np.ndarray) -> np.ndarray:
+    return found
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,31 +415,28 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         return _prefixes(*sent.value)(batches)
 
     first = named.mapInArrow(prefixes, "doc_id long, a long, b long, tokens array<long>")
-    sets = first.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max_by("tokens", F.size("tokens")).alias("tokens"))
+    distinct_sets = first.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max_by("tokens", F.size("tokens")).alias("tokens"))
     token = Window.partitionBy("token")
-    met = sets.select(F.explode("tokens").alias("token"), "doc_id").select("doc_id", F.count("*").over(token).alias("size"), F.min("doc_id").over(token).alias("low"), F.bit_xor(F.xxhash64("doc_id")).over(token).alias("bucket"))
+    met = distinct_sets.select(F.explode("tokens").alias("token"), "doc_id").select("doc_id", F.count("*").over(token).alias("size"), F.min("doc_id").over(token).alias("low"), F.bit_xor(F.xxhash64("doc_id")).over(token).alias("bucket"))
     buckets = keep(met.where("size > 1").groupBy("bucket", "doc_id").agg(F.min("low").alias("low"), F.count("*").alias("times")), "buckets")
-    bits = spark.sparkContext.broadcast(_bitmap(buckets.select("doc_id").distinct()))
-
-    def seen_features(batches):
-        return _features(bits.value)(batches)
-
-    features = keep(named.mapInArrow(seen_features, "doc_id long, n long, counts binary, found binary"), "features")
-    star = buckets.where("doc_id <> low").groupBy("doc_id", "low").agg(F.sum("times").alias("times"))
-    pivot = star.groupBy("doc_id").agg(F.max_by("low", F.struct("times", -F.col("low"))).alias("low"))
-    edges = keep(verify(pivot.select(F.col("low").alias("x"), F.col("doc_id").alias("y")), features), "links")
+    points = _of_marked(named, buckets.select("doc_id").distinct(), POINT, vector)
+    star = buckets.where("doc_id <> low").select(F.col("low").alias("x"), F.col("doc_id").alias("y")).distinct()
+    near = bounded(star, points)
+    first_pairs = keep(near.groupBy("y").agg(F.max_by("x", F.struct("bound", -F.col("x"))).alias("x")).select("x", "y"), "pivots")
+    edges = keep(verify(first_pairs, _of_marked(named, _ends(first_pairs), SET, _same)), "links")
     labels = components(edges)
-    left = keep(candidates(buckets, features, labels), "candidates")
-    many = 1
-    while left.limit(1).count():
-        apart = _labelled(_labelled(left.select("x", "y", "bound"), labels, "x", "lx"), labels, "y", "ly").where("lx <> ly")
-        best = Window.partitionBy("x", "ly").orderBy(F.desc("bound"), "y")
-        ranked = keep(apart.withColumn("place", F.row_number().over(best)), "ranked")
-        new = keep(verify(ranked.where(F.col("place") <= many), features), "links")
-        if new.limit(1).count():
-            edges = edges.unionByName(new)
-            labels = components(edges)
-        left = ranked.where(F.col("place") > many).select("x", "y", "bound")
+    many, tried = 1, first_pairs.select("x", "y")
+    while True:
+        offered = keep(candidates(buckets, points, labels, many), "candidates")
+        fresh = keep(offered.select("x", "y").join(tried, ["x", "y"], "left_anti"), "fresh")
+        if fresh.limit(1).count():
+            tried = tried.unionByName(fresh)
+            new = keep(verify(fresh, _of_marked(named, _ends(fresh), SET, _same)), "links")
+            if new.limit(1).count():
+                edges = edges.unionByName(new)
+                labels = components(edges)
+        if not offered.where("more").limit(1).count():
+            break
         many *= 8
     sets_of = docs.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("own"))
     rows = docs.join(sets_of, ["a", "b"], "left").withColumn("own", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("own")).otherwise(F.col("doc_id")))
@@ -392,3 +444,29 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     if again.limit(1).count():
         labels = components(edges.unionByName(again))
     return _labelled(rows, labels, "own", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each group: that of the smallest id, of rows that repeat
+    it the first by text. Rows with a null id stay. Only rows that may go are shuffled: the others are told by a map
+    of the ids that go or repeat."""
+    linked = keep(link(df, id_col, text_col).where(F.col("doc_id").isNotNull()), "linked")
+    each = linked.groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("first"), F.count("*").alias("rows"))
+    doubtful = keep(each.where("not first or rows > 1"), "doubtful")
+    bits = df.sparkSession.sparkContext.broadcast(_bitmap(doubtful.select("doc_id")))
+    place, kind = df.columns.index(id_col), df.schema
+
+    def part(hit: bool):
+        def run(batches):
+            for b in batches:
+                ids = b.column(place).cast(pa.int64())
+                doubt = _set(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(doubt if hit else ~doubt))
+
+        return df.mapInArrow(run, kind)
+
+    own = "_doubtful_id"
+    some = part(True).join(doubtful.withColumnRenamed("doc_id", own), F.col(id_col).cast("long") == F.col(own), "left").where(F.coalesce("first", F.lit(True)))
+    order = Window.partitionBy(id_col).orderBy(text_col)
+    some = some.withColumn(own, F.row_number().over(order)).where(F.col(own) == 1).select(*df.columns)
+    return part(False).unionByName(some)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._base import batch, pieces, utf8
+from ._base import batch, passing, pieces, utf8
 
 #: Rows learned from for each language, n-gram sizes and buckets, the switching penalty in nats, the text at once.
 PER_LANG, SIZES, BUCKETS, SWITCH, STEP, UND = 3000, (2, 3, 4), 1 << 16, 8.0, 4 << 20, "und"
@@ -171,3 +171,14 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
+
+
+def in_language(df: DataFrame, model: dict, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which the text is in a learned language by at least this share."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def judge(b):
+        made = predict(sent.value, b)
+        return [lang != UND and score >= least for lang, score in zip(made.column(1).to_pylist(), made.column(2).to_pylist(), strict=True)]
+
+    return passing(df, text_col, judge)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._base import batch, pieces, utf8
+from ._base import batch, passing, pieces, utf8
 from .langid import sampled
 
 WINDOW, STRIDE, HIDDEN, WIDTH, POOL = 32, 16, 8, 8, 8
@@ -348,3 +348,9 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, n_windows long")
+
+
+def clean(df: DataFrame, model: dict, below: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which the text scores below a threshold."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return passing(df, text_col, lambda b: score_texts(sent.value, *utf8(b.column(1)))[0] < below)
