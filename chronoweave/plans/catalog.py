@@ -4,6 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "group_entities_by_connection"
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+FLAGSHIP = "group_entities_by_connection"
+
+
+def query(sql: str | None = None, graph: bool = True):
+    """Register a function under its name; ``sql`` stands after the graph's views unless ``graph`` is false."""
+    from ..sources import testgraph
+
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = testgraph.SQL + sql if graph else sql
+        return f
+
+    return put
+
+
+from . import analytics_queries, build_queries, graph_queries, search_queries, timeline_queries  # noqa: E402, F401
