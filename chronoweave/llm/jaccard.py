@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from . import _words
 from ._base import batch, binary, keep, pieces, utf8
 
-SIZE, PERCENT, GROUPS, BLOCK, FAN, FREQUENT, STEP, FLUSH = 5, 75, 128, 256, 8, 1 << 20, 4 << 20, 1 << 22
+SIZE, PERCENT, GROUPS, BLOCK, FAN, FREQUENT, STEP, FLUSH = 5, 75, 128, 1024, 8, 1 << 20, 4 << 20, 1 << 22
 #: Bits of the map that spares documents in no bucket a second look; false hits cost time alone.
 MAP_BITS = 1 << 25
 _FACTOR = _words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -86,7 +86,15 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def vector(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """A set's counts by group."""
-    return np.bincount((_words.mix(found ^ np.uint64(0x5DEECE66D)) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
+    n = np.bincount((_words.mix(found ^ np.uint64(0x5DEECE66D)) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
+    return n.astype(np.int16 if n.max(initial=0) < 1 << 15 else np.int32)
+
+
+def unpacked(rows: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    """Count vectors [row, group] of 16 or 32 bits, told by their length."""
+    if all(len(x) == 2 * groups for x in rows):
+        return np.frombuffer(b"".join(rows), np.int16).reshape(-1, groups).astype(np.int32)
+    return np.stack([np.frombuffer(x, np.int16 if len(x) == 2 * groups else np.int32) for x in rows]).astype(np.int32)
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -134,8 +142,8 @@ class RTree:
 
 PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 PREFIX = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-POINT = pa.schema([("doc_id", pa.int64()), ("counts", pa.binary())])
-SET = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
+POINT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("found", pa.binary())])
 
 
 def _profile(batches):
@@ -202,10 +210,10 @@ def _of_marked(texts: DataFrame, ids: DataFrame, schema: pa.Schema, make: Callab
         for b in batches:
             for p in pieces([b.filter(pa.array(_set(bits.value, b.column(0).to_numpy())))], 1, STEP):
                 found, until = shingles(*utf8(p.column(1)))
-                yield batch(schema, p.column(0), binary([make(found[until[i] : until[i + 1]]).tobytes() for i in range(p.num_rows)]))
+                yield batch(schema, p.column(0), np.diff(until), binary([make(found[until[i] : until[i + 1]]).tobytes() for i in range(p.num_rows)]))
 
-    name = schema.names[1]
-    return keep(texts.mapInArrow(run, f"doc_id long, {name} binary"), name)
+    name = schema.names[2]
+    return keep(texts.mapInArrow(run, f"doc_id long, n long, {name} binary"), name)
 
 
 def _spots(ids: np.ndarray) -> np.ndarray:
@@ -248,12 +256,13 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> Data
     def run(batches):
         for b in batches:
             if b.num_rows:
-                cx, cy = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int32).reshape(b.num_rows, -1) for k in (2, 3))
+                cx, cy = (unpacked(b.column(k).to_pylist()) for k in (2, 3))
                 most = np.minimum(cx, cy).sum(1)
                 fine = pa.array((100 + percent) * most >= needed(cx.sum(1), cy.sum(1), percent))
                 yield batch(CANDIDATE, b.column(0), b.column(1), most).filter(fine)
 
-    return _both(pairs, points, "counts").mapInArrow(run, "x long, y long, bound long")
+    sized = _both(pairs, points, "n").where(percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")).select("x", "y")
+    return _both(sized, points, "counts").mapInArrow(run, "x long, y long, bound long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -320,7 +329,7 @@ def _tree_pairs(batches, many: int):
 
     def pairs(rows: pa.Table):
         ids, label, side = (rows[k].to_numpy() for k in ("doc_id", "label", "side"))
-        points = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.int32).reshape(len(ids), -1)
+        points = unpacked(rows["counts"].to_pylist())
         own = np.flatnonzero(side == 0) if (side == 1).any() else np.arange(len(ids))
         other = np.flatnonzero(side == 1) if (side == 1).any() else own
         q, p, bound = RTree(points[other]).search(points[own])
@@ -368,7 +377,7 @@ def candidates(buckets: DataFrame, points: DataFrame, labels: DataFrame | None,
     with_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     low, high = F.least("block", "with"), F.greatest("block", "with")
     dealt = with_.select(F.xxhash64("bucket", low, high).alias("key"), F.when(F.col("block") == high, F.when(low == high, 0).otherwise(1)).otherwise(0).alias("side"), "doc_id", "label")
-    placed = dealt.join(points, "doc_id").select("key", "side", "doc_id", "label", "counts")
+    placed = dealt.join(points.select("doc_id", "counts"), "doc_id").select("key", "side", "doc_id", "label", "counts")
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long, bound long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
