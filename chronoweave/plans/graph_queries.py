@@ -218,7 +218,7 @@ def priority_order(spark, d):
     return table(spark, d, "orders").select("o_orderpriority", F.when(place == 0, 99).otherwise(place).cast("int").alias("place")).distinct().orderBy("place", "o_orderpriority")
 
 
-@query("SELECT year FROM (SELECT DISTINCT year(o_orderdate) AS year FROM orders) ORDER BY abs(year - 1997), year LIMIT 5", graph=False)
+@query("SELECT year FROM (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders) ORDER BY abs(year - 1997), year LIMIT 5", graph=False)
 def nearest_years(spark, d):
     years = table(spark, d, "orders", F.year("o_orderdate").alias("year")).distinct()
     return years.orderBy(F.abs(F.col("year") - 1997), "year").limit(5)
