@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import filters, timecal
 from chronoweave.operators import build, graph, search, timelines
 from chronoweave.sources import pages
-from chronoweave.streaming import limits
+from chronoweave.streaming import limits, sync
 
 
 def test_clamps_and_sanitizer():
@@ -133,3 +133,25 @@ def test_merges(spark):
     assert {r.id: r.change for r in build.changed(new, old, "id", "t").collect()} == {1: "changed", 2: "changed", 3: "added"}
     rows, bad = build.import_lines(spark.createDataFrame([('{"a": 1}',), ("{x",)], "value string"), "a int")
     assert [r.a for r in rows.collect()] == [1] and bad.count() == 1
+
+
+def test_incremental_sync(spark, tmp_path):
+    schema, source, target = "id int, t string, at int", str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: sync.sync(spark, source, schema, "id", "at", target, str(tmp_path / "c"))
+    kind = spark.createDataFrame([], schema).schema
+    assert sync.latest(spark, target, kind).count() == 0
+    put([(1, "a", 1), (2, "b", 1), (2, "c", 2)])
+    run()
+    put([(2, "d", 3), (3, "e", 3)])
+    run()
+    run()
+    assert {r.id: r.t for r in sync.latest(spark, target, kind).collect()} == {1: "a", 2: "d", 3: "e"}
+
+
+def test_bundles(spark):
+    rows = spark.createDataFrame([("a", i, s) for i, s in enumerate([30, 20, 60, 10, 50])] + [("b", 0, 500), ("b", 1, 1)], "g string, i int, s int")
+    from chronoweave.operators import pages as reads
+
+    got = {(r.g, r.i): r.bundle for r in reads.bundles(rows, "g", ["i"], F.col("s"), 90).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 0): 0, ("b", 1): 1}
