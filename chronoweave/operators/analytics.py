@@ -200,7 +200,7 @@ def progress(rows: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def paged(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page and, in each row, the total. The total is one aggregate, joined to the page's few rows."""
+    """One page and, in each row, the total: one aggregate, as a scalar subquery."""
     size = where.clamp(size, 1, 100)
     rows = df.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
-    return rows.join(df.agg(F.count("*").alias("total")))
+    return rows.withColumn("total", df.agg(F.count("*").alias("total")).scalar())

@@ -20,7 +20,7 @@ def page(events: DataFrame, templates: list[str] | None, continuity: str | None,
         rows, year = rows.where(where.in_calendar("Galactic") & where.linear_between(first, last)), where.linear_year()
     rows = rows.withColumn("linear_year", year)
     out = rows.orderBy("linear_year", "event_id").offset((max(1, number) - 1) * size).limit(size)
-    return out.join(rows.agg(F.count("*").alias("total")))
+    return out.withColumn("total", rows.agg(F.count("*").alias("total")).scalar())
 
 
 def by_year(rows: DataFrame, most: int) -> DataFrame:
