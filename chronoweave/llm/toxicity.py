@@ -225,18 +225,13 @@ def train_on(w: dict, adam: Adam, texts: Texts, vocabulary: np.ndarray, first: n
 def _odds(texts: Texts, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each distinct word the mean over its n-grams of their log odds, by rows, to be in a toxic one, over their
     standard error; in how many rows each n-gram is; and each n-gram's value."""
-    row = np.repeat(np.arange(len(texts.size)), texts.size)
-    seen = np.unique(row * len(texts.hashed) + texts.number)
-    row, word = seen // len(texts.hashed), seen % len(texts.hashed)
     n = np.diff(np.append(texts.first, len(texts.gram)))
-    owner = np.repeat(np.arange(len(n)), n)
-    pairs = np.unique(np.repeat(owner, len(SIZES)) * BUCKETS + texts.gram.reshape(-1))
-    many = np.bincount(pairs // BUCKETS, minlength=len(n))
-    begin = np.cumsum(many) - many
-    flat = np.repeat(begin[word] - (np.cumsum(many[word]) - many[word]), many[word]) + np.arange(int(many[word].sum()))
-    both = np.unique(np.repeat(row, many[word]) * BUCKETS + pairs[flat] % BUCKETS)
-    toxic = y[both // BUCKETS] == 1
-    a, b = (np.bincount(both[m] % BUCKETS, minlength=BUCKETS) for m in (toxic, ~toxic))
+    a, b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for i, (begin, size) in enumerate(zip(texts.begin.tolist(), texts.size.tolist(), strict=True)):
+        word = np.unique(texts.number[begin : begin + size])
+        many = n[word]
+        flat = np.repeat(texts.first[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        (a if y[i] == 1 else b)[np.unique(texts.gram[flat])] += 1
     lo = np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / ((1 - y).sum() + 1))
     lo /= np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     return np.add.reduceat(lo[texts.gram].sum(1), texts.first) / (n * len(SIZES)), a + b, lo
