@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from . import _words
 from ._base import batch, binary, keep, pieces, utf8
 
-SIZE, PERCENT, GROUPS, BLOCK, FAN, FREQUENT, STEP, FLUSH = 5, 75, 128, 1024, 8, 1 << 20, 4 << 20, 1 << 22
+SIZE, PERCENT, GROUPS, BLOCK, FAN, FREQUENT, STEP, FLUSH = 5, 75, 128, 1024, 8, 1 << 20, 2 << 20, 1 << 22
 #: Bits of the map that spares documents in no bucket a second look; false hits cost time alone.
 MAP_BITS = 1 << 25
 _FACTOR = _words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -319,11 +319,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, vertex: str, name: str)
     return rows.join(labels.select(F.col("v").alias(vertex), F.col("label").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
-OFFER = pa.schema([*CANDIDATE, ("more", pa.bool_())])
+OFFER = pa.schema([("bucket", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("more", pa.bool_())])
 
 
 def _tree_pairs(batches, many: int):
-    """Candidates of sorted groups (key, side, doc_id, label, counts); a group may go on in the next batch.
+    """Candidates of sorted groups (key, bucket, side, doc_id, label, counts); a group may go on in the next batch.
 
     Of each pair of labels the ``many`` with the highest bounds, and whether there are more."""
 
@@ -345,7 +345,7 @@ def _tree_pairs(batches, many: int):
         cuts = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(order) else np.zeros(0, np.int64)
         size = np.diff(np.append(cuts, len(order)))
         kept = np.arange(len(order)) - np.repeat(cuts, size) < many
-        return one[order][kept], two[order][kept], bound[order][kept], np.repeat(size > many, size)[kept]
+        return np.repeat(rows["bucket"].to_numpy()[:1], int(kept.sum())), one[order][kept], two[order][kept], np.repeat(size > many, size)[kept]
 
     held = None
     for b in batches:
@@ -363,7 +363,7 @@ def _tree_pairs(batches, many: int):
 
 
 def candidates(buckets: DataFrame, points: DataFrame, labels: DataFrame | None, many: int) -> DataFrame:
-    """x, y, more: pairs of different groups that meet in a bucket and that its R-tree can't rule out.
+    """bucket, x, y, more: pairs of different groups that meet in a bucket and that its R-tree can't rule out.
 
     One link joins two groups, so of each two groups that meet in a block of a bucket only the ``many`` pairs of the
     highest bounds are told, and whether there are more."""
@@ -376,9 +376,9 @@ def candidates(buckets: DataFrame, points: DataFrame, labels: DataFrame | None,
     open_ = rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     with_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     low, high = F.least("block", "with"), F.greatest("block", "with")
-    dealt = with_.select(F.xxhash64("bucket", low, high).alias("key"), F.when(F.col("block") == high, F.when(low == high, 0).otherwise(1)).otherwise(0).alias("side"), "doc_id", "label")
-    placed = dealt.join(points.select("doc_id", "counts"), "doc_id").select("key", "side", "doc_id", "label", "counts")
-    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long, bound long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
+    dealt = with_.select(F.xxhash64("bucket", low, high).alias("key"), F.when(F.col("block") == high, F.when(low == high, 0).otherwise(1)).otherwise(0).alias("side"), "bucket", "doc_id", "label")
+    placed = dealt.join(points.select("doc_id", "counts"), "doc_id").select("key", "bucket", "side", "doc_id", "label", "counts")
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, x long, y long, more boolean")
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -434,19 +434,20 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     first_pairs = keep(near.groupBy("y").agg(F.max_by("x", F.struct("bound", -F.col("x"))).alias("x")).select("x", "y"), "pivots")
     edges = keep(verify(first_pairs, _of_marked(named, _ends(first_pairs), SET, _same)), "links")
     labels = components(edges)
-    many, tried = 1, first_pairs.select("x", "y")
+    many, tried, open_ = 1, first_pairs.select("x", "y"), buckets
     while True:
-        offered = keep(candidates(buckets, points, labels, many), "candidates")
-        fresh = keep(offered.select("x", "y").join(tried, ["x", "y"], "left_anti"), "fresh")
+        offered = keep(candidates(open_, points, labels, many), "candidates")
+        fresh = keep(offered.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "fresh")
         if fresh.limit(1).count():
             tried = tried.unionByName(fresh)
             new = keep(verify(fresh, _of_marked(named, _ends(fresh), SET, _same)), "links")
             if new.limit(1).count():
                 edges = edges.unionByName(new)
                 labels = components(edges)
-        if not offered.where("more").limit(1).count():
+        more = offered.where("more").select("bucket").distinct()
+        if not more.limit(1).count():
             break
-        many *= 8
+        open_, many = buckets.join(more, "bucket", "left_semi"), many * 8
     sets_of = docs.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("own"))
     rows = docs.join(sets_of, ["a", "b"], "left").withColumn("own", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("own")).otherwise(F.col("doc_id")))
     again = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("x", "y")
