@@ -8,22 +8,23 @@ blocked if a word of its segmented host is in the seed list of unwanted words.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and the verdict allow, unless a rule
 fits; repeated rows and ties are kept as rows, of rules of one length the first wins; null ids stay null; an empty
-table gives an empty result; other columns are not read. LEXICON and VOCABULARY bound what the driver collects and
-broadcasts, by most frequent words first, equal ones by name.
+table gives an empty result; other columns are not read. Counts of words and features are tables without a bound;
+the driver sees sums, the counts of the seed words and the names of the HOT most frequent keys of a join.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import batch
+from ._base import batch, keep
 
-#: The most words that segmentation, and the most features that the classifier, may know.
-LEXICON, VOCABULARY, LONGEST = 50_000, 100_000, 24
+#: The most letters of a word that segmentation knows, and how many keys of a join are broadcast.
+LONGEST, HOT = 24, 1000
 #: Each class counts as having seen this many features more, in the proportions of all urls.
 PRIOR = 10
 UNWANTED = frozenset("adult porn xxx sex nude escort casino poker betting gamble jackpot slots pills pharma viagra cialis replica warez crack keygen torrent malware phishing loan payday".split())
@@ -56,26 +57,34 @@ def path_tokens(path: Column) -> Column:
     return F.filter(F.split(F.lower(path), "[^a-z]+"), lambda x: x != "")
 
 
+def labels_of(host: str) -> list[str]:
+    """The letter runs of a host; digits are marks of where labels end, like dots and hyphens."""
+    return "".join(c if c.isalpha() else " " for c in host).split()
+
+
 class Words:
-    """Splits labels by unigram probabilities."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        for w in UNWANTED | ORDINARY:
-            counts = counts | {w: max(counts.get(w, 0), total // 1000 + 1)} if w not in counts or counts[w] <= total // 1000 else counts
-        self.total = math.log(sum(counts.values()))
-        self.cost = {w: self.total - math.log(n) for w, n in counts.items() if n > 0}
-        self.known: dict[str, list[str]] = {}
-
-    def split(self, label: str) -> list[str]:
-        """The words of one label: least total cost, of equal ones the longest last word."""
-        if (done := self.known.get(label)) is not None:
-            return done
+    """Splits labels by unigram probabilities. counts: of all words, or of some that have the seed words among them
+    with ``total`` the sum over all words."""
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        everything = sum(counts.values()) if total is None else total
+        least = (everything + 1) // 1000 + 1
+        raised = {w: least for w in UNWANTED | ORDINARY if counts.get(w, 0) < least}
+        self.total = math.log(everything + sum(n - counts.get(w, 0) for w, n in raised.items()))
+        self.cost = self.costs(counts | raised)
+
+    def costs(self, counts: dict[str, int]) -> dict[str, float]:
+        return {w: self.total - math.log(n) for w, n in counts.items() if n > 0}
+
+    def split(self, label: str, more: dict[str, int] | None = None) -> list[str]:
+        """The words of one label: least total cost, of equal ones the longest last word. more: counts of further
+        words."""
+        cost = self.costs(more or {}) | self.cost
         best, back = [0.0], [0]
         for end in range(1, len(label) + 1):
             least = None
             for size in range(min(end, LONGEST), 0, -1):
-                c = self.cost.get(label[end - size : end])
+                c = cost.get(label[end - size : end])
                 c = best[end - size] + (c if c is not None else self.total + 1 + 2.5 * size)
                 if least is None or c < least[0] - 1e-12:
                     least = (c, end - size)
@@ -85,72 +94,99 @@ class Words:
         while at:
             out.append(label[back[at] : at])
             at = back[at]
-        if len(self.known) >= 200_000:
-            self.known.clear()
-        self.known[label] = out[::-1]
         return out[::-1]
 
     def host(self, host: str) -> list[str]:
-        """The words of a host; digits are marks of where labels end, like dots and hyphens."""
-        letters = "".join(c if c.isalpha() else " " for c in host)
-        return [w for label in letters.split() for w in self.split(label)]
+        """The words of a host."""
+        return [w for label in labels_of(host) for w in self.split(label)]
 
 
-SEGMENTED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("features", pa.list_(pa.string())), ("unwanted", pa.bool_())])
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined with ``table``, which has each key once. The rows' HOT most frequent keys are joined by
+    broadcast, so that none of the others has more than one row in HOT of those that are shuffled."""
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(HOT).collect()]
+    own = F.col(key).isin(hot)
+    return rows.where(own).join(F.broadcast(table.where(own)), key, "left").unionByName(rows.where(~own).join(table, key, "left"))  # HOT rows at most
 
 
-def word_counts(rows: DataFrame) -> dict[str, int]:
-    """Counts of words in all urls: path tokens, and the parts of labels with a hyphen. At most LEXICON words."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, n: words in all urls, which are path tokens and the parts of labels with a hyphen."""
     parts = F.flatten(F.transform(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "[^a-z]+")))
     words = rows.select(F.explode(F.concat(path_tokens(F.col("path")), parts)).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST))
-    return {r.word: r.n for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+SUBSTRINGS = pa.schema([("label", pa.string()), ("word", pa.string())])
+PLACED = pa.schema([("host", pa.string()), ("place", pa.int32()), ("label", pa.string())])
+SPLIT = pa.schema([("label", pa.string()), ("words", pa.list_(pa.string()))])
+
+
+def _placed(batches):
+    """The labels of each host."""
+    for b in batches:
+        made = [(h, i, x) for h in b.column(0).to_pylist() for i, x in enumerate(labels_of(h))]
+        yield batch(PLACED, [x[0] for x in made], [x[1] for x in made], [x[2] for x in made])
 
 
-def segment(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """page_id, host, path, features (h:word and p:token) and unwanted (the distant label)."""
-    sent = rows.sparkSession.sparkContext.broadcast(counts)
+def _substrings(batches):
+    """The substrings of each label that may be a word; all words are of the letters a to z."""
+    for b in batches:
+        for label in b.column(0).to_pylist():
+            own = {run[i:j] for run in re.findall("[a-z]+", label) for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST) + 1)}
+            yield batch(SUBSTRINGS, [label] * len(own), sorted(own))
+
+
+def segment(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host, words: of distinct hosts, by the counts of all words. Each distinct label is split once, by the counts of
+    the words among its substrings."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seeds = {r.word: r.n for r in counts.where(F.col("word").isin(sorted(UNWANTED | ORDINARY))).collect()}
+    sent = hosts.sparkSession.sparkContext.broadcast((seeds, total))
 
     def run(batches):
-        own = Words(sent.value)
+        own = Words(*sent.value)
         for b in batches:
-            hosts, paths = b.column(1).to_pylist(), b.column(3).to_pylist()
-            split = [own.host(h or "") for h in hosts]
-            features = [[f"h:{w}" for w in s] + [f"p:{t}" for t in p or []] for s, p in zip(split, paths, strict=True)]
-            yield batch(SEGMENTED, b.column(0), b.column(1), b.column(2), features, [not UNWANTED.isdisjoint(s) for s in split])
+            names, found = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield batch(SPLIT, names, [own.split(x, {w["word"]: w["n"] for w in f or []}) for x, f in zip(names, found, strict=True)])
 
-    return rows.select("page_id", "host", "path", path_tokens(F.col("path")).alias("tokens")).mapInArrow(run, "page_id long, host string, path string, features array<string>, unwanted boolean")
+    placed = keep(hosts.mapInArrow(_placed, "host string, place int, label string"), "labels")
+    labels = keep(placed.select("label").distinct(), "distinct-labels")
+    inside = looked_up(labels.mapInArrow(_substrings, "label string, word string"), counts, "word").where("n is not null")
+    inside = inside.groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    split = keep(labels.join(inside, "label", "left").select("label", "found").mapInArrow(run, "label string, words array<string>"), "split")
+    found = looked_up(placed, split, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("own"))
+    return found.select("host", F.flatten(F.transform("own", lambda x: x["words"])).alias("words"))
 
 
-def fit(segmented: DataFrame) -> dict:
-    """Log odds of each feature and of the classes, from counts over all rows. At most VOCABULARY features."""
+def fit(segmented: DataFrame) -> tuple[DataFrame, float]:
+    """Log odds of each feature, from counts over all rows, and of the classes. segmented: features, unwanted."""
     bad = F.col("unwanted").cast("long")
-    seen = segmented.select(F.explode("features").alias("feature"), bad.alias("bad")).groupBy("feature").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
-    top = seen.orderBy(F.desc("n"), "feature").limit(VOCABULARY).collect()
+    seen = keep(segmented.select(F.explode("features").alias("feature"), bad.alias("bad")).groupBy("feature").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")), "features")
     rows = segmented.agg(F.coalesce(F.sum(bad), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
-    total, in_bad = max(1, sum(r.n for r in top)), sum(r.bad for r in top)
-    share = lambda n, size, r: math.log((n + PRIOR * r.n / total) / (size + PRIOR))
-    odds = {r.feature: share(r.bad, in_bad, r) - share(r.n - r.bad, total - in_bad, r) for r in top}
-    return {"odds": odds, "prior": math.log((rows.bad + 1) / (rows.n - rows.bad + 1))}
+    sums = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    total = max(1, sums.n)
+    share = lambda n, size: F.log((n + PRIOR * F.col("n") / total) / (size + PRIOR))
+    odds = share(F.col("bad"), sums.bad) - share(F.col("n") - F.col("bad"), total - sums.bad)
+    return seen.select("feature", odds.alias("odds")), math.log((rows.bad + 1) / (rows.n - rows.bad + 1))
 
 
 def judge(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, words, rule, score (how likely unwanted, 0 to 1) and verdict for every url."""
     url = F.col(url_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    segmented = segment(rows, word_counts(rows))
-    sent = df.sparkSession.sparkContext.broadcast(fit(segmented))
-    scored = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("words", pa.string()), ("score", pa.float64())])
-
-    def run(batches):
-        odds, prior = sent.value["odds"], sent.value["prior"]
-        for b in batches:
-            features = b.column(3).to_pylist()
-            z = [prior + sum(odds.get(x, 0.0) for x in f) for f in features]
-            words = [" ".join(x[2:] for x in f if x[0] == "h") for f in features]
-            score = [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) if f else 0.0 for x, f in zip(z, features, strict=True)]
-            yield batch(scored, b.column(0), b.column(1), b.column(2), words, score)
-
-    made = segmented.mapInArrow(run, "page_id long, host string, path string, words string, score double")
+    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "urls")  # written, the numbers stay
+    words = keep(segment(rows.select("host").distinct(), keep(word_counts(rows), "words")), "hosts")
+    named = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    segmented = looked_up(rows, words, "host").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    features = F.concat(named("h:", F.col("words")), named("p:", path_tokens(F.col("path"))))
+    unwanted = F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(UNWANTED)]))
+    segmented = keep(segmented.withColumn("features", features).withColumn("unwanted", unwanted), "segmented")
+    odds, prior = fit(segmented)
+    each = looked_up(segmented.select("row", F.explode("features").alias("feature")), odds, "feature")
+    sums = each.groupBy("row").agg(F.sum(F.col("odds").cast("decimal(20,12)")).cast("double").alias("z"))  # in any order the same
+    z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("z") + prior))
+    made = segmented.join(sums, "row", "left").withColumn("score", F.when(F.col("z").isNull(), 0.0).otherwise(1 / (1 + F.exp(-z))))
+    made = made.select("page_id", "host", "path", F.array_join("words", " ").alias("words"), "score")
     host, path = F.col("host"), F.col("path")
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return made.withColumn("rule", rule_column(host, path, rules, 1)).withColumn("verdict", F.coalesce(rule_column(host, path, rules, 0), own))

@@ -113,3 +113,29 @@ def test_segmentation():
     words = urls.Words({"thin": 50, "king": 40, "cap": 30})
     assert words.host("cheappills.thinkingcap.com") == ["cheap", "pills", "thin", "king", "cap", "com"]
     assert words.host("") == [] and words.host("zzqqy") == ["zzqqy"]
+
+
+def test_rare_words_and_features_count(spark):
+    """All words and features count, however many there are; against the same sums in plain Python."""
+    import collections
+    import itertools
+    import math
+
+    names = ["".join(x) for x in itertools.islice(itertools.product("bcdfgklmnprstvz", "aeiou", "bcdfgklmnprstvz", "aeiou", "bcdfgklmnprstvz", "ae"), 110_000)]
+    texts = [f"http://www.example.org/{' '.join(names[i : i + 100]).replace(' ', '/')}" for i in range(0, len(names), 100)] * 2
+    texts += [f"http://casino.org/{names[-1]}", f"http://x.org/{names[-1]}", f"http://{names[-1]}{names[-2]}.net/", "http://com/", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")
+    counts = collections.Counter(t for u in texts for t in re.findall("[a-z]+", by_hand(u)[1].lower()))
+    words = urls.Words(dict(counts))
+    own = [(words.host(by_hand(u)[0]), re.findall("[a-z]+", by_hand(u)[1].lower())) for u in texts]
+    features = [[f"h:{w}" for w in h] + [f"p:{t}" for t in p] for h, p in own]
+    bad = [not urls.UNWANTED.isdisjoint(h) for h, _ in own]
+    n, b = collections.Counter(x for f in features for x in f), collections.Counter(x for f, k in zip(features, bad, strict=True) for x in f if k)
+    total, in_bad = sum(n.values()), sum(b.values())
+    odds = {x: math.log((b[x] + 10 * n[x] / total) / (in_bad + 10)) - math.log((n[x] - b[x] + 10 * n[x] / total) / (total - in_bad + 10)) for x in n}
+    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
+    got = {r.page_id: r for r in urls.judge(rows, []).collect()}
+    assert len(got) == len(texts) and len(counts) > 100_000 and got[len(texts) - 4].words == f"{names[-1]} {names[-2]} net"
+    for i, f in enumerate(features):
+        z = max(-50.0, min(50.0, prior + sum(odds[x] for x in f)))
+        assert got[i].words == " ".join(own[i][0]) and got[i].score == pytest.approx(1 / (1 + math.exp(-z)) if f else 0.0, abs=1e-9)
