@@ -6,12 +6,15 @@ states, and a linear unit gives the window's logit. All overlapping windows of a
 apart, the last one at its end; a text's logit is the highest, and a logistic fit on rows kept out of training, over
 it and the log of the number of windows, gives the score.
 
-Learning: about PER_CLASS labelled rows of each class, chosen by a hash of the id, of at most LONGEST windows. A
-toxic text teaches by its most telling window (first by n-gram odds, then by the network itself), a clean one by its
-most suspicious windows and some others.
+Learning: about PER_CLASS labelled rows of each class and of any length, chosen by a hash of the id. A toxic text
+teaches by its most telling window (first by n-gram odds, then by the network itself), a clean one by its most
+suspicious windows and some others. N-gram odds, the choice of windows and the fit over the highest logit come from
+all windows of the rows, where the rows are; of a text with more than MOST windows, the half of MOST most telling ones
+and as many spread over the whole text go to the driver.
 
 Defined cases: null text, empty text, or one without a word has the score that a text of the lowest logit has;
-without labels of both classes every score is the share of toxic ones, or 0; rows with a null id or label teach
+without labels of both classes, or without a word in any labelled text, every score is the share of toxic ones, or 0;
+with fewer than five rows of a class none are kept out, and the score is the network's own; rows with a null id or label teach
 nothing; of several labels of one row the highest counts; repeated rows are kept as rows; an empty table gives an
 empty result; other columns are not read. Memory is bounded by STEP bytes of text or one text.
 """
@@ -24,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._base import batch, passing, pieces, utf8
+from ._base import batch, keep, passing, pieces, utf8
 from .langid import sampled
 
 WINDOW, STRIDE, HIDDEN, WIDTH, POOL = 32, 16, 8, 8, 8
 SIZES, BUCKETS, VOCABULARY = (3, 4, 5), 1 << 14, 4096
-PER_CLASS, LONGEST, LONGEST_BYTES, EPOCHS, LEAST, LOT, SEED, STEP = 1200, 64, 1 << 16, (8, 6), (300, 200), 128, 11, 4 << 20
+PER_CLASS, MOST, EPOCHS, LEAST, LOT, SEED, STEP = 1200, 64, (8, 6), (300, 200), 128, 11, 4 << 20
 CLIP = 30.0
 #: Words and n-grams in fewer rows of the sample have no vectors of their own; the weights' decay.
 RARE, DECAY = 4, 0.02
@@ -45,6 +48,7 @@ class Texts:
     def __init__(self, raw: np.ndarray, at: np.ndarray):
         data = _words.latin_lower(raw)
         starts, ends, rows = _words.find(data, at, _words.NO_LETTERS)
+        self.data, self.starts, self.ends = data, starts, ends
         hashed, first, self.number = _words.distinct(_words.hashes(data, starts, ends))
         self.hashed = hashed
         self.size = np.bincount(rows, minlength=len(at) - 1)
@@ -222,19 +226,53 @@ def train_on(w: dict, adam: Adam, texts: Texts, vocabulary: np.ndarray, first: n
             adam.step(w, grads)
 
 
-def _odds(texts: Texts, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each distinct word the mean over its n-grams of their log odds, by rows, to be in a toxic one, over their
-    standard error; in how many rows each n-gram is; and each n-gram's value."""
+def _seen(texts: Texts, y: np.ndarray) -> np.ndarray:
+    """[class, n-gram]: in how many rows of a class each n-gram is; last in each class, how many rows it has."""
     n = np.diff(np.append(texts.first, len(texts.gram)))
-    a, b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    out = np.zeros((2, BUCKETS + 1), np.int64)
     for i, (begin, size) in enumerate(zip(texts.begin.tolist(), texts.size.tolist(), strict=True)):
         word = np.unique(texts.number[begin : begin + size])
         many = n[word]
         flat = np.repeat(texts.first[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        (a if y[i] == 1 else b)[np.unique(texts.gram[flat])] += 1
-    lo = np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / ((1 - y).sum() + 1))
-    lo /= np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    return np.add.reduceat(lo[texts.gram].sum(1), texts.first) / (n * len(SIZES)), a + b, lo
+        out[int(y[i]), np.unique(texts.gram[flat])] += 1
+        out[int(y[i]), BUCKETS] += 1
+    return out
+
+
+def _odds(seen: np.ndarray) -> np.ndarray:
+    """The log odds of each n-gram, by rows, to be in a toxic one, over their standard error."""
+    (b, a), (clean, toxic) = seen[:, :BUCKETS], seen[:, BUCKETS]
+    lo = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
+    return lo / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+def _telling(texts: Texts, odds: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The highest of the means over its n-grams of a window's words."""
+    n = np.diff(np.append(texts.first, len(texts.gram)))
+    by_word = np.add.reduceat(odds[texts.gram].sum(1), texts.first) / (n * len(SIZES))
+    return np.where(np.arange(WINDOW)[:, None] < size, by_word[_index(texts, first, size)], -99).max(0)
+
+
+def excerpts(raw: np.ndarray, at: np.ndarray, odds: np.ndarray) -> list[tuple[int, list[bytes]]]:
+    """For each text its number of windows and its words as parts: one of all words, or beyond MOST windows one for
+    each of the most telling and of some spread over the whole text."""
+    own = Texts(raw, at)
+    row, first, size = own.windows()
+    value = _telling(own, odds, first, size) if len(first) else np.zeros(0)
+    many = np.bincount(row, minlength=len(at) - 1)
+    words = lambda begin, n: b" ".join(own.data[s:e].tobytes() for s, e in zip(own.starts[begin : begin + n], own.ends[begin : begin + n], strict=True))
+    out, done = [], 0
+    for i, n in enumerate(many.tolist()):
+        if n <= MOST:
+            parts = [words(own.begin[i], own.size[i])]
+        else:
+            best = np.argsort(-value[done : done + n], kind="stable")[: MOST // 2]
+            rest = np.setdiff1d(np.arange(n), best)
+            spread = rest[np.linspace(0, len(rest) - 1, MOST - len(best)).round().astype(np.int64)]
+            parts = [words(first[done + k], size[done + k]) for k in np.sort(np.append(best, spread)).tolist()]
+        out.append((n, parts))
+        done += n
+    return out
 
 
 def _top(row: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
@@ -246,27 +284,44 @@ def _top(row: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
+def _kept_out(ids: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A fifth of the ids of either class, for the fit over the highest logit."""
+    own = [np.unique(ids[y == k]) for k in (0, 1)]
+    return np.concatenate([rng.permutation(x)[: len(x) // 5] for x in own])
+
+
 def fit(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
     """A model from texts and their labels (1 toxic, 0 clean)."""
     y = np.asarray(y, np.int64)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
     rng = np.random.default_rng(seed)
-    own = Texts(*utf8(pa.array(texts)))
+    kept_out = np.isin(np.arange(len(y)), _kept_out(np.arange(len(y)), y, rng))
+    raw, at = utf8(pa.array(texts))
+    seen = _seen(Texts(raw, at), np.where(kept_out, 0, y))
+    model = train([parts for _, parts in excerpts(raw, at, _odds(seen))], y, kept_out, seen, rng)
+    if "constant" in model:
+        return model
+    peak, many = peaks(model, raw, at)
+    return calibrated(model, peak[kept_out], many[kept_out], y[kept_out])
+
+
+def train(texts: list[list[bytes]], y: np.ndarray, kept_out: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> dict:
+    """The network from the parts of each text."""
+    own = Texts(*utf8(pa.array([p for parts in texts for p in parts], pa.binary())))
     row, first, size = own.windows()
-    fair = np.bincount(row, minlength=len(y)) <= LONGEST
-    kept_out = np.zeros(len(y), bool)
-    for k in (0, 1):
-        members = np.flatnonzero((y == k) & fair)
-        kept_out[rng.permutation(members)[: len(members) // 5]] = True
-    use = (fair & ~kept_out)[row]
-    seen = np.unique(np.repeat(np.arange(len(y)), own.size) * len(own.hashed) + own.number) % max(1, len(own.hashed))
-    often = np.bincount(seen, minlength=len(own.hashed))
+    owner = np.repeat(np.arange(len(y)), [len(parts) for parts in texts])
+    row = owner[row]
+    use = ~kept_out[row]
+    if not use.any():
+        return {"constant": float(y.mean())}
+    words = np.bincount(owner, own.size, len(y)).astype(np.int64)
+    pairs = np.unique(np.repeat(np.arange(len(y)), words) * len(own.hashed) + own.number) % max(1, len(own.hashed))
+    often = np.bincount(pairs, minlength=len(own.hashed))
     chosen = np.lexsort((own.hashed, -often))[:VOCABULARY]
     vocabulary = np.sort(own.hashed[chosen[often[chosen] >= RARE]])
-    by_word, rows_of, odds = _odds(own, np.where(kept_out, 0, y))
-    index = _index(own, first, size)
-    value = np.where(np.arange(WINDOW)[:, None] < size, by_word[index], -99).max(0)
+    odds, rows_of = _odds(seen), seen[:, :BUCKETS].sum(0)
+    value = _telling(own, odds, first, size)
     w = start_weights(rng)
     w["gram"][:, 0] = odds / 2  # where training starts from; the other dimensions start at random
     w["gram"][rows_of < RARE] = 0
@@ -281,15 +336,16 @@ def fit(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
         teach = np.concatenate(teach)
         epochs = max(epochs, -(-LEAST[round_] * LOT // len(teach)))  # small samples need more rounds
         train_on(w, adam, own, vocabulary, first[teach], size[teach], y[row[teach]].astype(np.float32), epochs, rng)
-    model = {"w": w, "vocabulary": vocabulary, "low": -8.0, "line": np.array([1.0, 0.0, 0.0])}
-    check = (kept_out & fair)[row]
-    z = logits(w, own, vocabulary, first[check], size[check])
-    docs = np.unique(row[check])
-    peak = np.array([z[row[check] == i].max() for i in docs])
-    many = np.log(np.bincount(row, minlength=len(y))[docs])
-    model["low"] = float(np.clip(np.quantile(peak, 0.02), -20, -4))
-    model["line"] = _line(peak, many, y[docs])
-    return model
+    return {"w": w, "vocabulary": vocabulary, "low": -8.0, "line": np.array([1.0, 0.0, 0.0])}
+
+
+def calibrated(model: dict, peak: np.ndarray, many: np.ndarray, y: np.ndarray) -> dict:
+    """The model with the fit over the highest logits and numbers of windows of texts it has not learned from."""
+    some = many > 0
+    if len(np.unique(y[some])) < 2:
+        return model
+    low = float(np.clip(np.quantile(peak[some], 0.02), -20, -4))
+    return model | {"low": low, "line": _line(peak[some], np.log(many[some]), y[some])}
 
 
 def _line(peak: np.ndarray, many: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -306,16 +362,21 @@ def _line(peak: np.ndarray, many: np.ndarray, y: np.ndarray) -> np.ndarray:
     return line if line[0] > 0.05 else start
 
 
+def peaks(model: dict, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The highest logit and the number of windows of each text."""
+    own = Texts(raw, at)
+    row, first, size = own.windows()
+    peak = np.full(len(at) - 1, -np.inf)
+    np.maximum.at(peak, row, logits(model["w"], own, model["vocabulary"], first, size))
+    return peak, np.bincount(row, minlength=len(at) - 1)
+
+
 def score_texts(model: dict, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Score and number of windows of each text."""
     n = len(at) - 1
     if "constant" in model:
         return np.full(n, model["constant"]), np.zeros(n, np.int64)
-    own = Texts(raw, at)
-    row, first, size = own.windows()
-    peak = np.full(n, -np.inf)
-    np.maximum.at(peak, row, logits(model["w"], own, model["vocabulary"], first, size))
-    many = np.bincount(row, minlength=n)
+    peak, many = peaks(model, raw, at)
     peak = np.where(many > 0, peak, model["low"])
     return _sigmoid(np.stack([peak, np.log(np.maximum(1, many)), np.ones(n)], 1) @ model["line"]), many
 
@@ -326,8 +387,53 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = sampled(rows, "toxic", "doc_id", per_class)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # about 2 * per_class ids at most, whatever the tables' sizes
-    found = texts.join(F.broadcast(some), "doc_id").where(F.octet_length("text") <= LONGEST_BYTES).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return fit(found["text"].tolist(), found["toxic"].to_numpy(np.int64))
+    return _learned(keep(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"), "labelled"))
+
+
+SEEN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
+PARTS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("parts", pa.list_(pa.binary()))])
+PEAKS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("peak", pa.float64()), ("many", pa.int64())])
+
+
+def _learned(rows: DataFrame, seed: int = SEED) -> dict:
+    """fit() over a table (doc_id, text, toxic): whole texts are read where they are, only excerpts go to the driver."""
+    ids = rows.select("doc_id", "toxic").toPandas()
+    y = ids["toxic"].to_numpy(np.int64)
+    if not len(y) or y.min() == y.max():
+        return {"constant": float(y.mean()) if len(y) else 0.0}
+    rng = np.random.default_rng(seed)
+    out = _kept_out(ids["doc_id"].to_numpy(np.int64), y, rng)
+
+    def counted(batches):
+        seen = np.zeros((2, BUCKETS + 1), np.int64)
+        for b in pieces(batches, 1, STEP):
+            taught = ~np.isin(b.column(0).to_numpy(), out)
+            seen += _seen(Texts(*utf8(b.column(1))), b.column(2).to_numpy() * taught)
+        kind, bucket = np.nonzero(seen)
+        yield batch(SEEN, pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seen[kind, bucket]))
+
+    sums = rows.mapInArrow(counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros((2, BUCKETS + 1), np.int64)
+    seen[sums["kind"].to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)] = sums["n"]
+    odds = _odds(seen)
+
+    def cut(batches):
+        for b in pieces(batches, 1, STEP):
+            yield batch(PARTS, b.column(0), b.column(2), [parts for _, parts in excerpts(*utf8(b.column(1)), odds)])
+
+    found = rows.mapInArrow(cut, "doc_id long, toxic int, parts array<binary>").collect()
+    found = sorted((r.doc_id, [bytes(p) for p in r.parts], r.toxic) for r in found)
+    model = train([parts for _, parts, _ in found], np.array([k for *_, k in found]), np.isin([i for i, *_ in found], out), seen, rng)
+    if "constant" in model:
+        return model
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def highest(batches):
+        for b in pieces(batches, 1, STEP):
+            yield batch(PEAKS, b.column(0), b.column(2), *peaks(sent.value, *utf8(b.column(1))))
+
+    check = rows.where(F.col("doc_id").isin(out.tolist())).mapInArrow(highest, "doc_id long, toxic int, peak double, many long").toPandas().sort_values(["doc_id", "peak"])
+    return calibrated(model, check["peak"].to_numpy(), check["many"].to_numpy(np.int64), check["toxic"].to_numpy(np.int64))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_windows", pa.int64())])

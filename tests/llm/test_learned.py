@@ -149,3 +149,25 @@ def test_toxicity_query(spark, small):
     rows = queries.op2_toxicity(spark, small).collect()
     assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_long_labelled_texts_teach(spark):
+    """Every toxic text has more windows than MOST and more bytes than 64 KiB."""
+    texts, y = made_up(np.random.default_rng(5), 120)
+    plain = " ".join(t for t, k in zip(texts, y, strict=True) if not k)
+    long = [t if not k else f"{plain} {t} {plain} " + " " * (1 << 16) for t, k in zip(texts, y, strict=True)]
+    raw, at = toxicity.utf8(pa.array(long))
+    parts = toxicity.excerpts(raw, at, toxicity._odds(toxicity._seen(toxicity.Texts(raw, at), y)))
+    assert all(n > toxicity.MOST == len(p) if k else len(p) == 1 for (n, p), k in zip(parts, y, strict=True))
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, toxic int"))
+    assert "line" in model
+    peak, _ = toxicity.peaks(model, *toxicity.utf8(pa.array([plain, *[f"{plain} {w} {plain}" for w in ("zorrnak", "zorrnaku", "vlixxor")]])))
+    assert (peak[1:] > peak[0]).all()
+
+
+def test_few_labelled_texts():
+    texts, y = made_up(np.random.default_rng(7), 6)
+    score, _ = toxicity.score_texts(toxicity.fit(texts, y), *toxicity.utf8(pa.array(texts)))
+    assert ((score >= 0) & (score <= 1)).all()
+    assert toxicity.fit(["", "1", ""], np.array([0, 1, 0])) == {"constant": pytest.approx(1 / 3)}
