@@ -64,13 +64,17 @@ def _counted(batches):
         yield batch(schema, [lang] * len(there), pa.array(there.astype(np.int32)), pa.array(n[there]))
 
 
-def sampled(rows: DataFrame, key: str, id_col: str, most: int) -> DataFrame:
+def shares(rows: DataFrame, key: str, most: int) -> dict:
+    """The share of each key's rows that leaves about ``most`` of them."""
+    return {r[0]: min(1.0, most / r[1]) for r in rows.groupBy(key).count().collect()}
+
+
+def sampled(rows: DataFrame, key: str, id_col: str, most: int, share: dict | None = None) -> DataFrame:
     """About ``most`` rows of each key, by a hash of the id below a share that follows from the keys' counts."""
-    counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30))
     below = F.lit(0)
-    for value, n in counts.items():
-        below = F.when(F.col(key) == F.lit(value), F.lit(int((1 << 30) * min(1.0, most / n)))).otherwise(below)
+    for value, part in (shares(rows, key, most) if share is None else share).items():
+        below = F.when(F.col(key) == F.lit(value), F.lit(int((1 << 30) * part))).otherwise(below)
     return rows.where(place < below)
 
 

@@ -10,7 +10,8 @@ Learning: about PER_CLASS labelled rows of each class and of any length, chosen
 teaches by its most telling window (first by n-gram odds, then by the network itself), a clean one by its most
 suspicious windows and some others. N-gram odds, the choice of windows and the fit over the highest logit come from
 all windows of the rows, where the rows are; of a text with more than MOST windows, the half of MOST most telling ones
-and as many spread over the whole text go to the driver.
+and as many spread over the whole text go to the driver. The fit's constant undoes the classes'
+different sampling rates, so that 0.5 lies where it does for the labels as they are.
 
 Defined cases: null text, empty text, or one without a word has the score that a text of the lowest logit has;
 without labels of both classes, or without a word in any labelled text, every score is the share of toxic ones, or 0;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._base import batch, keep, passing, pieces, utf8
-from .langid import sampled
+from .langid import sampled, shares
 
 WINDOW, STRIDE, HIDDEN, WIDTH, POOL = 32, 16, 8, 8, 8
 SIZES, BUCKETS, VOCABULARY = (3, 4, 5), 1 << 14, 4096
@@ -339,13 +340,14 @@ def train(texts: list[list[bytes]], y: np.ndarray, kept_out: np.ndarray, seen: n
     return {"w": w, "vocabulary": vocabulary, "low": -8.0, "line": np.array([1.0, 0.0, 0.0])}
 
 
-def calibrated(model: dict, peak: np.ndarray, many: np.ndarray, y: np.ndarray) -> dict:
-    """The model with the fit over the highest logits and numbers of windows of texts it has not learned from."""
+def calibrated(model: dict, peak: np.ndarray, many: np.ndarray, y: np.ndarray, tilt: float = 0.0) -> dict:
+    """The model with the fit over the highest logits and numbers of windows of texts it has not learned from. tilt:
+    the log of the sampling rate of toxic rows over that of clean ones."""
     some = many > 0
     if len(np.unique(y[some])) < 2:
         return model
     low = float(np.clip(np.quantile(peak[some], 0.02), -20, -4))
-    return model | {"low": low, "line": _line(peak[some], np.log(many[some]), y[some])}
+    return model | {"low": low, "line": _line(peak[some], np.log(many[some]), y[some]) - np.array([0.0, 0.0, tilt])}
 
 
 def _line(peak: np.ndarray, many: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -384,10 +386,11 @@ def score_texts(model: dict, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> dict:
     """A model from about ``per_class`` rows of each class of ``labels`` (id and 0/1) that are in ``df``."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    some = sampled(rows, "toxic", "doc_id", per_class)
+    share = shares(rows, "toxic", per_class)
+    some = sampled(rows, "toxic", "doc_id", per_class, share)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # about 2 * per_class ids at most, whatever the tables' sizes
-    return _learned(keep(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"), "labelled"))
+    return _learned(keep(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"), "labelled"), share)
 
 
 SEEN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -395,8 +398,9 @@ PARTS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("parts", pa.l
 PEAKS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("peak", pa.float64()), ("many", pa.int64())])
 
 
-def _learned(rows: DataFrame, seed: int = SEED) -> dict:
-    """fit() over a table (doc_id, text, toxic): whole texts are read where they are, only excerpts go to the driver."""
+def _learned(rows: DataFrame, share: dict, seed: int = SEED) -> dict:
+    """fit() over a table (doc_id, text, toxic): whole texts are read where they are, only excerpts go to the driver.
+    share: the sampling rate of each class."""
     ids = rows.select("doc_id", "toxic").toPandas()
     y = ids["toxic"].to_numpy(np.int64)
     if not len(y) or y.min() == y.max():
@@ -425,7 +429,8 @@ def _learned(rows: DataFrame, seed: int = SEED) -> dict:
     found = sorted((r.doc_id, [bytes(p) for p in r.parts], r.toxic) for r in found)
     model = train([parts for _, parts, _ in found], np.array([k for *_, k in found]), np.isin([i for i, *_ in found], out), seen, rng)
     if "constant" in model:
-        return model
+        toxic, clean = y.sum() / share[1], (1 - y).sum() / share[0]
+        return {"constant": float(toxic / (toxic + clean))}
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def highest(batches):
@@ -433,7 +438,7 @@ def _learned(rows: DataFrame, seed: int = SEED) -> dict:
             yield batch(PEAKS, b.column(0), b.column(2), *peaks(sent.value, *utf8(b.column(1))))
 
     check = rows.where(F.col("doc_id").isin(out.tolist())).mapInArrow(highest, "doc_id long, toxic int, peak double, many long").toPandas().sort_values(["doc_id", "peak"])
-    return calibrated(model, check["peak"].to_numpy(), check["many"].to_numpy(np.int64), check["toxic"].to_numpy(np.int64))
+    return calibrated(model, check["peak"].to_numpy(), check["many"].to_numpy(np.int64), check["toxic"].to_numpy(np.int64), float(np.log(share[1] / share[0])))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_windows", pa.int64())])

@@ -171,3 +171,18 @@ def test_few_labelled_texts():
     score, _ = toxicity.score_texts(toxicity.fit(texts, y), *toxicity.utf8(pa.array(texts)))
     assert ((score >= 0) & (score <= 1)).all()
     assert toxicity.fit(["", "1", ""], np.array([0, 1, 0])) == {"constant": pytest.approx(1 / 3)}
+
+
+def test_calibration_undoes_the_sampling_rates(spark, monkeypatch):
+    """10,000 clean and 1,000 toxic rows with overlapping logits, of which the sample has as many of each class."""
+    rng = np.random.default_rng(3)
+    y = np.repeat([0, 1], [10_000, 1000])
+    peak, many = rng.normal(2.0 * y - 1, 2.0), rng.integers(1, 90, len(y))
+    some = np.flatnonzero(y | (np.arange(len(y)) % 10 == 0))
+    labels = spark.range(440).selectExpr("id AS doc_id", "int(id < 40) AS toxic")
+    monkeypatch.setattr(toxicity, "_learned", lambda rows, share: share)
+    share = toxicity.learn(labels.selectExpr("doc_id", "'x' AS text"), labels, per_class=40)
+    assert share == {1: 1.0, 0: 0.1}
+    line = toxicity.calibrated({}, peak[some], many[some], y[some], float(np.log(share[1] / share[0])))["line"]
+    p = 1 / (1 + np.exp(-np.stack([peak, np.log(many), np.ones(len(y))], 1) @ line))
+    assert p.mean() == pytest.approx(y.mean(), abs=0.01)
