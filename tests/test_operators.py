@@ -155,3 +155,8 @@ def test_bundles(spark):
 
     got = {(r.g, r.i): r.bundle for r in reads.bundles(rows, "g", ["i"], F.col("s"), 90).collect()}
     assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 0): 0, ("b", 1): 1}
+
+
+@pytest.mark.parametrize("html", ["<nav><ul><li>a<li>b</ul></nav><p>body</p>", "<footer><table><tr><td>a<tr><td>b</table></footer><p>body</p>", "<div><aside><p>a<p>b</div><p>body</p>", "<p class=toc>a<p>body</p>", "<form><b>a</form><p>body</p>", "<nav>a<b></nav></b>body"])
+def test_markdown_after_skipped_blocks(html):
+    assert search.markdown(html) == "body"
