@@ -160,3 +160,11 @@ def test_bundles(spark):
 @pytest.mark.parametrize("html", ["<nav><ul><li>a<li>b</ul></nav><p>body</p>", "<footer><table><tr><td>a<tr><td>b</table></footer><p>body</p>", "<div><aside><p>a<p>b</div><p>body</p>", "<p class=toc>a<p>body</p>", "<form><b>a</form><p>body</p>", "<nav>a<b></nav></b>body"])
 def test_markdown_after_skipped_blocks(html):
     assert search.markdown(html) == "body"
+
+
+def test_boilerplate_keeps_rows_with_images(spark, tmp_path):
+    from chronoweave.plans.search_queries import boilerplate
+
+    texts = {1: "a [![x](data:image/png;base64,AA)](u) b", 2: "see data:image/gif;base64,BB\n\n\n\nc ", 3: " plain\n\n\nd"}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id: r.chars for r in boilerplate(spark, str(tmp_path)).collect()} == {1: len("a  b"), 2: len("see \n\nc"), 3: len("plain\n\nd")}
