@@ -8,7 +8,8 @@ memoised. Each place is closed at most once, so time is linear, and the result i
 
 Defined cases: null and empty texts have no ids and decode to no bytes; ties and repeated rows are kept as rows;
 null ids stay null; an empty table gives an empty result; other columns of the input are not read. Special tokens
-are ordinary text. Memory is bounded by STEP_BYTES of text or one text, and MEMO pieces.
+are ordinary text. Memory is bounded by STEP bytes of text or one text, MEMO_BYTES of remembered pieces and PAIRS
+remembered neighbours; beyond, a worker forgets all and goes on.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from ._base import batch, binary, pieces
 
-#: Pieces whose ids a worker remembers; beyond, it forgets all and goes on. A rank file may have MAX_RANKS_MB.
-MEMO, MAX_RANKS_MB = 500_000, 64
+#: Bytes of pieces and their ids, and pairs of neighbours, that a worker remembers; longer pieces than LONG are not
+#: remembered. Text at once. A rank file may have MAX_RANKS_MB.
+MEMO_BYTES, PAIRS, LONG, STEP, MAX_RANKS_MB = 4 << 20, 200_000, 64, 2 << 20, 64
 
 
 class Codec(dict):
@@ -35,7 +37,8 @@ class Codec(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.bytes_of, self.split = ranks, {i: b for b, i in ranks.items()}, regex.compile(pattern).findall
+        self.ranks, self.bytes_of, self.split = ranks, {i: b for b, i in ranks.items()}, regex.compile(pattern).finditer
+        self.held = 0
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no rank for the bytes {missing[:5]}")
         self.beside: dict[int, bool] = {}
@@ -59,7 +62,7 @@ class Codec(dict):
 
     def fits(self, left: int, token: int) -> bool:
         """Whether the merges leave these two as neighbours. Remembered by both ids in one number."""
-        if len(self.beside) >= 4 * MEMO:
+        if len(self.beside) >= PAIRS:
             self.beside.clear()
         known = self.beside[left << 32 | token] = self.merged(self.bytes_of[left] + self.bytes_of[token]) == [left, token]
         return known
@@ -92,21 +95,52 @@ class Codec(dict):
                 last, token = out[-1] if out else -1, shorter[token]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         ids = self.ids(piece.encode())
-        packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONG:
+            self.held += len(piece) + len(packed)
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = len(piece) + len(packed)
+            self[piece] = packed
         return packed
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, packed as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
+        if not text:
+            return b""
+        out = bytearray()  # grows in place: a very long text needs no list of all its pieces
+        for match in self.split(text):
+            out += self[match[0]]
+        return bytes(out)
 
     def decode(self, packed: bytes | None) -> bytes:
         """The bytes of packed ids."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())) if packed else b""
 
 
+class Decoder:
+    """The bytes of ids by a rank table, as one buffer and where each id's bytes are."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for b, i in ranks.items():
+            self.size[i] = len(b)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(b for _, b in sorted((i, b) for b, i in ranks.items())), np.uint8)
+
+    def decode(self, packed: bytes | None) -> bytes:
+        """The bytes of packed ids; an id without a rank raises an error."""
+        if not packed:
+            return b""
+        ids = np.frombuffer(packed, "<u4").astype(np.int64)
+        size = self.size[ids]
+        if not size.all():
+            raise ValueError(f"no rank has the id {int(ids[size == 0][0])}")
+        begin = np.cumsum(size) - size
+        return self.data[np.arange(int(size.sum())) + np.repeat(self.begin[ids] - begin, size)].tobytes()
+
+
 def read_ranks(path: str) -> bytes:
     """A rank file's content, read on the driver, to be sent to the executors. Its size is checked."""
     with open(path, "rb") as f:
@@ -121,35 +155,58 @@ def ranks_of(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(line.split()[0]): int(line.split()[1]) for line in data.splitlines() if line.strip()}
 
 
-@lru_cache(2)
+@lru_cache(1)
 def codec(data: bytes, pattern: str) -> Codec:
-    """One codec for each worker process and rank file."""
+    """One codec for each worker process."""
     return Codec(ranks_of(data), pattern)
 
 
+@lru_cache(1)
+def decoder(data: bytes) -> Decoder:
+    """One decoder for each worker process."""
+    return Decoder(ranks_of(data))
+
+
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) for every row."""
-    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))  # MAX_RANKS_MB at most
 
     def run(batches):
         own = codec(sent.value, pattern)
-        for b in pieces(batches, 1):
-            yield batch(ENCODED, b.column(0), binary([own.encode(x) for x in b.column(1).to_pylist()]))
+        for b in pieces(batches, 1, STEP):
+            yield batch(ENCODED, b.column(0), binary([own.encode(x.as_py()) for x in b.column(1)]))
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return _texts(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds decoded (binary) to what encode() returns."""
-    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+def decode(df: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """Adds decoded (binary) to what encode() returns; the pattern is not needed."""
+    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))  # MAX_RANKS_MB at most
 
     def run(batches):
-        own = codec(sent.value, pattern)
-        for b in pieces(batches, 1):
-            yield batch(DECODED, b.column(0), b.column(1), binary([own.decode(x) for x in b.column(1).to_pylist()]))
+        own = decoder(sent.value)
+        for b in pieces(batches, 1, STEP):
+            yield batch(DECODED, b.column(0), b.column(1), binary([own.decode(x.as_py()) for x in b.column(1)]))
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode() of encode() in one pass: doc_id, ids and decoded for every row, with one Python worker a task."""
+    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))  # MAX_RANKS_MB at most
+
+    def run(batches):
+        own, back = codec(sent.value, pattern), decoder(sent.value)
+        for b in pieces(batches, 1, STEP):
+            ids = [own.encode(x.as_py()) for x in b.column(1)]
+            yield batch(DECODED, b.column(0), binary(ids), binary([back.decode(x) for x in ids]))
+
+    return _texts(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded binary")
