@@ -3,31 +3,37 @@
 Texts are cut at ASCII blanks, A to Z lower-cased; a set holds the distinct shingles of SIZE words, as 64-bit hashes.
 Two sets link if ``100 * both >= PERCENT * either``. The join is exact up to collisions of 64-bit hashes:
 
-1. Equal sets are one, told by 128-bit sums of their hashes; the smallest id stands for it.
-2. Each set is dealt to buckets by its first ``n - ceil(n * PERCENT / 100) + 1`` shingles in an order that all sets
-   share; two sets that link meet in a bucket. Any order is right; frequent shingles come last, so that passages
-   many documents share make no buckets. Buckets with one set fall away, those with the same sets count once.
-3. Every set in a bucket gets a count vector: its shingles hashed into GROUPS groups. The sum over groups of the
-   smaller counts bounds the intersection from above.
-4. First, each set is verified with one other: of the first sets of its buckets the one with the highest bound. That
-   joins most of a group of near copies at one pair for each set, and buckets whose sets are all joined are done.
-5. In the others, count vectors are points of an R-tree (packed by size and leading groups). A query set goes down
-   to the nodes whose upper corners leave the bound high enough, and the pairs that pass are candidates. Buckets of
-   more than BLOCK sets are dealt to blocks, and all pairs of blocks are searched.
-6. Candidates are verified on the shingles themselves. One link joins two groups, so of each two groups that meet
-   the candidate of the highest bound comes first; where it fails, the next 8, then 64, and so on until the groups are
+1. Equal sets are one, told by a 64-bit sum of their hashes. All that follows works on distinct sets.
+2. Shingles are counted over all distinct sets: each stretch of text sends its shingles, packed as arrays, to the part
+   of the hash range they belong to; the part knows in how many sets each is, and sends those of two or more sets on
+   to the lot of their set. Shingles that are frequent already within a stretch (at most FREQUENT of them) are known
+   beforehand and stay out of that exchange.
+3. A set's prefix are its first ``n - ceil(n * PERCENT / 100) + 1`` shingles, rarest first, an order that all sets
+   share; two sets that link share a shingle of their prefixes. Shingles of one set alone come first and make no
+   bucket, so what many documents share makes one only where there is little else. Buckets of the same sets are one.
+4. A set is a point: its shingles hashed to groups, counted. The number of groups grows with the set (one for each
+   one or two shingles); halves add up, so sets of different sizes compare at the coarser number. The sum over groups
+   of the smaller counts bounds the intersection from above.
+5. Points are searched in R-trees (packed by size and leading groups): a query goes down to the nodes whose upper
+   corners leave the bound high enough. First each set is searched among those with which it shares its pivot, the
+   least set of the buckets that it shares most shingles with; of the pairs that the tree can't rule out, those of a
+   spanning forest of the highest bounds are verified on the shingles themselves. That joins most of a group of near
+   copies at one pair for each set.
+6. Then every bucket whose sets are not all joined is searched, in blocks of BLOCK sets; pairs of joined sets are left
+   out, and so are blocks of which both hold only the bucket's largest group. Of each two groups that meet the
+   candidate of the highest bound comes first; where it fails, the next 8, then 64, and so on until the groups are
    joined or no candidate is left. So no link between groups is lost.
 
 Defined cases: a null or empty text, or one of blanks alone, has no shingles and no links; fewer than SIZE words are
 one shingle; rows with a null id get their n_shingles and no component; rows that repeat an id are one document and
 link by any of their texts; an empty table gives an empty result; other columns are not read. A task holds STEP
-bytes of text or one text, two blocks of count vectors, or one pair of sets. FREQUENT bounds what is broadcast; it
-changes the work, never the result.
+bytes of text or one text, FLUSH shingles, one part or lot of about PART shingles, two blocks of points, or one pair
+of sets. FREQUENT and MAP_BITS bound what is broadcast; they change the work, never the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +42,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _words
-from ._base import batch, binary, keep, pieces, utf8
+from ._base import batch, binary, forget, free_name, keep, pieces, utf8
 
-SIZE, PERCENT, GROUPS, BLOCK, FAN, FREQUENT, STEP, FLUSH = 5, 75, 128, 1024, 8, 1 << 20, 2 << 20, 1 << 22
-#: Bits of the map that spares documents in no bucket a second look; false hits cost time alone.
-MAP_BITS = 1 << 25
+SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 1024, 8, 1 << 20, 2 << 20, 1 << 22, 1 << 20, 64
+#: Sets of a stretch that make a shingle frequent, and sets of a stretch at most (their numbers have 16 bits).
+OFTEN, MOST_SETS = 4, 60_000
+#: The most bits of the map that spares texts a second look; beyond, texts are joined instead.
+MAP_BITS = 1 << 27
 _FACTOR = _words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_U = np.uint64
 
 
 def shingles(raw: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +79,13 @@ def shingles(raw: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndar
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), until
 
 
-def set_sums(found: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums for each row that tell its set."""
+def set_names(found: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each row that tells its set, of two sums of its shingles."""
     sums = []
     for salt in (0xA5A5A5A55A5A5A5A, 0x0F1E2D3C4B5A6978):
-        total = np.append(np.uint64(0), np.cumsum(_words.mix(found ^ np.uint64(salt)), dtype=np.uint64))
-        sums.append((total[until[1:]] - total[until[:-1]]).view(np.int64))
-    return sums[0], sums[1]
+        total = np.append(_U(0), np.cumsum(_words.mix(found ^ _U(salt)), dtype=np.uint64))
+        sums.append(total[until[1:]] - total[until[:-1]])
+    return _words.mix(sums[0] ^ _words.mix(sums[1])).view(np.int64)
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -84,17 +93,28 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
-def vector(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """A set's counts by group."""
-    n = np.bincount((_words.mix(found ^ np.uint64(0x5DEECE66D)) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
-    return n.astype(np.int16 if n.max(initial=0) < 1 << 15 else np.int32)
+def groups_of(n) -> np.ndarray:
+    """The number of groups of a set of n shingles: a power of two, LEAST_GROUPS at least."""
+    return np.maximum(LEAST_GROUPS, 1 << np.ceil(np.log2(np.maximum(1, n) / 2)).astype(np.int64).clip(0))
 
 
-def unpacked(rows: list[bytes], groups: int = GROUPS) -> np.ndarray:
-    """Count vectors [row, group] of 16 or 32 bits, told by their length."""
-    if all(len(x) == 2 * groups for x in rows):
-        return np.frombuffer(b"".join(rows), np.int16).reshape(-1, groups).astype(np.int32)
-    return np.stack([np.frombuffer(x, np.int16 if len(x) == 2 * groups else np.int32) for x in rows]).astype(np.int32)
+def vector(found: np.ndarray) -> np.ndarray:
+    """A set's counts by group, in the smallest type that holds them."""
+    groups = int(groups_of(len(found)))
+    n = np.bincount(((_words.mix(found ^ _U(0x5DEECE66D)) >> _U(32)) % _U(groups)).astype(np.int64), minlength=groups)
+    return n.astype(np.min_scalar_type(int(n.max(initial=0))))
+
+
+def unpacked(rows: list[bytes], groups: int) -> np.ndarray:
+    """Count vectors [row, group]; the type of each is told by its length."""
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+    return np.stack([np.frombuffer(x, kinds[len(x) // groups]).astype(np.int32) for x in rows])
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """Points of half as many groups."""
+    half = points.shape[1] // 2
+    return points[:, :half] + points[:, half:]
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -109,60 +129,98 @@ class RTree:
         n = points.sum(1)
         self.order = np.lexsort((*[points[:, k] for k in range(min(4, points.shape[1]))][::-1], n))
         self.points, self.fan, self.levels = points, fan, []
-        low, high, least = points[self.order], points[self.order], n[self.order]
+        high, least, most = points[self.order], n[self.order], n[self.order]
         while True:
-            self.levels.append((high, least))
-            if len(low) <= 1:
+            self.levels.append((high, least, most))
+            if len(high) <= 1:
                 break
-            cuts = np.arange(0, len(low), fan)
-            low, high, least = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.minimum.reduceat(least, cuts)
+            cuts = np.arange(0, len(high), fan)
+            high, least, most = np.maximum.reduceat(high, cuts), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
 
     def search(self, queries: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, point and bound of all pairs whose summed minima are high enough for a link."""
         size = queries.sum(1)
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
-        bound = np.zeros(0)
+        bound, lot = np.zeros(0), max(64, (1 << 21) // queries.shape[1])
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, least = self.levels[depth]
+            high, least, most = self.levels[depth]
             if depth < len(self.levels) - 1:
                 child = (node[:, None] * self.fan + np.arange(self.fan)).reshape(-1)
                 q = np.repeat(q, self.fan)
                 q, node = q[child < len(high)], child[child < len(high)]
+            fits = (percent * least[node] <= 100 * size[q]) & (percent * size[q] <= 100 * most[node])
+            q, node = q[fits], node[fits]
             passes, bounds = [], []
-            for i in range(0, len(q), 8192):
-                s = slice(i, i + 8192)
-                most = np.minimum(queries[q[s]], high[node[s]]).sum(1)
-                fine = ((100 + percent) * most >= needed(size[q[s]], least[node[s]], percent)) & (percent * least[node[s]] <= 100 * size[q[s]])
+            for i in range(0, len(q), lot):
+                s = slice(i, i + lot)
+                both = np.minimum(queries[q[s]], high[node[s]]).sum(1)
+                fine = (100 + percent) * both >= needed(size[q[s]], least[node[s]], percent)
                 passes.append(np.flatnonzero(fine) + i)
-                bounds.append(most[fine])
-            keep_ = np.concatenate(passes) if passes else np.zeros(0, np.int64)
-            q, node, bound = q[keep_], node[keep_], np.concatenate(bounds) if bounds else np.zeros(0)
+                bounds.append(both[fine])
+            kept = np.concatenate(passes) if passes else np.zeros(0, np.int64)
+            q, node, bound = q[kept], node[kept], np.concatenate(bounds) if bounds else np.zeros(0)
         return q, self.order[node], bound
 
 
-PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-PREFIX = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-POINT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
-SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("found", pa.binary())])
+def tree_pairs(n: np.ndarray, counts: list[bytes], own: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places x (of own) and y (of other, or of own and each pair once) and bounds of the pairs that R-trees can't rule
+    out. There is a tree for each number of groups; linked sets differ by one doubling at most."""
+    level = groups_of(n)
+    found: list[tuple] = []
+
+    def points(some: np.ndarray) -> np.ndarray:
+        return unpacked([counts[i] for i in some.tolist()], int(level[some[0]]))
+
+    def search(queries: np.ndarray, places: np.ndarray, tree: RTree, of: np.ndarray, once: bool, turned: bool = False) -> None:
+        q, p, bound = tree.search(queries)
+        if once:
+            q, p, bound = q[q < p], p[q < p], bound[q < p]
+        x, y = places[q], of[p]
+        found.append((y, x, bound) if turned else (x, y, bound))
+
+    theirs = own if other is None else other
+    for g in np.unique(level[theirs]).tolist():
+        of = theirs[level[theirs] == g]
+        at = points(of)
+        tree = RTree(at)
+        if (same := own[level[own] == g]).size:
+            search(at if other is None else points(same), same, tree, of, other is None)
+        if (larger := own[level[own] == 2 * g]).size:
+            search(folded(points(larger)), larger, tree, of, False)
+    if other is not None:
+        for g in np.unique(level[own]).tolist():
+            if (larger := other[level[other] == 2 * g]).size:
+                of = own[level[own] == g]
+                search(folded(points(larger)), larger, RTree(points(of)), of, False, True)
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
+
+
+PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64())])
+SPREAD = pa.schema([("part", pa.int64()), ("frequent", pa.bool_()), ("sets", pa.binary()), ("sizes", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+TOKENS = pa.schema([("token", pa.int64()), ("s", pa.int64())])
+POINT = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+SET = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("found", pa.binary())])
 
 
 def _profile(batches):
-    """kind 0: each row's size and sums. kind 1: shingles (a) of two or more sets of a stretch, with their number."""
+    """kind 0: each row's size and set. kind 1: shingles (s) of OFTEN or more sets of a stretch, with their number."""
     seen: set = set()
     waiting, size = [], 0
 
     def flush():
         tokens, n = np.unique(np.concatenate(waiting), return_counts=True)
-        tokens, n = tokens[n > 1], n[n > 1]
-        k = len(tokens)
-        return batch(PROFILE, pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), n.astype(np.int64), tokens.view(np.int64), np.zeros(k, np.int64))
+        tokens, n = tokens[n >= OFTEN], n[n >= OFTEN]
+        return batch(PROFILE, pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), n.astype(np.int64), tokens.view(np.int64))
 
     for b in pieces(batches, 1, STEP):
         found, until = shingles(*utf8(b.column(1)))
-        sa, sb = set_sums(found, until)
-        yield batch(PROFILE, pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), np.diff(until), sa, sb)
-        for i, key in enumerate(zip(sa.tolist(), sb.tolist(), strict=True)):
-            if key not in seen and until[i + 1] > until[i]:
+        n, names = np.diff(until), set_names(found, until)
+        yield batch(PROFILE, pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), n, pa.array(names, mask=n == 0))
+        for i, key in enumerate(names.tolist()):
+            if n[i] and key not in seen:
                 seen.add(key)
                 waiting.append(found[until[i] : until[i + 1]])
                 size += len(waiting[-1])
@@ -173,100 +231,185 @@ def _profile(batches):
         yield flush()
 
 
-def _prefixes(frequent: np.ndarray, many: np.ndarray) -> Callable:
-    """Each set's prefix, for equal sets of a task once, then empty; frequent (sorted) shingles come last, by ``many``."""
-    none = np.zeros(0, np.int64)
+def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
+    """Shingles of distinct sets by part of the hash range: a row holds the sets of a stretch, (size, size without
+    frequent ones) of each, and for each shingle its set's number and 32 bits. Rows marked frequent hold instead the
+    frequent shingles of prefixes and the set of each."""
+
+    def flush(sets: list, sizes: list, tokens: list, held: list):
+        for part, t, s in held:
+            yield batch(SPREAD, [part], [True], binary([s.tobytes()]), binary([b""]), binary([b""]), binary([t.tobytes()]), binary([b""]))
+        flat, names, size = np.concatenate(tokens), np.array(sets, np.int64), np.array(sizes, np.int32)
+        order = np.argsort(flat)
+        flat, owner = flat[order], np.repeat(np.arange(len(sets)), [len(t) for t in tokens])[order]
+        part = (flat >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
+        key = ((flat >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32)
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(flat)) if len(flat) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            there = np.zeros(len(sets), bool)
+            there[owner[i:j]] = True
+            number = (np.cumsum(there) - 1).astype(np.uint16)
+            yield batch(SPREAD, [int(part[i])], [False], binary([names[there].tobytes()]), binary([size[there].tobytes()]), binary([number[owner[i:j]].tobytes()]), binary([key[i:j].tobytes()]), binary([b""]))
 
     def run(batches):
         seen: set = set()
+        sets, sizes, tokens, held, total = [], [], [], [], 0
         for b in pieces(batches, 1, STEP):
             found, until = shingles(*utf8(b.column(1)))
-            sa, sb = set_sums(found, until)
-            weight = np.zeros(len(found), np.int64)
+            n, names = np.diff(until), set_names(found, until)
+            often = np.zeros(len(found), np.int64)
             if len(frequent):
                 place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                weight = np.where(frequent[place] == found, many[place], 0)
-            size, rows, tokens = prefix_size(np.diff(until)), [], []
-            for i, key in enumerate(zip(sa.tolist(), sb.tolist(), strict=True)):
-                if size[i]:
-                    own, w = found[until[i] : until[i + 1]], weight[until[i] : until[i + 1]]
-                    rows.append(i)
-                    tokens.append(none if key in seen else (own[np.lexsort((own, w))] if w.any() else own)[: size[i]].view(np.int64))
-                    seen.add(key)
-            offsets = pa.array(np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int32))
-            flat = pa.array(np.concatenate([none, *tokens]))
-            yield batch(PREFIX, b.column(0).take(pa.array(rows, pa.int64())), sa[rows], sb[rows], pa.ListArray.from_arrays(offsets, flat))
+                often = np.where(frequent[place] == found, many[place], 0)
+            for i, (size, key) in enumerate(zip(n.tolist(), names.tolist(), strict=True)):
+                if not size or key in seen:
+                    continue
+                seen.add(key)
+                own, w = found[until[i] : until[i + 1]], often[until[i] : until[i + 1]]
+                rare = own[w == 0]
+                if (more := int(prefix_size(np.int64(size))) - len(rare)) > 0:
+                    hot, w = own[w > 0], w[w > 0]
+                    hot = hot[np.lexsort((hot, w))][:more]
+                    held.append((key & ((1 << bits) - 1), (hot | _U(1 << 63)).view(np.int64), np.full(len(hot), key)))
+                sets.append(key)
+                sizes.append((size, len(rare)))
+                tokens.append(rare)
+                total += len(rare)
+            if total >= FLUSH or len(sets) >= MOST_SETS - 10_000:
+                yield from flush(sets, sizes, tokens, held)
+                sets, sizes, tokens, held, total = [], [], [], [], 0
+        if sets:
+            yield from flush(sets, sizes, tokens, held)
 
     return run
 
 
-def _of_marked(texts: DataFrame, ids: DataFrame, schema: pa.Schema, make: Callable) -> DataFrame:
-    """doc_id and ``make(shingles)`` (binary) for the documents of some ids, and a few more; kept.
+def _by_part(batches) -> Iterator[tuple[int, list]]:
+    """Rows of sorted batches, those of one part together."""
+    part, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[0] != part and held:
+                yield part, held
+                held = []
+            part = row[0]
+            held.append(row[1:])
+    if held:
+        yield part, held
+
+
+def _joined(rows: list, column: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
-    The ids are told by a map of MAP_BITS, so that no text is shuffled."""
-    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(ids))
+
+def _counted(bits: int) -> Callable:
+    """What the parts send on: for each lot of sets the shingles that are in two or more sets, with their number."""
 
     def run(batches):
-        for b in batches:
-            for p in pieces([b.filter(pa.array(_set(bits.value, b.column(0).to_numpy())))], 1, STEP):
-                found, until = shingles(*utf8(p.column(1)))
-                yield batch(schema, p.column(0), np.diff(until), binary([make(found[until[i] : until[i + 1]]).tobytes() for i in range(p.num_rows)]))
+        for part, rows in _by_part(batches):
+            for r in rows:
+                if r[0]:
+                    yield batch(SPREAD, [part], [True], *(binary([x]) for x in r[1:]))
+            rows = [r for r in rows if not r[0]]
+            if not rows:
+                continue
+            names, first, number = np.unique(_joined(rows, 1, np.int64), return_index=True, return_inverse=True)
+            sizes = _joined(rows, 2, np.int32).reshape(-1, 2)[first]
+            begin = np.cumsum([0, *(len(r[1]) // 8 for r in rows)])
+            owner = np.concatenate([number[begin[k] + np.frombuffer(r[3], np.uint16).astype(np.int64)] for k, r in enumerate(rows)])
+            pairs = np.unique(_joined(rows, 4, np.uint32).astype(np.uint64) << _U(32) | owner.astype(np.uint64))
+            key, owner = pairs >> _U(32), (pairs & _U(0xFFFFFFFF)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(cuts, len(key)))
+            many = np.repeat(size, size)
+            key, owner, many = key[many > 1], owner[many > 1], many[many > 1]
+            lot = names[owner] & ((1 << bits) - 1)
+            order = np.lexsort((owner, lot))
+            lot, owner, key, many = lot[order], owner[order], key[order].astype(np.uint32), np.minimum(many[order], 65535).astype(np.uint16)
+            cuts = np.append(np.flatnonzero(np.append(True, lot[1:] != lot[:-1])), len(lot)) if len(lot) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                own, each = np.unique(owner[i:j], return_counts=True)
+                # the sets' numbers are told by how many shingles each has; the part by the first of the counts' row
+                yield batch(SPREAD, [int(lot[i])], [False], binary([names[own].tobytes()]), binary([sizes[own].tobytes()]), binary([np.append(part, each).astype(np.int64).tobytes()]), binary([key[i:j].tobytes()]), binary([many[i:j].tobytes()]))
+
+    return run
 
-    name = schema.names[2]
-    return keep(texts.mapInArrow(run, f"doc_id long, n long, {name} binary"), name)
+
+def _prefixes(batches):
+    """The shingles of each set's prefix that other sets have too."""
+    for _, rows in _by_part(batches):
+        for r in rows:
+            if r[0]:
+                yield batch(TOKENS, np.frombuffer(r[4], np.int64), np.frombuffer(r[1], np.int64))
+        rows = [r for r in rows if not r[0]]
+        if not rows:
+            continue
+        names, first, number = np.unique(_joined(rows, 1, np.int64), return_index=True, return_inverse=True)
+        sizes = _joined(rows, 2, np.int32).reshape(-1, 2)[first].astype(np.int64)
+        heads = [np.frombuffer(r[3], np.int64) for r in rows]
+        owner = np.repeat(number, np.concatenate([h[1:] for h in heads]))
+        part = np.repeat([h[0] for h in heads], [len(r[4]) // 4 for r in rows])
+        key = part << 32 | _joined(rows, 4, np.uint32).astype(np.int64)
+        order = np.lexsort((key, _joined(rows, 5, np.uint16), owner))
+        owner, key = owner[order], key[order]
+        shared = np.bincount(owner, minlength=len(names))
+        rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+        own = np.minimum(prefix_size(sizes[:, 0]), sizes[:, 1]) - (sizes[:, 1] - shared)  # others have none of the rest
+        kept = rank < own[owner]
+        yield batch(TOKENS, key[kept], names[owner[kept]])
 
 
-def _spots(ids: np.ndarray) -> np.ndarray:
-    return (_words.mix(ids.view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
+def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_words.mix(ids.view(np.uint64)) % _U(bits)).astype(np.int64)
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """The map of ids, hashed to MAP_BITS bits: MAP_BITS / 8 bytes on the driver, whatever the number of ids."""
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """The map of ids, hashed to a number of bits: bits / 8 bytes on the driver, whatever the number of ids."""
 
     def spots(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_spots(b.column(0).to_numpy())))], names=["spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_spots(b.column(0).to_numpy(), bits)))], names=["spot"])
 
     marked = ids.mapInArrow(spots, "spot long").select((F.col("spot") / 32768).cast("long").alias("part"), F.pmod("spot", F.lit(32768)).alias("bit"))
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
     for r in marked.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-        bits[r.part * 4096 : r.part * 4096 + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-    return bits
+        out[r.part * 4096 : r.part * 4096 + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def _set(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _set(bitmap: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
     """Whether the ids' bits are set."""
-    spot = _spots(ids)
-    return (bits[spot >> 3] >> (spot & 7)) & 1 == 1
+    spot = _spots(ids, bits)
+    return (bitmap[spot >> 3] >> (spot & 7)) & 1 == 1
 
 
-def _both(pairs: DataFrame, each: DataFrame, name: str) -> DataFrame:
-    """Adds a column of either document: name + "x" and name + "y"."""
-    for k in "xy":
-        pairs = pairs.join(each.select(F.col("doc_id").alias(k), F.col(name).alias(name + k)), k)
-    return pairs.select("x", "y", f"{name}x", f"{name}y")
+def _map_size(n: int) -> int:
+    """Bits of a map of n ids with few false hits, or 0 where that would be over MAP_BITS."""
+    bits = 1 << max(16, int(16 * n - 1).bit_length())
+    return bits if bits <= MAP_BITS else 0
 
 
-CANDIDATE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bound", pa.int64())])
+def _of_marked(texts: DataFrame, names: DataFrame, owners: DataFrame, schema: pa.Schema, make: Callable) -> DataFrame:
+    """s, n and ``make(shingles)`` (binary) of the named sets, and of a few more, from the text of each one's owner.
 
-
-def bounded(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """x, y, bound: the pairs that their count vectors don't rule out, with the sum of coordinate minima."""
+    The owners are told by a map of their ids, so that no text is shuffled; where the map would be too large, texts
+    are joined."""
+    ids = names.join(owners, "s").select(F.col("own").alias("doc_id"))
+    bits = _map_size(names.count())
+    sent = texts.sparkSession.sparkContext.broadcast(_bitmap(ids, bits)) if bits else None  # MAP_BITS / 8 bytes at most
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                cx, cy = (unpacked(b.column(k).to_pylist()) for k in (2, 3))
-                most = np.minimum(cx, cy).sum(1)
-                fine = pa.array((100 + percent) * most >= needed(cx.sum(1), cy.sum(1), percent))
-                yield batch(CANDIDATE, b.column(0), b.column(1), most).filter(fine)
+            for p in pieces([b.filter(pa.array(_set(sent.value, b.column(0).to_numpy(), bits))) if bits else b], 1, STEP):
+                found, until = shingles(*utf8(p.column(1)))
+                yield batch(schema, set_names(found, until), np.diff(until), binary([make(found[until[i] : until[i + 1]]).tobytes() for i in range(p.num_rows)]))
 
-    sized = _both(pairs, points, "n").where(percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")).select("x", "y")
-    return _both(sized, points, "counts").mapInArrow(run, "x long, y long, bound long")
+    some = texts if bits else texts.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    return some.mapInArrow(run, f"s long, n long, {schema.names[2]} binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (x, y) those that link, by the sets themselves."""
+def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (x, y) those that link, by the sets themselves: left has those of x, right those of y."""
 
     def run(batches):
         for b in batches:
@@ -277,38 +420,40 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                 fine.append((100 + percent) * int((fy[place] == fx).sum()) >= needed(len(fx), len(fy), percent))
             yield b.select(["x", "y"]).filter(pa.array(fine, pa.bool_()))
 
-    return _both(pairs, sets, "found").mapInArrow(run, "x long, y long").distinct()
+    with_x = pairs.join(left.select(F.col("s").alias("x"), F.col("found").alias("fx")), "x")
+    both = with_x.join(right.select(F.col("s").alias("y"), F.col("found").alias("fy")), "y").select("x", "y", "fx", "fy")
+    return both.mapInArrow(run, "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """v and label: the smallest vertex of each vertex's component. Contracts the graph until no edge is left.
 
     Each round hooks every vertex to its smallest neighbour, shortens the chains by jumping, and keeps the edges
-    between different roots. Tables are written to the shared folder each round.
+    between different roots. Tables are written to the shared folder each round; what a later one replaces is deleted.
     """
     current = keep(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
     labels = None
     while True:
         both = current.unionByName(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        up = both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("y")).select("v", F.least("v", "y").alias("label"))
+        up = keep(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("y")).select("v", F.least("v", "y").alias("label")), "up")
         while True:
-            up = keep(up, "up")
             above = up.select(F.col("v").alias("label"), F.col("label").alias("next"))
-            jumped = up.join(above, "label", "left").select("v", F.coalesce("next", "label").alias("label"), (F.col("next") < F.col("label")).alias("moved"))
-            jumped = keep(jumped, "jumped")
-            up = jumped.select("v", "label")
-            if not jumped.where("moved").limit(1).count():
+            jumped = keep(up.join(above, "label", "left").select("v", F.coalesce("next", "label").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "up")
+            forget(up)
+            up = jumped
+            if not up.where("moved").limit(1).count():
                 break
+        before, old = labels, current
         if labels is None:
-            labels = up
+            labels = keep(up.select("v", "label"), "labels")
         else:
             step = up.select(F.col("v").alias("label"), F.col("label").alias("next"))
-            labels = labels.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
-        labels = keep(labels, "labels")
+            labels = keep(labels.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label")), "labels")
         x, y = (up.select(F.col("v").alias(k), F.col("label").alias(f"l{k}")) for k in "xy")
-        moved = current.join(x, "x").join(y, "y").where("lx <> ly").select(F.least("lx", "ly").alias("x"), F.greatest("lx", "ly").alias("y")).distinct()
-        current = keep(moved, "edges")
+        current = keep(old.join(x, "x").join(y, "y").where("lx <> ly").select(F.least("lx", "ly").alias("x"), F.greatest("lx", "ly").alias("y")).distinct(), "edges")
+        forget(up, old, before)
         if not current.limit(1).count():
+            forget(current)
             return labels
 
 
@@ -322,30 +467,53 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, vertex: str, name: str)
 OFFER = pa.schema([("bucket", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("more", pa.bool_())])
 
 
-def _tree_pairs(batches, many: int):
-    """Candidates of sorted groups (key, bucket, side, doc_id, label, counts); a group may go on in the next batch.
+def _forest(low: np.ndarray, high: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of pairs in an order, those that join two trees."""
+    up: dict[int, int] = {}
 
-    Of each pair of labels the ``many`` with the highest bounds, and whether there are more."""
+    def find(i: int) -> int:
+        while (j := up.get(i, i)) != i:
+            up[i] = i = up.get(j, j)
+        return i
+
+    kept, left = [], len(np.unique(np.append(low, high))) - 1
+    for k, a, b in zip(order.tolist(), low[order].tolist(), high[order].tolist(), strict=True):
+        if not left:
+            break
+        a, b = find(a), find(b)
+        if a != b:
+            up[b] = a
+            kept.append(k)
+            left -= 1
+    return np.array(kept, np.int64)
+
+
+def _tree_offers(batches, many: int):
+    """Candidates of sorted groups (key, bucket, side, s, label, n, counts); a group may go on in the next batch.
+
+    many 0: a forest of the pairs with the highest bounds. Else of each pair of labels the ``many`` with the highest
+    bounds. With both, whether there are more candidates between different labels."""
 
     def pairs(rows: pa.Table):
-        ids, label, side = (rows[k].to_numpy() for k in ("doc_id", "label", "side"))
-        points = unpacked(rows["counts"].to_pylist())
-        own = np.flatnonzero(side == 0) if (side == 1).any() else np.arange(len(ids))
-        other = np.flatnonzero(side == 1) if (side == 1).any() else own
-        q, p, bound = RTree(points[other]).search(points[own])
-        x, y = own[q], other[p]
+        ids, label, side, n = (rows[k].to_numpy() for k in ("s", "label", "side", "n"))
+        two = bool((side == 1).any())
+        own = np.flatnonzero(side == 0) if two else np.arange(len(ids))
+        x, y, bound = tree_pairs(n, rows["counts"].to_pylist(), own, np.flatnonzero(side == 1) if two else None)
         fine = label[x] != label[y]
-        if other is own:
-            fine &= ids[x] < ids[y]
-        x, y, bound = x[fine], y[fine], bound[fine].astype(np.int64)
-        one, two = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        x, y, bound = x[fine], y[fine], bound[fine]
+        one, other = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-        order = np.lexsort((two, one, -bound, high, low))
-        low, high = low[order], high[order]
-        cuts = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(order) else np.zeros(0, np.int64)
-        size = np.diff(np.append(cuts, len(order)))
-        kept = np.arange(len(order)) - np.repeat(cuts, size) < many
-        return np.repeat(rows["bucket"].to_numpy()[:1], int(kept.sum())), one[order][kept], two[order][kept], np.repeat(size > many, size)[kept]
+        if not many:
+            kept = _forest(low, high, np.lexsort((other, one, -bound)))
+            more = np.full(len(kept), len(x) > len(kept))
+        else:
+            order = np.lexsort((other, one, -bound, high, low))
+            one, other, low, high = one[order], other[order], low[order], high[order]
+            cuts = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(order) else np.zeros(0, np.int64)
+            size = np.diff(np.append(cuts, len(order)))
+            kept = np.flatnonzero(np.arange(len(order)) - np.repeat(cuts, size) < many)
+            more = np.repeat(size > many, size)[kept]
+        return np.repeat(rows["bucket"].to_numpy()[:1], len(kept)), one[kept], other[kept], more
 
     held = None
     for b in batches:
@@ -357,33 +525,48 @@ def _tree_pairs(batches, many: int):
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         held = table.slice(int(cuts[-2])).combine_chunks()
         for i, j in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield batch(OFFER, *pairs(table.slice(int(i), int(j - i))))
-    if held is not None:
+            if j - i > 1:
+                yield batch(OFFER, *pairs(table.slice(int(i), int(j - i))))
+    if held is not None and held.num_rows > 1:
         yield batch(OFFER, *pairs(held))
 
 
-def candidates(buckets: DataFrame, points: DataFrame, labels: DataFrame | None, many: int) -> DataFrame:
-    """bucket, x, y, more: pairs of different groups that meet in a bucket and that its R-tree can't rule out.
-
-    One link joins two groups, so of each two groups that meet in a block of a bucket only the ``many`` pairs of the
-    highest bounds are told, and whether there are more."""
+def searched(dealt: DataFrame, points: DataFrame, many: int) -> DataFrame:
+    """bucket, x, y, more: what the R-trees of the groups (key, bucket, side, s, label) offer."""
 
     def run(batches):
-        return _tree_pairs(batches, many)
+        return _tree_offers(batches, many)
 
-    rows = _labelled(buckets.select("bucket", "doc_id").distinct(), labels, "doc_id", "label")
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "size")
-    open_ = rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    with_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    low, high = F.least("block", "with"), F.greatest("block", "with")
-    dealt = with_.select(F.xxhash64("bucket", low, high).alias("key"), F.when(F.col("block") == high, F.when(low == high, 0).otherwise(1)).otherwise(0).alias("side"), "bucket", "doc_id", "label")
-    placed = dealt.join(points.select("doc_id", "counts"), "doc_id").select("key", "bucket", "side", "doc_id", "label", "counts")
+    placed = dealt.join(points.select("s", "n", "counts"), "s").select("key", "bucket", "side", "s", "label", "n", "counts")
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, x long, y long, more boolean")
 
 
+def by_pivot(chosen: DataFrame) -> DataFrame:
+    """Groups of sets (s, low) with one pivot, in blocks; the pivot is in every block."""
+    size = chosen.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = chosen.join(size, "low").select("low", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), "s")
+    pivots = size.select("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("low").alias("s"))
+    return rows.unionByName(pivots).select(F.xxhash64("low", "block").alias("key"), F.col("low").alias("bucket"), F.lit(0).alias("side"), "s", F.col("s").alias("label"))
+
+
+def by_bucket(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Groups of the buckets that hold several labels, in pairs of blocks. Sets of a bucket's most frequent label have
+    blocks of their own, and of two such blocks there is nothing to search."""
+    rows = _labelled(buckets.select("bucket", "s"), labels, "s", "label")
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = mixed.select("bucket", "main", F.ceil((F.col("all") - F.col("n")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n") / BLOCK).cast("int").alias("mains"))
+    own = F.col("label") == F.col("main")
+    place = F.pmod(F.xxhash64("s"), F.when(own, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    open_ = rows.join(mixed, "bucket").withColumn("block", F.when(own, F.col("others") + place).otherwise(place))
+    with_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.when(own, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)).alias("with"))
+    low, high = F.least("block", "with"), F.greatest("block", "with")
+    return with_.select(F.xxhash64("bucket", low, high).alias("key"), "bucket", ((F.col("block") == high) & (low < high)).cast("int").alias("side"), "s", "label")
+
+
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most FREQUENT of the most frequent shingles, sorted, and their counts: all from a certain count on."""
-    sums = keep(counted.groupBy("a").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "frequent")
+    sums = keep(counted.groupBy("s").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "frequent")
     most, least = 0, None
     for step, n in sorted(map(tuple, sums.groupBy("step").count().collect()), reverse=True):
         most += n
@@ -391,92 +574,122 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = step
     if least is None:
+        forget(sums)
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def packed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([binary([b.column(0).to_numpy().tobytes()]), binary([b.column(1).to_numpy().tobytes()])], names=["a", "n"])
+            yield pa.RecordBatch.from_arrays([binary([b.column(0).to_numpy().tobytes()]), binary([b.column(1).to_numpy().tobytes()])], names=["s", "n"])
 
-    rows = sums.where(F.col("step") >= least).select("a", "n").mapInArrow(packed, "a binary, n binary").collect()  # FREQUENT * 16 bytes at most
-    tokens = np.concatenate([np.frombuffer(r.a, np.uint64) for r in rows])
+    rows = sums.where(F.col("step") >= least).select("s", "n").mapInArrow(packed, "s binary, n binary").collect()  # FREQUENT * 16 bytes at most
+    forget(sums)
+    tokens = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.s, np.uint64) for r in rows)])
     order = np.argsort(tokens)
-    return tokens[order], np.concatenate([np.frombuffer(r.n, np.int64) for r in rows])[order].astype(np.int32)
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    return tokens[order], np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.n, np.int64) for r in rows)])[order].astype(np.int32)
 
 
 def _same(found: np.ndarray) -> np.ndarray:
     return found
 
 
+def prefix_tokens(named: DataFrame, total: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """token, s: each set's prefix without the shingles that no other set has. total: shingles of all sets, about."""
+    bits = min(31, max(3, (max(1, total) // PART).bit_length()))
+    sent = named.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT * 12 bytes at most
+    kind = "part long, frequent boolean, sets binary, sizes binary, owners binary, keys binary, counts binary"
+
+    def spread(batches):
+        return _spread(bits, *sent.value)(batches)
+
+    parts = named.mapInArrow(spread, kind).repartition("part").sortWithinPartitions("part").mapInArrow(_counted(bits), kind)
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(_prefixes, "token long, s long")
+
+
+def buckets_of(tokens: DataFrame) -> DataFrame:
+    """bucket, s, low (the least set of the bucket), times (how many shingles made it)."""
+    size = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("s").alias("low"), F.bit_xor(F.xxhash64("s")).alias("bucket")).where("size > 1").select("token", "low", "bucket")
+    often, rare = size.where("token < 0"), size.where("token >= 0")  # frequent shingles are marked by their sign
+    met = tokens.where("token < 0").join(F.broadcast(often), "token").unionByName(tokens.where("token >= 0").join(rare, "token"))  # FREQUENT rows at most
+    return met.groupBy("bucket", "s").agg(F.min("low").alias("low"), F.count("*").alias("times"))
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links lead to, its own included) for every row."""
-    spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = keep(texts.mapInArrow(_profile, "kind int, doc_id long, n long, a long, b long"), "profile")
-    docs = profile.where("kind = 0").select("doc_id", "n", "a", "b")
-    sent = spark.sparkContext.broadcast(_frequent(profile.where("kind = 1").select("a", "n")))
+    profile = keep(texts.mapInArrow(_profile, "kind int, doc_id long, n long, s long"), "profile")
+    docs = profile.where("kind = 0").select("doc_id", "n", "s")
     named = texts.where(F.col("doc_id").isNotNull())
-
-    def prefixes(batches):
-        return _prefixes(*sent.value)(batches)
-
-    first = named.mapInArrow(prefixes, "doc_id long, a long, b long, tokens array<long>")
-    distinct_sets = first.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max_by("tokens", F.size("tokens")).alias("tokens"))
-    token = Window.partitionBy("token")
-    met = distinct_sets.select(F.explode("tokens").alias("token"), "doc_id").select("doc_id", F.count("*").over(token).alias("size"), F.min("doc_id").over(token).alias("low"), F.bit_xor(F.xxhash64("doc_id")).over(token).alias("bucket"))
-    buckets = keep(met.where("size > 1").groupBy("bucket", "doc_id").agg(F.min("low").alias("low"), F.count("*").alias("times")), "buckets")
-    points = _of_marked(named, buckets.select("doc_id").distinct(), POINT, vector)
-    star = buckets.where("doc_id <> low").select(F.col("low").alias("x"), F.col("doc_id").alias("y")).distinct()
-    near = bounded(star, points)
-    first_pairs = keep(near.groupBy("y").agg(F.max_by("x", F.struct("bound", -F.col("x"))).alias("x")).select("x", "y"), "pivots")
-    edges = keep(verify(first_pairs, _of_marked(named, _ends(first_pairs), SET, _same)), "links")
-    labels = components(edges)
-    many, tried, open_ = 1, first_pairs.select("x", "y"), buckets
+    owners = docs.where("n > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("own"))
+    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    tokens = keep(prefix_tokens(named, total, _frequent(profile.where("kind = 1").select("s", "n"))), "tokens")
+    buckets = keep(buckets_of(tokens), "buckets")
+    forget(tokens)
+    points = keep(_of_marked(named, buckets.select("s").distinct(), owners, POINT, vector), "points")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return keep(verify(pairs, _of_marked(named, pairs.select(F.col("x").alias("s")).distinct(), owners, SET, _same), _of_marked(named, pairs.select(F.col("y").alias("s")).distinct(), owners, SET, _same)), "links")
+
+    shared = buckets.where("s <> low").groupBy("s", "low").agg(F.sum("times").alias("times"))
+    chosen = keep(shared.groupBy("s").agg(F.max_by("low", F.struct("times", -F.col("low"))).alias("low")), "pivots")
+    tried = keep(searched(by_pivot(chosen), points, 0).select("x", "y").distinct(), "pairs")
+    edges = links(tried)
+    labels, many, open_ = components(edges), 0, buckets
+    forget(chosen)
     while True:
-        offered = keep(candidates(open_, points, labels, many), "candidates")
-        fresh = keep(offered.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "fresh")
+        offered = keep(searched(by_bucket(open_, labels), points, many), "offers")
+        fresh = keep(offered.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
         if fresh.limit(1).count():
-            tried = tried.unionByName(fresh)
-            new = keep(verify(fresh, _of_marked(named, _ends(fresh), SET, _same)), "links")
+            tried, new = tried.unionByName(fresh), links(fresh)
             if new.limit(1).count():
-                edges = edges.unionByName(new)
+                edges, old = edges.unionByName(new), labels
                 labels = components(edges)
-        more = offered.where("more").select("bucket").distinct()
+                forget(old)
+        more = keep(offered.where("more").select("bucket").distinct(), "open")
+        forget(offered)
         if not more.limit(1).count():
             break
-        open_, many = buckets.join(more, "bucket", "left_semi"), many * 8
-    sets_of = docs.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("own"))
-    rows = docs.join(sets_of, ["a", "b"], "left").withColumn("own", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("own")).otherwise(F.col("doc_id")))
-    again = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("x", "y")
+        open_, many = buckets.join(more, "bucket", "left_semi"), max(1, many * 8)
+    forget(points, buckets)
+    again = docs.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y")
     if again.limit(1).count():
-        labels = components(edges.unionByName(again))
-    return _labelled(rows, labels, "own", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        repeated = docs.where("n > 0").join(again.select("doc_id", "x"), "doc_id").select("x", F.col("s").alias("y")).where("x <> y").distinct()
+        labels = components(edges.unionByName(repeated))
+    least = _labelled(owners, labels, "s", "label")
+    least = least.join(least.groupBy("label").agg(F.min("own").alias("component_id")), "label").select("s", "component_id")
+    rows = docs.where("n > 0 and doc_id is not null").join(least, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = docs.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if not again.limit(1).count():
+        return rows.unionByName(rest)
+    # an empty text of a repeated id belongs to the component of the id's other texts
+    by_id = rows.groupBy("doc_id").agg(F.min("component_id").alias("own"))
+    rest = rest.join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
+    return rows.unionByName(rest)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of one document of each group: that of the smallest id, of rows that repeat
-    it the first by text. Rows with a null id stay. Only rows that may go are shuffled: the others are told by a map
-    of the ids that go or repeat."""
+    """The rows, with all their columns whatever their names, of one document of each group: that of the smallest id,
+    of rows that repeat it the first by text. Rows with a null id stay. Only rows that may go are shuffled: the others
+    are told by a map of the ids that go or repeat, or where it would be too large by a join."""
     linked = keep(link(df, id_col, text_col).where(F.col("doc_id").isNotNull()), "linked")
     each = linked.groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("first"), F.count("*").alias("rows"))
-    doubtful = keep(each.where("not first or rows > 1"), "doubtful")
-    bits = df.sparkSession.sparkContext.broadcast(_bitmap(doubtful.select("doc_id")))
-    place, kind = df.columns.index(id_col), df.schema
+    own, fine, rank = (free_name(df.columns, k) for k in ("doubtful_id", "doubtful_first", "doubtful_rank"))
+    doubtful = keep(each.where("not first or rows > 1").select(F.col("doc_id").alias(own), F.col("first").alias(fine)), "doubtful")
+    bits = _map_size(doubtful.count())
+    sent = df.sparkSession.sparkContext.broadcast(_bitmap(doubtful.select(own), bits)) if bits else None  # MAP_BITS / 8 bytes at most
+    place, kind, columns = df.columns.index(id_col), df.schema, [F.col(f"`{c}`") for c in df.columns]
 
     def part(hit: bool):
         def run(batches):
             for b in batches:
                 ids = b.column(place).cast(pa.int64())
-                doubt = _set(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                doubt = ids.is_valid().to_numpy(zero_copy_only=False)
+                if bits:
+                    doubt &= _set(sent.value, ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
                 yield b.filter(pa.array(doubt if hit else ~doubt))
 
         return df.mapInArrow(run, kind)
 
-    own = "_doubtful_id"
-    some = part(True).join(doubtful.withColumnRenamed("doc_id", own), F.col(id_col).cast("long") == F.col(own), "left").where(F.coalesce("first", F.lit(True)))
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    some = some.withColumn(own, F.row_number().over(order)).where(F.col(own) == 1).select(*df.columns)
+    some = part(True).join(doubtful, F.col(f"`{id_col}`").cast("long") == F.col(own), "left").where(F.coalesce(F.col(fine), F.lit(True)))
+    order = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`"))
+    some = some.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*columns)
     return part(False).unionByName(some)
