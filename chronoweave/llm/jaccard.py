@@ -44,9 +44,13 @@ from pyspark.sql.window import Window
 from . import _words
 from ._base import batch, binary, forget, free_name, keep, pieces, utf8
 
-SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 1024, 8, 1 << 20, 2 << 20, 1 << 22, 1 << 20, 64
+SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 1024, 8, 1 << 20, 2 << 20, 1 << 22, 1 << 22, 64
 #: Sets of a stretch that make a shingle frequent, and sets of a stretch at most (their numbers have 16 bits).
 OFTEN, MOST_SETS = 4, 60_000
+#: Rounds of searches by pivot; the buckets are searched after them whatever they have left.
+ROUNDS = 3
+#: Pairs that are broadcast at most (16 bytes each); beyond, they are joined by shuffles.
+SENT_PAIRS = 1 << 20
 #: The most bits of the map that spares texts a second look; beyond, texts are joined instead.
 MAP_BITS = 1 << 27
 _FACTOR = _words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -200,7 +204,7 @@ def tree_pairs(n: np.ndarray, counts: list[bytes], own: np.ndarray, other: np.nd
 
 PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64())])
 SPREAD = pa.schema([("part", pa.int64()), ("frequent", pa.bool_()), ("sets", pa.binary()), ("sizes", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
-TOKENS = pa.schema([("token", pa.int64()), ("s", pa.int64())])
+MET = pa.schema([("token", pa.int64()), ("bucket", pa.int64()), ("s", pa.int64()), ("low", pa.int64()), ("times", pa.int64())])
 POINT = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
 SET = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("found", pa.binary())])
 
@@ -231,15 +235,30 @@ def _profile(batches):
         yield flush()
 
 
+def _thinned(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as steps of 16 bits; a full one is followed by more of the same step."""
+    steps = np.diff(keys.astype(np.int64), prepend=0)
+    many = steps // 65535 + 1
+    out = np.full(int(many.sum()), 65535, np.uint16)
+    out[np.cumsum(many) - 1] = steps % 65535
+    return out.tobytes()
+
+
+def _thickened(steps: bytes) -> np.ndarray:
+    """The numbers that _thinned() has packed."""
+    own = np.frombuffer(steps, np.uint16)
+    return np.cumsum(own, dtype=np.int64)[own < 65535]
+
+
 def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
-    """Shingles of distinct sets by part of the hash range: a row holds the sets of a stretch, (size, size without
-    frequent ones) of each, and for each shingle its set's number and 32 bits. Rows marked frequent hold instead the
+    """Shingles of distinct sets by part of the hash range: a row holds the sets of a stretch, their sizes, then
+    how many frequent ones each has, and for each shingle its set's number and 32 bits. Rows marked frequent hold instead the
     frequent shingles of prefixes and the set of each."""
 
     def flush(sets: list, sizes: list, tokens: list, held: list):
         for part, t, s in held:
             yield batch(SPREAD, [part], [True], binary([s.tobytes()]), binary([b""]), binary([b""]), binary([t.tobytes()]), binary([b""]))
-        flat, names, size = np.concatenate(tokens), np.array(sets, np.int64), np.array(sizes, np.int32)
+        flat, names, size = np.concatenate(tokens), np.array(sets, np.int64), np.array(sizes, np.int32).T
         order = np.argsort(flat)
         flat, owner = flat[order], np.repeat(np.arange(len(sets)), [len(t) for t in tokens])[order]
         part = (flat >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
@@ -249,7 +268,7 @@ def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
             there = np.zeros(len(sets), bool)
             there[owner[i:j]] = True
             number = (np.cumsum(there) - 1).astype(np.uint16)
-            yield batch(SPREAD, [int(part[i])], [False], binary([names[there].tobytes()]), binary([size[there].tobytes()]), binary([number[owner[i:j]].tobytes()]), binary([key[i:j].tobytes()]), binary([b""]))
+            yield batch(SPREAD, [int(part[i])], [False], binary([names[there].tobytes()]), binary([size[:, there].tobytes()]), binary([number[owner[i:j]].tobytes()]), binary([_thinned(key[i:j])]), binary([b""]))
 
     def run(batches):
         seen: set = set()
@@ -272,7 +291,7 @@ def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
                     hot = hot[np.lexsort((hot, w))][:more]
                     held.append((key & ((1 << bits) - 1), (hot | _U(1 << 63)).view(np.int64), np.full(len(hot), key)))
                 sets.append(key)
-                sizes.append((size, len(rare)))
+                sizes.append((size, size - len(rare)))
                 tokens.append(rare)
                 total += len(rare)
             if total >= FLUSH or len(sets) >= MOST_SETS - 10_000:
@@ -302,6 +321,11 @@ def _joined(rows: list, column: int, kind) -> np.ndarray:
     return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
 
+def _sizes(rows: list) -> np.ndarray:
+    """(size, frequent ones) of the rows' sets."""
+    return np.concatenate([np.frombuffer(r[2], np.int32).reshape(2, -1).T for r in rows])
+
+
 def _counted(bits: int) -> Callable:
     """What the parts send on: for each lot of sets the shingles that are in two or more sets, with their number."""
 
@@ -314,10 +338,11 @@ def _counted(bits: int) -> Callable:
             if not rows:
                 continue
             names, first, number = np.unique(_joined(rows, 1, np.int64), return_index=True, return_inverse=True)
-            sizes = _joined(rows, 2, np.int32).reshape(-1, 2)[first]
+            sizes = _sizes(rows)[first]
             begin = np.cumsum([0, *(len(r[1]) // 8 for r in rows)])
             owner = np.concatenate([number[begin[k] + np.frombuffer(r[3], np.uint16).astype(np.int64)] for k, r in enumerate(rows)])
-            pairs = np.unique(_joined(rows, 4, np.uint32).astype(np.uint64) << _U(32) | owner.astype(np.uint64))
+            keys = np.concatenate([_thickened(r[4]) for r in rows])
+            pairs = np.unique(keys.astype(np.uint64) << _U(32) | owner.astype(np.uint64))
             key, owner = pairs >> _U(32), (pairs & _U(0xFFFFFFFF)).astype(np.int64)
             cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(cuts, len(key)))
@@ -330,33 +355,67 @@ def _counted(bits: int) -> Callable:
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 own, each = np.unique(owner[i:j], return_counts=True)
                 # the sets' numbers are told by how many shingles each has; the part by the first of the counts' row
-                yield batch(SPREAD, [int(lot[i])], [False], binary([names[own].tobytes()]), binary([sizes[own].tobytes()]), binary([np.append(part, each).astype(np.int64).tobytes()]), binary([key[i:j].tobytes()]), binary([many[i:j].tobytes()]))
+                yield batch(SPREAD, [int(lot[i])], [False], binary([names[own].tobytes()]), binary([sizes[own].T.tobytes()]), binary([np.append(part, each).astype(np.int64).tobytes()]), binary([key[i:j].tobytes()]), binary([many[i:j].tobytes()]))
 
     return run
 
 
 def _prefixes(batches):
-    """The shingles of each set's prefix that other sets have too."""
-    for _, rows in _by_part(batches):
+    """The shingles of each set's prefix that other sets have too, by part: a row holds sets, each one's number of
+    shingles, and the 32 bits of each shingle."""
+    for lot, rows in _by_part(batches):
         for r in rows:
             if r[0]:
-                yield batch(TOKENS, np.frombuffer(r[4], np.int64), np.frombuffer(r[1], np.int64))
+                yield batch(SPREAD, [lot], [True], *(binary([x]) for x in r[1:]))
         rows = [r for r in rows if not r[0]]
         if not rows:
             continue
         names, first, number = np.unique(_joined(rows, 1, np.int64), return_index=True, return_inverse=True)
-        sizes = _joined(rows, 2, np.int32).reshape(-1, 2)[first].astype(np.int64)
+        size, frequent = _sizes(rows)[first].astype(np.int64).T
         heads = [np.frombuffer(r[3], np.int64) for r in rows]
         owner = np.repeat(number, np.concatenate([h[1:] for h in heads]))
         part = np.repeat([h[0] for h in heads], [len(r[4]) // 4 for r in rows])
-        key = part << 32 | _joined(rows, 4, np.uint32).astype(np.int64)
-        order = np.lexsort((key, _joined(rows, 5, np.uint16), owner))
-        owner, key = owner[order], key[order]
+        key = _joined(rows, 4, np.uint32)
+        order = np.lexsort((key, part, _joined(rows, 5, np.uint16), owner))
+        owner, key, part = owner[order], key[order], part[order]
         shared = np.bincount(owner, minlength=len(names))
         rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
-        own = np.minimum(prefix_size(sizes[:, 0]), sizes[:, 1]) - (sizes[:, 1] - shared)  # others have none of the rest
-        kept = rank < own[owner]
-        yield batch(TOKENS, key[kept], names[owner[kept]])
+        rare = size - frequent
+        kept = rank < (np.minimum(prefix_size(size), rare) - (rare - shared))[owner]  # no other set has the others
+        owner, key, part = owner[kept], key[kept], part[kept]
+        order = np.lexsort((owner, part))
+        owner, key, part = owner[order], key[order], part[order]
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own, each = np.unique(owner[i:j], return_counts=True)
+            yield batch(SPREAD, [int(part[i])], [False], binary([names[own].tobytes()]), binary([b""]), binary([each.astype(np.int32).tobytes()]), binary([key[i:j].tobytes()]), binary([b""]))
+
+
+def _met(batches):
+    """Buckets of the parts' shingles, told by the sets in them: bucket, s, low and times, each bucket and set of a
+    part once. Of frequent shingles token and s alone."""
+    for _, rows in _by_part(batches):
+        if hot := [r for r in rows if r[0]]:
+            tokens, names = _joined(hot, 4, np.int64), _joined(hot, 1, np.int64)
+            none = pa.nulls(len(tokens), pa.int64())
+            yield batch(MET, tokens, none, names, none, none)
+        rows = [r for r in rows if not r[0]]
+        if not rows:
+            continue
+        names = np.repeat(_joined(rows, 1, np.int64), _joined(rows, 3, np.int32))
+        key = _joined(rows, 4, np.uint32)
+        order = np.lexsort((names, key))
+        names, key = names[order], key[order]
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(cuts, len(key)))
+        mark = np.bitwise_xor.reduceat(_words.mix(names.view(np.uint64) ^ _U(0x3C6EF372FE94F82B)), cuts)
+        low, mark, shared = np.repeat(names[cuts], size), np.repeat(mark, size), np.repeat(size > 1, size)
+        names, low, mark = names[shared], low[shared], mark[shared]
+        order = np.lexsort((names, mark))
+        names, low, mark = names[order], low[order], mark[order]
+        cuts = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]) | (names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
+        times = np.diff(np.append(cuts, len(names)))
+        yield batch(MET, pa.nulls(len(cuts), pa.int64()), mark[cuts].view(np.int64), names[cuts], low[cuts], times)
 
 
 def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -420,8 +479,10 @@ def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int = P
                 fine.append((100 + percent) * int((fy[place] == fx).sum()) >= needed(len(fx), len(fy), percent))
             yield b.select(["x", "y"]).filter(pa.array(fine, pa.bool_()))
 
-    with_x = pairs.join(left.select(F.col("s").alias("x"), F.col("found").alias("fx")), "x")
-    both = with_x.join(right.select(F.col("s").alias("y"), F.col("found").alias("fy")), "y").select("x", "y", "fx", "fy")
+    # each set of y goes once, to the pair's x, of which there are fewer
+    sent = F.broadcast(pairs) if pairs.count() <= SENT_PAIRS else pairs
+    with_y = right.select(F.col("s").alias("y"), F.col("found").alias("fy")).join(sent, "y")
+    both = with_y.join(left.select(F.col("s").alias("x"), F.col("found").alias("fx")), "x").select("x", "y", "fx", "fy")
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
@@ -541,12 +602,20 @@ def searched(dealt: DataFrame, points: DataFrame, many: int) -> DataFrame:
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, x long, y long, more boolean")
 
 
+def choose(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """label, s, low, other (the pivot's label): each label's choice of a pivot of another label, the one that one of
+    its sets shares most shingles with; kept. shared: s, low, times."""
+    rows = _labelled(_labelled(shared, labels, "s", "label"), labels, "low", "other").where("label <> other")
+    best = rows.groupBy("label").agg(F.max_by(F.struct("s", "low", "other"), F.struct("times", -F.col("low"), "s")).alias("best"))
+    return keep(best.select("label", "best.s", "best.low", "best.other"), "pivots")
+
+
 def by_pivot(chosen: DataFrame) -> DataFrame:
-    """Groups of sets (s, low) with one pivot, in blocks; the pivot is in every block."""
-    size = chosen.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = chosen.join(size, "low").select("low", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), "s")
-    pivots = size.select("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("low").alias("s"))
-    return rows.unionByName(pivots).select(F.xxhash64("low", "block").alias("key"), F.col("low").alias("bucket"), F.lit(0).alias("side"), "s", F.col("s").alias("label"))
+    """Groups of the sets that chose one pivot, in blocks; the pivot is in every block."""
+    size = chosen.groupBy("low", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = chosen.join(size.select("low", "blocks"), "low").select("low", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), "s", "label")
+    pivots = size.select("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("low").alias("s"), F.col("other").alias("label"))
+    return own.unionByName(pivots).select(F.xxhash64("low", "block").alias("key"), F.col("low").alias("bucket"), F.lit(0).alias("side"), "s", "label")
 
 
 def by_bucket(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -592,8 +661,9 @@ def _same(found: np.ndarray) -> np.ndarray:
     return found
 
 
-def prefix_tokens(named: DataFrame, total: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, s: each set's prefix without the shingles that no other set has. total: shingles of all sets, about."""
+def buckets_of(named: DataFrame, total: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """bucket, s, low (the least set of the bucket), times (how many shingles made it), of the sets' prefixes; kept.
+    total: shingles of all sets, about."""
     bits = min(31, max(3, (max(1, total) // PART).bit_length()))
     sent = named.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT * 12 bytes at most
     kind = "part long, frequent boolean, sets binary, sizes binary, owners binary, keys binary, counts binary"
@@ -601,16 +671,18 @@ def prefix_tokens(named: DataFrame, total: int, frequent: tuple[np.ndarray, np.n
     def spread(batches):
         return _spread(bits, *sent.value)(batches)
 
-    parts = named.mapInArrow(spread, kind).repartition("part").sortWithinPartitions("part").mapInArrow(_counted(bits), kind)
-    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(_prefixes, "token long, s long")
-
-
-def buckets_of(tokens: DataFrame) -> DataFrame:
-    """bucket, s, low (the least set of the bucket), times (how many shingles made it)."""
-    size = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("s").alias("low"), F.bit_xor(F.xxhash64("s")).alias("bucket")).where("size > 1").select("token", "low", "bucket")
-    often, rare = size.where("token < 0"), size.where("token >= 0")  # frequent shingles are marked by their sign
-    met = tokens.where("token < 0").join(F.broadcast(often), "token").unionByName(tokens.where("token >= 0").join(rare, "token"))  # FREQUENT rows at most
-    return met.groupBy("bucket", "s").agg(F.min("low").alias("low"), F.count("*").alias("times"))
+    def exchanged(df: DataFrame, run: Callable, kind: str = kind) -> DataFrame:
+        return df.repartition("part").sortWithinPartitions("part").mapInArrow(run, kind)
+
+    parts = exchanged(exchanged(named.mapInArrow(spread, kind), _counted(bits)), _prefixes)
+    met = keep(exchanged(parts, _met, "token long, bucket long, s long, low long, times long"), "met")
+    often = met.where("token is not null").select("token", "s")
+    size = often.groupBy("token").agg(F.count("*").alias("size"), F.min("s").alias("low"), F.bit_xor(F.xxhash64("s")).alias("bucket")).where("size > 1").select("token", "low", "bucket")
+    hot = often.join(F.broadcast(size), "token").select("bucket", "s", "low", F.lit(1).cast("long").alias("times"))  # FREQUENT rows at most
+    rows = met.where("token is null").select("bucket", "s", "low", "times").unionByName(hot)
+    out = keep(rows.groupBy("bucket", "s").agg(F.min("low").alias("low"), F.sum("times").alias("times")), "buckets")
+    forget(met)
+    return out
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -621,20 +693,32 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     named = texts.where(F.col("doc_id").isNotNull())
     owners = docs.where("n > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("own"))
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    tokens = keep(prefix_tokens(named, total, _frequent(profile.where("kind = 1").select("s", "n"))), "tokens")
-    buckets = keep(buckets_of(tokens), "buckets")
-    forget(tokens)
+    buckets = buckets_of(named, total, _frequent(profile.where("kind = 1").select("s", "n")))
     points = keep(_of_marked(named, buckets.select("s").distinct(), owners, POINT, vector), "points")
 
     def links(pairs: DataFrame) -> DataFrame:
         return keep(verify(pairs, _of_marked(named, pairs.select(F.col("x").alias("s")).distinct(), owners, SET, _same), _of_marked(named, pairs.select(F.col("y").alias("s")).distinct(), owners, SET, _same)), "links")
 
-    shared = buckets.where("s <> low").groupBy("s", "low").agg(F.sum("times").alias("times"))
-    chosen = keep(shared.groupBy("s").agg(F.max_by("low", F.struct("times", -F.col("low"))).alias("low")), "pivots")
-    tried = keep(searched(by_pivot(chosen), points, 0).select("x", "y").distinct(), "pairs")
-    edges = links(tried)
-    labels, many, open_ = components(edges), 0, buckets
-    forget(chosen)
+    shared = keep(buckets.where("s <> low").groupBy("s", "low").agg(F.sum("times").alias("times")), "shared")
+    edges = labels = tried = None
+    for _ in range(ROUNDS):
+        chosen = choose(shared, labels)
+        pairs = searched(by_pivot(chosen), points, 0).select("x", "y").distinct()
+        pairs = keep(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not pairs.limit(1).count():
+            break
+        new = links(pairs)
+        edges = new if edges is None else edges.unionByName(new)
+        left, old = keep(shared.join(chosen.select("s", "low"), ["s", "low"], "left_anti"), "shared"), labels
+        forget(shared, chosen)
+        shared, labels = left, components(edges)
+        forget(old)
+        if not new.limit(1).count():
+            break
+    forget(shared)
+    edges = tried if edges is None else edges
+    many, open_ = 0, buckets
     while True:
         offered = keep(searched(by_bucket(open_, labels), points, many), "offers")
         fresh = keep(offered.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
