@@ -10,7 +10,7 @@ Learning: about PER_CLASS labelled rows of each class and of any length, chosen
 teaches by its most telling window (first by n-gram odds, then by the network itself), a clean one by its most
 suspicious windows and some others. N-gram odds, the choice of windows and the fit over the highest logit come from
 all windows of the rows, where the rows are; of a text with more than MOST windows, the half of MOST most telling ones
-and as many spread over the whole text go to the driver. The fit's constant undoes the classes'
+and as many spread over the whole text go to the one task that trains. The fit's constant undoes the classes'
 different sampling rates, so that 0.5 lies where it does for the labels as they are.
 
 Defined cases: null text, empty text, or one without a word has the score that a text of the lowest logit has;
@@ -22,13 +22,15 @@ empty result; other columns are not read. Memory is bounded by STEP bytes of tex
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._base import batch, keep, passing, pieces, utf8
+from ._base import batch, forget, keep, passing, pieces, utf8
 from .langid import sampled, shares
 
 WINDOW, STRIDE, HIDDEN, WIDTH, POOL = 32, 16, 8, 8, 8
@@ -227,11 +229,12 @@ def train_on(w: dict, adam: Adam, texts: Texts, vocabulary: np.ndarray, first: n
             adam.step(w, grads)
 
 
-def _seen(texts: Texts, y: np.ndarray) -> np.ndarray:
-    """[class, n-gram]: in how many rows of a class each n-gram is; last in each class, how many rows it has."""
+def _seen(texts: Texts, y: np.ndarray, taught: np.ndarray) -> np.ndarray:
+    """[class, n-gram]: in how many taught rows of a class each n-gram is; last in each class, how many rows it has."""
     n = np.diff(np.append(texts.first, len(texts.gram)))
     out = np.zeros((2, BUCKETS + 1), np.int64)
-    for i, (begin, size) in enumerate(zip(texts.begin.tolist(), texts.size.tolist(), strict=True)):
+    for i in np.flatnonzero(taught).tolist():
+        begin, size = int(texts.begin[i]), int(texts.size[i])
         word = np.unique(texts.number[begin : begin + size])
         many = n[word]
         flat = np.repeat(texts.first[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
@@ -299,7 +302,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
     rng = np.random.default_rng(seed)
     kept_out = np.isin(np.arange(len(y)), _kept_out(np.arange(len(y)), y, rng))
     raw, at = utf8(pa.array(texts))
-    seen = _seen(Texts(raw, at), np.where(kept_out, 0, y))
+    seen = _seen(Texts(raw, at), y, ~kept_out)
     model = train([parts for _, parts in excerpts(raw, at, _odds(seen))], y, kept_out, seen, rng)
     if "constant" in model:
         return model
@@ -390,44 +393,64 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = sampled(rows, "toxic", "doc_id", per_class, share)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # about 2 * per_class ids at most, whatever the tables' sizes
-    return _learned(keep(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"), "labelled"), share)
+    rows = keep(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    model = _learned(rows, share)
+    forget(rows)
+    return model
 
 
 SEEN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 PARTS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("parts", pa.list_(pa.binary()))])
 PEAKS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("peak", pa.float64()), ("many", pa.int64())])
+PACKED = pa.schema([("packed", pa.binary())])
+
+
+def _counts(sums: pa.Table) -> np.ndarray:
+    """[class, n-gram] of rows kind, bucket and n."""
+    seen = np.zeros((2, BUCKETS + 1), np.int64)
+    seen[sums["kind"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return seen
 
 
 def _learned(rows: DataFrame, share: dict, seed: int = SEED) -> dict:
-    """fit() over a table (doc_id, text, toxic): whole texts are read where they are, only excerpts go to the driver.
+    """fit() over a table (doc_id, text, toxic): whole texts are read where they are, and the network is trained in one
+    task on the excerpts of the sample; the driver gets packed counts, the weights and the highest logits.
     share: the sampling rate of each class."""
-    ids = rows.select("doc_id", "toxic").toPandas()
-    y = ids["toxic"].to_numpy(np.int64)
+    ids = sorted(map(tuple, rows.select("doc_id", "toxic").collect()))  # the sample: about per_class rows of each class
+    y = np.array([k for _, k in ids], np.int64)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
     rng = np.random.default_rng(seed)
-    out = _kept_out(ids["doc_id"].to_numpy(np.int64), y, rng)
+    out = _kept_out(np.array([i for i, _ in ids], np.int64), y, rng)
 
     def counted(batches):
         seen = np.zeros((2, BUCKETS + 1), np.int64)
         for b in pieces(batches, 1, STEP):
-            taught = ~np.isin(b.column(0).to_numpy(), out)
-            seen += _seen(Texts(*utf8(b.column(1))), b.column(2).to_numpy() * taught)
+            seen += _seen(Texts(*utf8(b.column(1))), b.column(2).to_numpy(), ~np.isin(b.column(0).to_numpy(), out))
         kind, bucket = np.nonzero(seen)
         yield batch(SEEN, pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seen[kind, bucket]))
 
-    sums = rows.mapInArrow(counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros((2, BUCKETS + 1), np.int64)
-    seen[sums["kind"].to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)] = sums["n"]
+    def packed(batches):
+        held = [pa.Table.from_batches([b]) for b in batches]
+        yield batch(PACKED, [(_counts(pa.concat_tables(held)) if held else np.zeros((2, BUCKETS + 1), np.int64)).tobytes()])
+
+    sums = rows.mapInArrow(counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    seen = np.frombuffer(sums.coalesce(1).mapInArrow(packed, "packed binary").first().packed, np.int64).reshape(2, -1)
     odds = _odds(seen)
 
     def cut(batches):
         for b in pieces(batches, 1, STEP):
             yield batch(PARTS, b.column(0), b.column(2), [parts for _, parts in excerpts(*utf8(b.column(1)), odds)])
 
-    found = rows.mapInArrow(cut, "doc_id long, toxic int, parts array<binary>").collect()
-    found = sorted((r.doc_id, [bytes(p) for p in r.parts], r.toxic) for r in found)
-    model = train([parts for _, parts, _ in found], np.array([k for *_, k in found]), np.isin([i for i, *_ in found], out), seen, rng)
+    def trained(batches):
+        found = sorted((i, [bytes(p) for p in parts], k) for b in batches for i, k, parts in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = train([parts for _, parts, _ in found], np.array([k for *_, k in found]), np.isin([i for i, *_ in found], out), seen, rng)
+        yield batch(PACKED, [pickle.dumps(model)])
+
+    # one task holds the excerpts of the sample: 2 * per_class rows of MOST windows of WINDOW words at most
+    made = keep(rows.mapInArrow(cut, "doc_id long, toxic int, parts array<binary>"), "excerpts")
+    model = pickle.loads(made.coalesce(1).mapInArrow(trained, "packed binary").first().packed)
+    forget(made)
     if "constant" in model:
         toxic, clean = y.sum() / share[1], (1 - y).sum() / share[0]
         return {"constant": float(toxic / (toxic + clean))}
@@ -437,8 +460,10 @@ def _learned(rows: DataFrame, share: dict, seed: int = SEED) -> dict:
         for b in pieces(batches, 1, STEP):
             yield batch(PEAKS, b.column(0), b.column(2), *peaks(sent.value, *utf8(b.column(1))))
 
-    check = rows.where(F.col("doc_id").isin(out.tolist())).mapInArrow(highest, "doc_id long, toxic int, peak double, many long").toPandas().sort_values(["doc_id", "peak"])
-    return calibrated(model, check["peak"].to_numpy(), check["many"].to_numpy(np.int64), check["toxic"].to_numpy(np.int64), float(np.log(share[1] / share[0])))
+    check = rows.where(F.col("doc_id").isin(out.tolist())).mapInArrow(highest, "doc_id long, toxic int, peak double, many long").collect()
+    sent.destroy()
+    peak, many, toxic = (np.array(x) for x in zip(*sorted((r.peak, r.many, r.toxic) for r in check), strict=True)) if check else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return calibrated(model, peak, many, toxic, float(np.log(share[1] / share[0])))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_windows", pa.int64())])
