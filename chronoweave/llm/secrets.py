@@ -3,8 +3,8 @@
 Every expression is a DataFrame function. Matches get their places by putting a control character round each match
 and adding up the lengths of the parts. Base kinds are assign, access and hex. The kind entropy adds candidate
 strings (20 or more characters of a token alphabet, a digit among them) whose highest window entropy reaches the
-threshold of their character class. The sum of c*log2(c) over the window's counts is kept up as the window moves:
-only the counts of the character that goes and of the one that comes change. Candidates that an allow-list pattern
+threshold of their character class. The counts of characters and the sum of c*log2(c) over them are kept up as the
+window moves: only the counts of the character that goes and of the one that comes change. Candidates that an allow-list pattern
 matches, or that lie within a base span, are left out; base spans always stay.
 
 Defined cases: null text counts as empty and has no spans; repeated rows and ties are kept as rows; null ids stay
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._base import free_name
+
 #: Base patterns as the contract of the scan has them; assign's second group is the value.
 ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)()"
@@ -39,6 +41,8 @@ ALLOWED = (
     r"^(?:[A-Za-z]+[-_/=+])+[A-Za-z0-9]{0,11}$",
 )
 OPEN, MID = "\x01", "\x02"
+#: Parts of a text that are walked at once.
+CHUNK = 256
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -51,8 +55,14 @@ def _marked(text: Column, pattern: str, there: str) -> Column:
     return F.when(text.rlike(there), F.split(F.regexp_replace(text, pattern, f"{OPEN}$1{MID}$2{OPEN}"), OPEN)).otherwise(F.array(text))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def _located(parts: Column, kind: int, good) -> Column:
-    """Spans of the matches among the parts that ``good(whole, last group)`` keeps."""
+    """Spans of the matches among the parts that ``good(whole, last group)`` keeps. Parts are walked CHUNK at a time,
+    so that the spans found before are not copied for each match."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), _none().alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -62,7 +72,17 @@ def _located(parts: Column, kind: int, good) -> Column:
         found = F.when(acc.inside & good(F.concat(head, tail), tail), F.concat(acc.found, F.array(span))).otherwise(acc.found)
         return F.struct((acc.at + size).alias("at"), (~acc.inside).alias("inside"), found.alias("found"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step).found).otherwise(_none())
+    def chunk(acc: Column, own: Column) -> Column:
+        begin = F.struct(acc.at.alias("at"), acc.inside.alias("inside"), _none().alias("found"))
+        add = lambda x: F.struct(x.at.alias("at"), x.inside.alias("inside"), F.concat(acc.found, F.array(x.found)).alias("found"))
+        return _bound(F.aggregate(own, begin, step), add)
+
+    def walk(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)))
+        outer = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        return F.when(F.size(all_) > CHUNK, F.flatten(F.aggregate(chunks, outer, chunk).found)).when(F.size(all_) > 1, F.aggregate(all_, start, step).found).otherwise(_none())
+
+    return _bound(parts, walk)
 
 
 def _weight(n: Column) -> Column:
@@ -70,22 +90,32 @@ def _weight(n: Column) -> Column:
 
 
 def peak_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any window of the string; null if it is shorter."""
-    chars = F.split(s, "")
-    count = lambda seen, c: F.size(F.filter(seen, lambda x: x == c)).cast("double")
-    first = F.slice(chars, 1, window)
-    total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda acc, c: acc + _weight(count(first, c)))
+    """The highest Shannon entropy, in bits, of any window of the string; null if it is shorter.
+
+    Counts of all characters of the string are kept as the window moves: one falls by one and one rises by one, and
+    the sum of c*log2(c) changes by those two alone."""
+
+    def over(x: Column) -> Column:
+        """x: code (each character's place among the distinct ones) and kinds (how many there are)."""
+        n = F.size(x.code)
+        first = F.transform(F.sequence(F.lit(1), x.kinds), lambda k: F.size(F.filter(F.slice(x.code, 1, window), lambda c: c == k)))
+        total = F.aggregate(first, F.lit(0.0), lambda acc, c: acc + _weight(c.cast("double")))
+        moves = F.when(n > window, F.arrays_zip(F.slice(x.code, F.lit(1), n - window).alias("goes"), F.slice(x.code, F.lit(window + 1), n - window).alias("comes"))).otherwise(F.array().cast("array<struct<goes:int,comes:int>>"))
+
+        def step(acc: Column, move: Column) -> Column:
+            lost, won = (F.element_at(acc.counts, k).cast("double") for k in (move.goes, move.comes))
+            moved = acc.sum + _weight(lost - 1) - _weight(lost) + _weight(won + 1) - _weight(won)
+            counts = F.transform(acc.counts, lambda c, k: F.when(k + 1 == move.goes, c - 1).when(k + 1 == move.comes, c + 1).otherwise(c))
+            changed = F.struct(counts.alias("counts"), moved.alias("sum"), F.least(acc.least, moved).alias("least"))
+            return F.when(move.goes == move.comes, acc).otherwise(changed)
 
-    def step(acc: Column, i: Column) -> Column:
-        seen = F.slice(chars, i, F.lit(window))
-        goes, comes = F.element_at(chars, i), F.element_at(chars, i + window)
-        n, m = count(seen, goes), count(seen, comes)
-        moved = F.when(goes == comes, acc.sum).otherwise(acc.sum + _weight(n - 1) - _weight(n) + _weight(m + 1) - _weight(m))
-        return F.struct(moved.alias("sum"), F.least(acc.least, moved).alias("least"))
+        begin = _bound(total, lambda t: F.struct(first.alias("counts"), t.alias("sum"), t.alias("least")))
+        return F.when(n >= window, F.lit(math.log2(window)) - F.aggregate(moves, begin, step).least / window)
 
-    moves = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(moves, F.struct(total.alias("sum"), total.alias("least")), step).least
-    return F.when(F.size(chars) >= window, F.lit(math.log2(window)) - least / window)
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    distinct = _bound(chars, lambda x: F.struct(x.alias("chars"), F.array_distinct(x).alias("kinds")))
+    coded = _bound(distinct, lambda x: F.struct(F.transform(x.chars, lambda c: F.array_position(x.kinds, c).cast("int")).alias("code"), F.size(x.kinds).alias("kinds")))
+    return _bound(coded, over)
 
 
 def _random(token: Column) -> Column:
@@ -125,7 +155,7 @@ def listed(spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """Every span of the text, overlapping ones as one, replaced by ``mark``; all columns are kept, null text too."""
-    own = "_found_spans"
+    own = free_name(df.columns, "found_spans")
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
