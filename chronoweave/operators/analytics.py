@@ -42,9 +42,10 @@ def count_nodes_by_properties(nodes: DataFrame, entity_type: str, properties: li
     value = lambda p: F.coalesce(F.array_join(F.try_element_at("properties", F.lit(p)), ", "), F.lit("Unknown"))
     rows = _property(nodes, entity_type, continuity).select("id", "name", *[value(p).alias(p.lower()) for p in properties])
     keys = [p.lower() for p in properties]
-    ranked = rows.withColumn("count", F.count("*").over(Window.partitionBy(*keys)))
-    some = first_by_group(ranked, keys, ["id"], max_sources)
-    return _top(some.groupBy(*keys).agg(F.first("count").alias("count"), _some_sources("id", "name", max_sources).alias("sources")), limit, *keys)
+    top = _top(rows.groupBy(*keys).agg(F.count("*").alias("count")), limit, *keys)
+    some = first_by_group(rows.join(F.broadcast(top.select(*keys)), keys, "left_semi"), keys, ["id"], max_sources)  # limit rows
+    refs = some.groupBy(*keys).agg(_some_sources("id", "name", max_sources).alias("sources"))
+    return _top(top.join(refs, keys).select(*keys, "count", "sources"), limit, *keys)
 
 
 def count_nodes_by_property(nodes: DataFrame, entity_type: str, property_: str, continuity: str | None, limit: int, max_sources: int) -> DataFrame:

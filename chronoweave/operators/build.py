@@ -5,8 +5,11 @@ Pages have infobox.Template and infobox.Data, an array of (Label, Values, Links
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,16 +182,27 @@ def release_stale(states: DataFrame, now: Column, minutes: int = 10) -> DataFram
     return states.withColumn("status", F.when(stale, "Pending").otherwise(F.col("status")))
 
 
-def export_batches(rows: DataFrame, key: str, line: str, most_bytes: int = 150 << 20, most_rows: int = 500) -> DataFrame:
-    """batch and line: JSON lines in files by size and number. A batch starts where a running sum passes a multiple,
-    so that none is over the cap by more than a line; sums run inside stretches of keys, not over the whole table."""
-    from pyspark.sql.window import Window
+def export_batches(rows: DataFrame, key: str, line: str, most_bytes: int = 150 << 20, most_rows: int = 500, stretches: int = 64) -> DataFrame:
+    """key, line and batch: JSON lines in files by size and number. Lines of a stretch are walked by key; a batch ends
+    with ``most_rows`` lines or with the line that brings it to ``most_bytes``, so none is over by more than a line.
+    Stretches of keys (by hash) are walked apart; their number bounds the parallelism. A task holds one batch of rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, part, lines, size = None, 0, 0, 0
+        for f in frames:
+            out = []
+            for stretch, n in zip(f["stretch"], f["size"], strict=True):
+                if stretch != own:
+                    own, part, lines, size = stretch, 0, 0, 0
+                elif lines >= most_rows or size >= most_bytes:
+                    part, lines, size = part + 1, 0, 0
+                lines, size = lines + 1, size + n
+                out.append(f"{stretch}-{part}")
+            yield f.assign(batch=out)[[key, line, "batch"]]
 
-    stretch = F.pmod(F.xxhash64(key), F.lit(64)).alias("stretch")
-    w = Window.partitionBy("stretch").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    sized = rows.select(key, line, stretch, F.octet_length(line).cast("long").alias("size"))
-    part = F.greatest(F.floor(F.coalesce(F.sum("size").over(w), F.lit(0)) / most_bytes), F.floor(F.coalesce(F.count("size").over(w), F.lit(0)) / most_rows))
-    return sized.select(key, line, F.concat_ws("-", "stretch", part.cast("string")).alias("batch"))
+    sized = rows.select(key, line, F.pmod(F.xxhash64(key), F.lit(stretches)).cast("long").alias("stretch"), F.coalesce(F.octet_length(line), F.lit(0)).cast("long").alias("size"))
+    kind = sized.select(key, line, F.lit("").alias("batch")).schema
+    return sized.repartition("stretch").sortWithinPartitions("stretch", key, line).mapInPandas(run, kind)
 
 
 def import_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -199,24 +213,27 @@ def import_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[
 
 
 def store_edges(old: DataFrame, offered: DataFrame) -> DataFrame:
-    """Offered edges with clean labels that are new, no loops, and their reverses."""
+    """Offered edges with clean labels that are new, no loops, and their reverses. Of several of one key the heaviest
+    is taken, then the highest in the other columns."""
     clean = lambda c: F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_"))
     new = offered.where("from_id <> to_id").withColumns({"label": clean("label"), "reverse_label": clean("reverse_label")})
-    new = new.dropDuplicates(["from_id", "to_id", "label"]).join(old.select("from_id", "to_id", "label"), ["from_id", "to_id", "label"], "left_anti").select(*offered.columns)
+    key = ["from_id", "to_id", "label"]
+    rest = [c for c in offered.columns if c not in key]
+    total = F.struct(*[F.col(c) for c in (["weight"] if "weight" in rest else []) + [c for c in rest if c != "weight"]])
+    new = new.groupBy(*key).agg(F.max(total).alias("best")).select(*key, "best.*") if rest else new.distinct()
+    new = new.join(old.select("from_id", "to_id", "label"), ["from_id", "to_id", "label"], "left_anti").select(*offered.columns)
     turned = {"from_id": "to_id", "to_id": "from_id", "label": "reverse_label", "reverse_label": "label"}
     back = new.where("reverse_label <> ''").select(*[F.col(turned.get(c, c)).alias(c) for c in offered.columns])
     return new.unionByName(back).dropDuplicates(["from_id", "to_id", "label"])
 
 
 def label_similarity(labels: DataFrame, wanted: str) -> DataFrame:
-    """label and score against a wanted one: equal 1, contained 0.8, same stem 0.7, a shared word 0.5, else 0.4 times
-    the Jaccard of characters; above 0.3, the five best."""
-    want = wanted.lower()
-    words = [w for w in want.split("_") if w]
-    own = F.lower("label")
-    stem = lambda c: F.regexp_replace(c, r"(?:ing|ed|er|s)$", "")
-    chars, mine = F.array(*[F.lit(x) for x in sorted(set(want))]), F.array_distinct(F.split(own, ""))
-    jaccard = F.size(F.array_intersect(chars, mine)) / F.size(F.array_union(chars, mine))
-    share = F.arrays_overlap(F.split(own, "_"), F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
-    score = F.when(own == want, 1.0).when(F.contains(own, F.lit(want)) | F.contains(F.lit(want), own), 0.8).when(stem(own) == stem(F.lit(want)), 0.7).when(share, 0.5).otherwise(0.4 * jaccard)
+    """label and score against a wanted one: equal 1, contained 0.8, same stem 0.7, a stem in the other 0.5, else 0.4
+    times the Jaccard of characters; above 0.3, the five best. A stem is without final s, then without _of and _by."""
+    want, own = F.lit(wanted.lower()), F.lower("label")
+    stem = lambda c: F.replace(F.replace(F.regexp_replace(c, "s+$", ""), F.lit("_of")), F.lit("_by"))
+    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    jaccard = F.size(F.array_intersect(chars(want), chars(own))) / F.size(F.array_union(chars(want), chars(own)))
+    inside = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    score = F.when(own == want, 1.0).when(inside(own, want), 0.8).when(stem(own) == stem(want), 0.7).when(inside(stem(own), stem(want)), 0.5).otherwise(0.4 * jaccard)
     return labels.select("label", F.round(score, 6).alias("score")).where("score > 0.3").orderBy(F.desc("score"), "label").limit(5)

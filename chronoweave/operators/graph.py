@@ -15,9 +15,13 @@ from ..functions import filters as where
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the folder in spark.checkpoint.dir, or one of our own where that is unset, and read back."""
+    """The table written to the folder in spark.checkpoint.dir and read back. Where that is unset, a local session uses
+    a folder of its own; on a cluster there is none that all executors see, so that is an error."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/chronoweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -116,20 +120,22 @@ def lineage(edges: DataFrame, root: int, label: str, direction: str = "forward",
 def closure(edges: DataFrame, labels: list[str], depth: int | None = None) -> DataFrame:
     """id, ancestor, depth: all that is reached over some labels, each at its least depth, without the start.
 
-    Semi-naive: each round joins only the pairs that were new in the last one, and ends when there are none.
+    Paths double: a round joins the pairs at the longest distance so far, 2 ** k, with all pairs within it. A shortest
+    path beyond it has a node at just that distance, so each new pair is met at its least depth, and the number of
+    rounds is the logarithm of the depth.
     """
     rows = edges.where(F.col("label").isin(labels)).select("from_id", "to_id").where("from_id <> to_id").distinct()
-    step = kept(rows, "step")
-    new = step.select(F.col("from_id").alias("id"), F.col("to_id").alias("ancestor"), F.lit(1).alias("depth"))
-    found, hop = kept(new, "pairs"), 1
-    new = found
-    while depth is None or hop < depth:
-        hop += 1
-        on = new.select("id", F.col("ancestor").alias("from_id")).join(step, "from_id").select("id", F.col("to_id").alias("ancestor")).where("id <> ancestor").distinct()
-        new = kept(on.join(found, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(hop)), "pairs")
+    found = new = kept(rows.select(F.col("from_id").alias("id"), F.col("to_id").alias("ancestor"), F.lit(1).alias("depth")), "pairs")
+    far = 1
+    while depth is None or far < depth:
+        front = new.where(F.col("depth") == far).select("id", F.col("ancestor").alias("between"))
+        on = front.join(found.select(F.col("id").alias("between"), "ancestor", F.col("depth").alias("more")), "between").where("id <> ancestor")
+        on = on.where(F.col("more") + far <= depth) if depth is not None else on
+        least = on.groupBy("id", "ancestor").agg((F.min("more") + far).alias("depth"))
+        new = kept(least.join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti").select("id", "ancestor", F.col("depth").cast("int").alias("depth")), "pairs")
         if not new.limit(1).count():
             break
-        found = found.unionByName(new)
+        found, far = found.unionByName(new), 2 * far
     return found
 
 
@@ -223,13 +229,14 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
 
 
 def derive_bounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Years for edges without a first one, from both ends' lives: the later start to the earlier end if that is a
-    span; of one end alone its own."""
-    life = nodes.select("id", "start_year", "end_year")
+    """Years for edges without a first one, from the ends that have a start: of both the later start and the earlier
+    end, if that is a span; of one alone its own life. What is derived replaces both years. Ends without a start
+    count for nothing, their own end neither."""
+    life = nodes.where(F.col("start_year").isNotNull()).select("id", "start_year", "end_year")
     for side in ("from", "to"):
         edges = edges.join(life.select(F.col("id").alias(f"{side}_id"), F.col("start_year").alias(f"_{side}_start"), F.col("end_year").alias(f"_{side}_end")), f"{side}_id", "left")
     start, end = F.greatest("_from_start", "_to_start"), F.least("_from_end", "_to_end")
     both = F.col("_from_start").isNotNull() & F.col("_to_start").isNotNull()
-    fits = ~both | end.isNull() | (start <= end)
-    bare = F.col("from_year").isNull()
-    return edges.withColumn("_bare", bare).withColumn("from_year", F.when(bare & fits, start).otherwise(F.col("from_year"))).withColumn("to_year", F.when(F.col("_bare") & fits, F.coalesce("to_year", end)).otherwise(F.col("to_year"))).drop("_bare", "_from_start", "_from_end", "_to_start", "_to_end")
+    edges = edges.withColumn("_set", F.col("from_year").isNull() & start.isNotNull() & (~both | end.isNull() | (start <= end)))
+    edges = edges.withColumn("from_year", F.when(F.col("_set"), start).otherwise(F.col("from_year"))).withColumn("to_year", F.when(F.col("_set"), end).otherwise(F.col("to_year")))
+    return edges.drop("_set", "_from_start", "_from_end", "_to_start", "_to_end")

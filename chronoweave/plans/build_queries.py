@@ -139,7 +139,12 @@ def store_offered_edges(spark, d):
     return E.store_edges(e.where("from_id % 2 = 1"), offered).select("from_id", "to_id", "label")
 
 
-@query("SELECT * FROM (VALUES ('in_nation', 1.0::DOUBLE), ('in_region', 0.5::DOUBLE)) t(label, score)", graph=False)
+@query("""SELECT * FROM (WITH own AS (SELECT DISTINCT label, 'in_nation' AS want FROM bare WHERE label LIKE 'in%'),
+stems AS (SELECT label, want, replace(replace(rtrim(label, 's'), '_of', ''), '_by', '') AS a, replace(replace(rtrim(want, 's'), '_of', ''), '_by', '') AS b,
+  list_distinct(string_split(label, '')) AS x, list_distinct(string_split(want, '')) AS y FROM own),
+scored AS (SELECT label, CASE WHEN label = want THEN 1.0 WHEN contains(label, want) OR contains(want, label) THEN 0.8 WHEN a = b THEN 0.7 WHEN contains(a, b) OR contains(b, a) THEN 0.5
+  ELSE 0.4 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END::DOUBLE AS score FROM stems)
+SELECT label, round(score, 6) AS score FROM scored WHERE round(score, 6) > 0.3 ORDER BY score DESC, label LIMIT 5)""")
 def similar_labels(spark, d):
     labels = G.bare_edges(spark, d).select("label").distinct().where("label LIKE 'in%'")
     return E.label_similarity(labels, "IN_NATION")

@@ -197,10 +197,14 @@ def dedup_edges(spark, d):
     return P.dedup_edges(e.withColumn("meta", F.lit(None).cast("string")).unionByName(twice)).drop("meta")
 
 
-@query("""SELECT label, from_year, to_year, count(*) AS n FROM (SELECT label, CASE WHEN fits THEN s END AS from_year, CASE WHEN fits THEN coalesce(ty, e) ELSE ty END AS to_year FROM (
-  SELECT label, b.to_year AS ty, greatest(f.start_year, t.start_year) AS s, least(f.end_year, t.end_year) AS e,
-    f.start_year IS NULL OR t.start_year IS NULL OR least(f.end_year, t.end_year) IS NULL OR greatest(f.start_year, t.start_year) <= least(f.end_year, t.end_year) AS fits
-  FROM bare b LEFT JOIN nodes f ON b.from_id = f.id LEFT JOIN nodes t ON b.to_id = t.id)) GROUP BY 1, 2, 3""")
+@query("""SELECT * FROM (WITH life AS (SELECT id, start_year, end_year FROM nodes WHERE start_year IS NOT NULL), ends AS (
+  SELECT b.label, b.to_year AS own, f.start_year AS fs, f.end_year AS fe, t.start_year AS ts, t.end_year AS te
+  FROM bare b LEFT JOIN life f ON b.from_id = f.id LEFT JOIN life t ON b.to_id = t.id), cases AS (
+  SELECT label, own, CASE
+      WHEN fs IS NOT NULL AND ts IS NOT NULL THEN CASE WHEN least(fe, te) IS NULL OR greatest(fs, ts) <= least(fe, te) THEN 'both' ELSE 'none' END
+      WHEN fs IS NOT NULL THEN 'source' WHEN ts IS NOT NULL THEN 'target' ELSE 'none' END AS how, fs, fe, ts, te FROM ends)
+SELECT label, CASE how WHEN 'both' THEN greatest(fs, ts) WHEN 'source' THEN fs WHEN 'target' THEN ts END AS from_year,
+  CASE how WHEN 'both' THEN least(fe, te) WHEN 'source' THEN fe WHEN 'target' THEN te ELSE own END AS to_year, count(*) AS n FROM cases GROUP BY 1, 2, 3)""")
 def derived_bounds(spark, d):
     bare = G.bare_edges(spark, d).withColumn("from_year", F.lit(None).cast("int"))
     return P.derive_bounds(bare, G.nodes(spark, d)).groupBy("label", "from_year", "to_year").agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ import html.parser
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,15 +107,17 @@ def infoboxes(pages: DataFrame, id_col: str, json_col: str, base: str = "") -> D
     return rows.mapInPandas(run, f"pageId long, infobox {INFOBOX}")
 
 
-#: Categories that mark pages about the real world.
-REAL_MARKS = ("real-world", "real world", "actors", "authors", "episodes", "novels", "comics", "video games")
+#: Parts of categories, in any case, that mark pages about the real world. A wiki's own go in ``more``.
+REAL_MARKS = ("Real-world", "Out-of-universe", "Behind the scenes", "Publishing eras", "Canceled", "Hoax articles", "webcomic")
+#: Fixed value: categories of a year's works.
+REAL_YEARS = r"\b\d{4}\s+(articles\s+and\s+stories|releases|miscellaneous\s+releases)\b"
 
 
-def realm(categories, made_up: str = "Fiction"):
+def realm(categories, made_up: str = "Fiction", more: tuple[str, ...] = ()):
     """Real if any category has a mark or is a list of a year's works, else the made-up realm."""
-    year = F.exists(categories, lambda c: F.lower(c).rlike(r"\b\d{4}\s+(articles\s+and\s+stories|releases|miscellaneous\s+releases)\b"))
-    mark = F.exists(categories, lambda c: F.lower(c).rlike("|".join(REAL_MARKS)))
-    return F.when(F.coalesce(year | mark, F.lit(False)), "Real").otherwise(made_up)
+    marks = [F.lit(m.lower()) for m in (*REAL_MARKS, *more)]
+    fits = lambda c: reduce(or_, [F.contains(F.lower(c), m) for m in marks], F.lower(c).rlike(REAL_YEARS))
+    return F.when(F.coalesce(F.exists(categories, fits), F.lit(False)), "Real").otherwise(made_up)
 
 
 def continuity(title, categories):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import jaccard, langid, packing, secrets, toxicity
-from chronoweave.llm._base import keep
+from chronoweave.llm._base import free_name, keep
 
 #: Below this share of its words in one language a text is rejected, as mixed.
 LEAST_SHARE = 0.5
@@ -40,11 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; n_chars follows where the text has changed."""
-    clean = secrets.redact(docs.withColumn("_before", F.col("text")))
+    before = free_name(docs.columns, "text_before")
+    clean = secrets.redact(docs.withColumn(before, F.col("text")))
     if "n_chars" in docs.columns:
-        changed = F.coalesce(F.col("text") != F.col("_before"), F.lit(False))
+        changed = F.coalesce(F.col("text") != F.col(before), F.lit(False))
         clean = clean.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

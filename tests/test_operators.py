@@ -114,7 +114,8 @@ def test_grid(spark, text, want):
 
 def test_rate_limit(spark, tmp_path):
     w = limits.Window(2, 10)
-    assert [w.call(t)[0] for t in (0, 1, 2, 9, 10, 10.5, 11)] == [True, True, False, False, True, False, True]
+    assert [w.call(t)[0] for t in (0, 1, 2, 9, 10, 10.5, 11, 11.5)] == [True, True, False, False, False, True, False, True]
+    assert all(limits.Window(0, 10).call(t)[0] for t in range(5))
     rows = [(i, i % 2, t) for i, t in enumerate((0, 0, 1, 1, 2, 2, 11, 11))]
     df = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
     want = [(r.event_id, r.allowed) for r in limits.sliding(df, 2, 10).orderBy("event_id").collect()]
@@ -168,3 +169,74 @@ def test_boilerplate_keeps_rows_with_images(spark, tmp_path):
     texts = {1: "a [![x](data:image/png;base64,AA)](u) b", 2: "see data:image/gif;base64,BB\n\n\n\nc ", 3: " plain\n\n\nd"}
     spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id: r.chars for r in boilerplate(spark, str(tmp_path)).collect()} == {1: len("a  b"), 2: len("see \n\nc"), 3: len("plain\n\nd")}
+
+
+def test_bounds_need_a_start(spark):
+    nodes = spark.createDataFrame([(1, -10, 5), (2, 0, None), (3, None, -50), (4, 20, 30), (5, None, None)], "id long, start_year int, end_year int")
+    edges = spark.createDataFrame([(1, 2, None, None), (1, 3, None, 99), (1, 4, None, 7), (3, 5, None, 8), (1, 2, 3, 4), (2, 3, None, 9)], "from_id long, to_id long, from_year int, to_year int")
+    got = sorted(((r.from_id, r.to_id, r.from_year, r.to_year) for r in graph.derive_bounds(edges, nodes).collect()), key=str)
+    assert got == sorted([(1, 2, 0, 5), (1, 3, -10, 5), (1, 4, None, 7), (3, 5, None, 8), (1, 2, 3, 4), (2, 3, 0, None)], key=str)
+
+
+def test_batches_by_walking(spark):
+    for sizes, most_bytes, most_rows in (([150] * 3 + [1] * 3000, 150, 500), ([1] * 2000 + [10] * 200, 150, 500), ([7] * 40, 1000, 9)):
+        rows = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "k long, line string")
+        got = sorted((r.k, r.batch) for r in build.export_batches(rows, "k", "line", most_bytes, most_rows, 1).collect())
+        want, part, lines, size = [], 0, 0, 0
+        for n in sizes:
+            if lines and (lines >= most_rows or size >= most_bytes):
+                part, lines, size = part + 1, 0, 0
+            lines, size = lines + 1, size + n
+            want.append(f"0-{part}")
+        assert [b for _, b in got] == want
+
+
+def test_label_similarity(spark):
+    labels = spark.createDataFrame([(x,) for x in ("employs", "employed_by", "in_nation", "in_region", "member_of", "members")], "label string")
+    assert [(r.label, r.score) for r in build.label_similarity(labels, "in_nation").collect()] == [("in_nation", 1.0)]
+    assert {r.label: r.score for r in build.label_similarity(labels, "member_by").collect()} == {"member_of": 0.7, "members": 0.7}
+    assert build.label_similarity(labels, "employed").first().label == "employed_by"
+
+
+def test_realm_marks(spark):
+    rows = spark.createDataFrame([(["REAL-WORLD people"],), (["2004 releases"],), (["Canceled comics"],), (["comics"],), (["Own house rules"],), (None,)], "c array<string>")
+    assert [r.x for r in rows.select(pages.realm(F.col("c"), "Made-up", ("house rules",)).alias("x")).collect()] == ["Real", "Real", "Real", "Made-up", "Real", "Made-up"]
+
+
+def test_sections_with_odd_headings():
+    assert search.sections("## A") == [("A", "## A")] and search.sections("a\n##") == [("Introduction", "a\n##")]
+    assert search.sections("a\n## ") == [("Introduction", "a")] and search.sections("##\n\ntitle\nx") == [("title", "title\nx")]
+    assert search.sections("##### five\n##no") == [("Introduction", "##### five\n##no")]
+
+
+def test_paragraphs_against_joining():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        parts = ["ab c"[: rng.randrange(1, 5)].strip() * rng.randrange(0, 60) for _ in range(rng.randrange(0, 12))]
+        most, least, overlap = rng.randrange(20, 200), rng.randrange(1, 30), rng.randrange(1, 30)
+        out, now = [], ""
+        for p in filter(None, parts):
+            if now and len(now) > least and len(now) + 2 + len(p) > most:
+                out.append(now.strip())
+                now = now[-overlap:] + "\n\n" + p if len(now) > overlap else p
+            else:
+                now = now + "\n\n" + p if now else p
+        out += [now.strip()] if len(now) >= least else []
+        assert search.paragraphs("\n\n".join(parts), most, least, overlap) == out
+
+
+def test_closure_of_a_long_chain_and_depth(spark):
+    rows = [(i, i + 1) for i in range(37)] + [(5, 0), (10, 30)]
+    e = spark.createDataFrame([(a, b, "a") for a, b in rows], "from_id long, to_id long, label string")
+    best = {}
+    for a in range(38):
+        seen, front, d = {a}, {a}, 0
+        while front:
+            d, front = d + 1, {y for x, y in rows if x in front} - seen
+            seen |= front
+            best |= {(a, y): d for y in front}
+    for depth in (None, 1, 5):
+        got = {(r.id, r.ancestor): r.depth for r in graph.closure(e, ["a"], depth).collect()}
+        assert got == {k: d for k, d in best.items() if depth is None or d <= depth}
