@@ -20,9 +20,9 @@ Two sets link if ``100 * both >= PERCENT * either``. The join is exact up to col
    spanning forest of the highest bounds are verified on the shingles themselves. That joins most of a group of near
    copies at one pair for each set.
 6. Then every bucket whose sets are not all joined is searched, in blocks of BLOCK sets; pairs of joined sets are left
-   out, and so are blocks of which both hold only the bucket's largest group. Of each two groups that meet the
-   candidate of the highest bound comes first; where it fails, the next 8, then 64, and so on until the groups are
-   joined or no candidate is left. So no link between groups is lost.
+   out, and so are blocks of which both hold only the bucket's largest group. A forest of the highest bounds comes
+   first again; where more candidates are left, the STEPS best between each two groups, then STEPS times as many, and
+   so on until the groups are joined or no candidate is left. So no link between groups is lost.
 
 Defined cases: a null or empty text, or one of blanks alone, has no shingles and no links; fewer than SIZE words are
 one shingle; rows with a null id get their n_shingles and no component; rows that repeat an id are one document and
@@ -48,7 +48,7 @@ SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 10
 #: Sets of a stretch that make a shingle frequent, and sets of a stretch at most (their numbers have 16 bits).
 OFTEN, MOST_SETS = 4, 60_000
 #: Rounds of searches by pivot; the buckets are searched after them whatever they have left.
-ROUNDS = 3
+ROUNDS, STEPS = 2, 32
 #: Pairs that are broadcast at most (16 bytes each); beyond, they are joined by shuffles.
 SENT_PAIRS = 1 << 20
 #: The most bits of the map that spares texts a second look; beyond, texts are joined instead.
@@ -448,13 +448,12 @@ def _map_size(n: int) -> int:
     return bits if bits <= MAP_BITS else 0
 
 
-def _of_marked(texts: DataFrame, names: DataFrame, owners: DataFrame, schema: pa.Schema, make: Callable) -> DataFrame:
-    """s, n and ``make(shingles)`` (binary) of the named sets, and of a few more, from the text of each one's owner.
-
-    The owners are told by a map of their ids, so that no text is shuffled; where the map would be too large, texts
+def _of_marked(texts: DataFrame, names: DataFrame, most: int, owners: DataFrame, schema: pa.Schema, make: Callable) -> DataFrame:
+    """s, n and ``make(shingles)`` (binary) of the named sets, and of a few more, from the text of each one's owner;
+    ``most``: how many names there are at most. The owners are told by a map of their ids, so that no text is shuffled; where the map would be too large, texts
     are joined."""
     ids = names.join(owners, "s").select(F.col("own").alias("doc_id"))
-    bits = _map_size(names.count())
+    bits = _map_size(most)
     sent = texts.sparkSession.sparkContext.broadcast(_bitmap(ids, bits)) if bits else None  # MAP_BITS / 8 bytes at most
 
     def run(batches):
@@ -467,8 +466,8 @@ def _of_marked(texts: DataFrame, names: DataFrame, owners: DataFrame, schema: pa
     return some.mapInArrow(run, f"s long, n long, {schema.names[2]} binary")
 
 
-def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (x, y) those that link, by the sets themselves: left has those of x, right those of y."""
+def verify(pairs: DataFrame, n: int, left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of n pairs (x, y) those that link, by the sets themselves: left has those of x, right those of y."""
 
     def run(batches):
         for b in batches:
@@ -480,7 +479,7 @@ def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int = P
             yield b.select(["x", "y"]).filter(pa.array(fine, pa.bool_()))
 
     # each set of y goes once, to the pair's x, of which there are fewer
-    sent = F.broadcast(pairs) if pairs.count() <= SENT_PAIRS else pairs
+    sent = F.broadcast(pairs) if n <= SENT_PAIRS else pairs
     with_y = right.select(F.col("s").alias("y"), F.col("found").alias("fy")).join(sent, "y")
     both = with_y.join(left.select(F.col("s").alias("x"), F.col("found").alias("fx")), "x").select("x", "y", "fx", "fy")
     return both.mapInArrow(run, "x long, y long").distinct()
@@ -498,8 +497,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
         up = keep(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("y")).select("v", F.least("v", "y").alias("label")), "up")
         while True:
-            above = up.select(F.col("v").alias("label"), F.col("label").alias("next"))
-            jumped = keep(up.join(above, "label", "left").select("v", F.coalesce("next", "label").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "up")
+            jumped = up.select("v", "label", F.col("label").alias("before"))
+            for _ in range(2):
+                above = up.select(F.col("v").alias("label"), F.col("label").alias("next"))
+                jumped = jumped.join(above, "label", "left").select("v", F.coalesce("next", "label").alias("label"), "before")
+            jumped = keep(jumped.select("v", "label", (F.col("label") < F.col("before")).alias("moved")), "up")
             forget(up)
             up = jumped
             if not up.where("moved").limit(1).count():
@@ -694,10 +696,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     owners = docs.where("n > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("own"))
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     buckets = buckets_of(named, total, _frequent(profile.where("kind = 1").select("s", "n")))
-    points = keep(_of_marked(named, buckets.select("s").distinct(), owners, POINT, vector), "points")
+    own = buckets.select("s").distinct()
+    points = keep(_of_marked(named, own, own.count(), owners, POINT, vector), "points")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return keep(verify(pairs, _of_marked(named, pairs.select(F.col("x").alias("s")).distinct(), owners, SET, _same), _of_marked(named, pairs.select(F.col("y").alias("s")).distinct(), owners, SET, _same)), "links")
+    def links(pairs: DataFrame, n: int) -> DataFrame:
+        sets = [_of_marked(named, pairs.select(F.col(k).alias("s")).distinct(), n, owners, SET, _same) for k in "xy"]
+        return keep(verify(pairs, n, *sets), "links")
 
     shared = keep(buckets.where("s <> low").groupBy("s", "low").agg(F.sum("times").alias("times")), "shared")
     edges = labels = tried = None
@@ -706,9 +710,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         pairs = searched(by_pivot(chosen), points, 0).select("x", "y").distinct()
         pairs = keep(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if not pairs.limit(1).count():
+        if not (n := pairs.count()):
             break
-        new = links(pairs)
+        new = links(pairs, n)
         edges = new if edges is None else edges.unionByName(new)
         left, old = keep(shared.join(chosen.select("s", "low"), ["s", "low"], "left_anti"), "shared"), labels
         forget(shared, chosen)
@@ -722,8 +726,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     while True:
         offered = keep(searched(by_bucket(open_, labels), points, many), "offers")
         fresh = keep(offered.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
-        if fresh.limit(1).count():
-            tried, new = tried.unionByName(fresh), links(fresh)
+        if n := fresh.count():
+            tried, new = tried.unionByName(fresh), links(fresh, n)
             if new.limit(1).count():
                 edges, old = edges.unionByName(new), labels
                 labels = components(edges)
@@ -732,7 +736,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         forget(offered)
         if not more.limit(1).count():
             break
-        open_, many = buckets.join(more, "bucket", "left_semi"), max(1, many * 8)
+        open_, many = buckets.join(more, "bucket", "left_semi"), max(1, many) * STEPS
     forget(points, buckets)
     again = docs.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y")
     if again.limit(1).count():
