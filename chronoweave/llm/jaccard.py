@@ -20,8 +20,8 @@ Two sets link if ``100 * both >= PERCENT * either``. The join is exact up to col
    spanning forest of the highest bounds are verified on the shingles themselves. That joins most of a group of near
    copies at one pair for each set.
 6. Then every bucket whose sets are not all joined is searched, in blocks of BLOCK sets; pairs of joined sets are left
-   out, and so are blocks of which both hold only the bucket's largest group. A forest of the highest bounds comes
-   first again; where more candidates are left, the STEPS best between each two groups, then STEPS times as many, and
+   out, and so are blocks of which both hold only the bucket's largest group. A pair counts only in the first bucket
+   that both sets are in, which each set's list of buckets tells. A forest of the highest bounds comes first again; where more candidates are left, the STEPS best between each two groups, then STEPS times as many, and
    so on until the groups are joined or no candidate is left. So no link between groups is lost.
 
 Defined cases: a null or empty text, or one of blanks alone, has no shingles and no links; fewer than SIZE words are
@@ -49,6 +49,8 @@ SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 10
 OFTEN, MOST_SETS = 4, 60_000
 #: Rounds of searches by pivot; the buckets are searched after them whatever they have left.
 ROUNDS, STEPS = 2, 32
+#: Jumps to the label's label in each written step of components(); chains of that many ends need no second one.
+JUMPS = 3
 #: Pairs that are broadcast at most (16 bytes each); beyond, they are joined by shuffles.
 SENT_PAIRS = 1 << 20
 #: The most bits of the map that spares texts a second look; beyond, texts are joined instead.
@@ -498,9 +500,9 @@ def components(edges: DataFrame) -> DataFrame:
         up = keep(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("y")).select("v", F.least("v", "y").alias("label")), "up")
         while True:
             jumped = up.select("v", "label", F.col("label").alias("before"))
-            for _ in range(2):
+            for _ in range(JUMPS):
                 above = up.select(F.col("v").alias("label"), F.col("label").alias("next"))
-                jumped = jumped.join(above, "label", "left").select("v", F.coalesce("next", "label").alias("label"), "before")
+                jumped = jumped.join(above, "label", "left").select("v", F.coalesce("next", "label").alias("label"), F.col("label").alias("before"))
             jumped = keep(jumped.select("v", "label", (F.col("label") < F.col("before")).alias("moved")), "up")
             forget(up)
             up = jumped
@@ -527,6 +529,19 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, vertex: str, name: str)
     return rows.join(labels.select(F.col("v").alias(vertex), F.col("label").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
+def extended(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The labels (v, label; kept) with more edges: only what the edges join is contracted."""
+    if labels is None:
+        return components(edges)
+    between = _labelled(_labelled(edges, labels, "x", "lx"), labels, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y"))
+    joined = components(between)
+    step = joined.select(F.col("v").alias("label"), F.col("label").alias("next"))
+    moved = labels.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+    new = keep(moved.unionByName(joined.join(labels.select("v"), "v", "left_anti").select("v", "label")), "labels")
+    forget(labels, joined)
+    return new
+
+
 OFFER = pa.schema([("bucket", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("more", pa.bool_())])
 
 
@@ -551,8 +566,30 @@ def _forest(low: np.ndarray, high: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def _met_before(bucket: int, lists: pa.ListArray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of places those whose lists share a bucket that comes before the given one."""
+    held = lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    owner, held = owner[held < bucket], held[held < bucket]
+    _, number, many = np.unique(held, return_inverse=True, return_counts=True)
+    shared = many[number] > 1
+    owner, number = owner[shared], (np.cumsum(many > 1) - 1)[number[shared]]
+    met = np.zeros(len(x), bool)
+    for begin in range(0, int(number.max(initial=-1)) + 1, 512):
+        bits = np.zeros((len(lists), 512), bool)
+        some = (number >= begin) & (number < begin + 512)
+        bits[owner[some], number[some] - begin] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        left = np.flatnonzero(~met)
+        for i in range(0, len(left), 1 << 17):
+            part = left[i : i + (1 << 17)]
+            met[part] = (words[x[part]] & words[y[part]]).any(1)
+    return met
+
+
 def _tree_offers(batches, many: int):
     """Candidates of sorted groups (key, bucket, side, s, label, n, counts); a group may go on in the next batch.
+    With a list of buckets as well, a pair counts only in the first bucket that both lists have.
 
     many 0: a forest of the pairs with the highest bounds. Else of each pair of labels the ``many`` with the highest
     bounds. With both, whether there are more candidates between different labels."""
@@ -564,6 +601,9 @@ def _tree_offers(batches, many: int):
         x, y, bound = tree_pairs(n, rows["counts"].to_pylist(), own, np.flatnonzero(side == 1) if two else None)
         fine = label[x] != label[y]
         x, y, bound = x[fine], y[fine], bound[fine]
+        if "buckets" in rows.column_names and len(x):
+            fine = ~_met_before(rows["bucket"][0].as_py(), rows["buckets"].combine_chunks(), x, y)
+            x, y, bound = x[fine], y[fine], bound[fine]
         one, other = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
         if not many:
@@ -600,7 +640,8 @@ def searched(dealt: DataFrame, points: DataFrame, many: int) -> DataFrame:
     def run(batches):
         return _tree_offers(batches, many)
 
-    placed = dealt.join(points.select("s", "n", "counts"), "s").select("key", "bucket", "side", "s", "label", "n", "counts")
+    own = [c for c in points.columns if c != "s"]
+    placed = dealt.join(points, "s").select("key", "bucket", "side", "s", "label", *own)
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, x long, y long, more boolean")
 
 
@@ -704,44 +745,53 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         return keep(verify(pairs, n, *sets), "links")
 
     shared = keep(buckets.where("s <> low").groupBy("s", "low").agg(F.sum("times").alias("times")), "shared")
-    edges = labels = tried = None
+    labels, tried, used = None, None, []
     for _ in range(ROUNDS):
         chosen = choose(shared, labels)
         pairs = searched(by_pivot(chosen), points, 0).select("x", "y").distinct()
         pairs = keep(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        used.append(pairs)
         if not (n := pairs.count()):
+            forget(chosen)
             break
         new = links(pairs, n)
-        edges = new if edges is None else edges.unionByName(new)
-        left, old = keep(shared.join(chosen.select("s", "low"), ["s", "low"], "left_anti"), "shared"), labels
+        left = keep(shared.join(chosen.select("s", "low"), ["s", "low"], "left_anti"), "shared")
         forget(shared, chosen)
-        shared, labels = left, components(edges)
-        forget(old)
+        shared = left
         if not new.limit(1).count():
             break
+        labels = extended(labels, new)
+        forget(new)
     forget(shared)
-    edges = tried if edges is None else edges
+    mixed = _labelled(buckets.select("bucket", "s"), labels, "s", "label").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    left = keep(buckets.select("bucket", "s").join(mixed.select("bucket"), "bucket", "left_semi"), "buckets")
+    forget(buckets)
+    buckets, all_points = left, points
+    # a set's buckets are no more than its prefix has shingles
+    points = keep(all_points.join(buckets.groupBy("s").agg(F.collect_list("bucket").alias("buckets")), "s"), "points")
+    forget(all_points)
     many, open_ = 0, buckets
     while True:
         offered = keep(searched(by_bucket(open_, labels), points, many), "offers")
         fresh = keep(offered.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+        used.append(fresh)
         if n := fresh.count():
             tried, new = tried.unionByName(fresh), links(fresh, n)
             if new.limit(1).count():
-                edges, old = edges.unionByName(new), labels
-                labels = components(edges)
-                forget(old)
+                labels = extended(labels, new)
+            forget(new)
         more = keep(offered.where("more").select("bucket").distinct(), "open")
         forget(offered)
+        used.append(more)
         if not more.limit(1).count():
             break
         open_, many = buckets.join(more, "bucket", "left_semi"), max(1, many) * STEPS
-    forget(points, buckets)
+    forget(points, buckets, *used)
     again = docs.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y")
     if again.limit(1).count():
         repeated = docs.where("n > 0").join(again.select("doc_id", "x"), "doc_id").select("x", F.col("s").alias("y")).where("x <> y").distinct()
-        labels = components(edges.unionByName(repeated))
+        labels = extended(labels, repeated)
     least = _labelled(owners, labels, "s", "label")
     least = least.join(least.groupBy("label").agg(F.min("own").alias("component_id")), "label").select("s", "component_id")
     rows = docs.where("n > 0 and doc_id is not null").join(least, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
