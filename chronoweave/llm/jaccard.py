@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 from . import _words
 from ._base import batch, binary, forget, free_name, keep, pieces, utf8
 
-SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 1024, 8, 1 << 20, 2 << 20, 1 << 22, 1 << 22, 64
+SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 1024, 8, 1 << 20, 2 << 20, 1 << 21, 1 << 21, 64
 #: Sets of a stretch that make a shingle frequent, and sets of a stretch at most (their numbers have 16 bits).
 OFTEN, MOST_SETS = 4, 60_000
 #: Rounds of searches by pivot; the buckets are searched after them whatever they have left.
@@ -238,16 +238,21 @@ def _profile(batches):
 
 
 def _thinned(keys: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as steps of 16 bits; a full one is followed by more of the same step."""
+    """Sorted 32-bit numbers as steps of 16 bits, a full one being followed by more of the same step; numbers too far
+    apart for that as they are."""
     steps = np.diff(keys.astype(np.int64), prepend=0)
     many = steps // 65535 + 1
+    if int(many.sum()) >= 2 * len(keys):
+        return keys.astype(np.uint32).tobytes()
     out = np.full(int(many.sum()), 65535, np.uint16)
     out[np.cumsum(many) - 1] = steps % 65535
     return out.tobytes()
 
 
-def _thickened(steps: bytes) -> np.ndarray:
-    """The numbers that _thinned() has packed."""
+def _thickened(steps: bytes, n: int) -> np.ndarray:
+    """The n numbers that _thinned() has packed."""
+    if len(steps) == 4 * n:
+        return np.frombuffer(steps, np.uint32).astype(np.int64)
     own = np.frombuffer(steps, np.uint16)
     return np.cumsum(own, dtype=np.int64)[own < 65535]
 
@@ -301,6 +306,7 @@ def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
                 sets, sizes, tokens, held, total = [], [], [], [], 0
         if sets:
             yield from flush(sets, sizes, tokens, held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -317,6 +323,7 @@ def _by_part(batches) -> Iterator[tuple[int, list]]:
             held.append(row[1:])
     if held:
         yield part, held
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(rows: list, column: int, kind) -> np.ndarray:
@@ -343,7 +350,7 @@ def _counted(bits: int) -> Callable:
             sizes = _sizes(rows)[first]
             begin = np.cumsum([0, *(len(r[1]) // 8 for r in rows)])
             owner = np.concatenate([number[begin[k] + np.frombuffer(r[3], np.uint16).astype(np.int64)] for k, r in enumerate(rows)])
-            keys = np.concatenate([_thickened(r[4]) for r in rows])
+            keys = np.concatenate([_thickened(r[4], len(r[3]) // 2) for r in rows])
             pairs = np.unique(keys.astype(np.uint64) << _U(32) | owner.astype(np.uint64))
             key, owner = pairs >> _U(32), (pairs & _U(0xFFFFFFFF)).astype(np.int64)
             cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))

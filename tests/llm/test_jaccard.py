@@ -105,6 +105,25 @@ def test_tree_bounds_are_safe():
     assert (bound == minima[q, p]).all()
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 10), (1, 1 << 32), (5, 1 << 32), (5000, 1 << 32), (200_000, 1 << 32), (200_000, 250_000), (3, 4)):
+        keys = np.sort(rng.integers(0, top, n)).astype(np.uint32)
+        packed = jaccard._thinned(keys)
+        assert jaccard._thickened(packed, n).tolist() == keys.tolist() and len(packed) <= 4 * n
+
+
+def test_first_shared_bucket():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    lists = [rng.choice(5000, rng.integers(1, 900), replace=False).tolist() for _ in range(40)]
+    x, y = np.triu_indices(40, 1)
+    for bucket in (0, 10, 2500, 5000):
+        want = [any(b < bucket for b in set(lists[i]) & set(lists[j])) for i, j in zip(x, y, strict=True)]
+        assert jaccard._met_before(bucket, pa.array(lists, pa.list_(pa.int64())), x, y).tolist() == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
