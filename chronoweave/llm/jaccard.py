@@ -466,10 +466,16 @@ def _of_marked(texts: DataFrame, names: DataFrame, most: int, owners: DataFrame,
     sent = texts.sparkSession.sparkContext.broadcast(_bitmap(ids, bits)) if bits else None  # MAP_BITS / 8 bytes at most
 
     def run(batches):
+        seen: set = set()  # a copy may share its owner's bit
         for b in batches:
             for p in pieces([b.filter(pa.array(_set(sent.value, b.column(0).to_numpy(), bits))) if bits else b], 1, STEP):
                 found, until = shingles(*utf8(p.column(1)))
-                yield batch(schema, set_names(found, until), np.diff(until), binary([make(found[until[i] : until[i + 1]]).tobytes() for i in range(p.num_rows)]))
+                names, new = set_names(found, until), []
+                for i, key in enumerate(names.tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(i)
+                yield batch(schema, names[new], np.diff(until)[new], binary([make(found[until[i] : until[i + 1]]).tobytes() for i in new]))
 
     some = texts if bits else texts.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "text")
     return some.mapInArrow(run, f"s long, n long, {schema.names[2]} binary")
