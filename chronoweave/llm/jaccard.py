@@ -8,8 +8,10 @@ Two sets link if ``100 * both >= PERCENT * either``. The join is exact up to col
    of the hash range they belong to; the part knows in how many sets each is, and sends those of two or more sets on
    to the lot of their set. Shingles that are frequent already within a stretch (at most FREQUENT of them) are known
    beforehand and stay out of that exchange.
-3. A set's prefix are its first ``n - ceil(n * PERCENT / 100) + 1`` shingles, rarest first, an order that all sets
-   share; two sets that link share a shingle of their prefixes. Shingles of one set alone come first and make no
+3. A set's prefix are its first ``n - ceil(n * PERCENT / 100) + 1`` shingles in an order that all sets share, so two
+   sets that link share a shingle of their prefixes. The order: half of the hash space (told by a bit), the other
+   half, then the frequent ones; rarest first within each. The prefix is about a quarter of a set, so the first half
+   mostly holds it and the second half isn't exchanged for that set. Shingles of one set alone come first and make no
    bucket, so what many documents share makes one only where there is little else. Buckets of the same sets are one.
 4. A set is a point: its shingles hashed to groups, counted. The number of groups grows with the set (one for each
    one or two shingles); halves add up, so sets of different sizes compare at the coarser number. The sum over groups
@@ -257,15 +259,26 @@ def _thickened(steps: bytes, n: int) -> np.ndarray:
     return np.cumsum(own, dtype=np.int64)[own < 65535]
 
 
+def _second(keys: np.ndarray) -> np.ndarray:
+    """Whether shingles are of the second half of the order, by the last of their 32 bits."""
+    return keys.astype(np.uint32) & np.uint32(1) == 1
+
+
+def _reach(prefix: int, first: int, rare: int) -> int:
+    """How far a prefix reaches into a set's rare shingles, as one number: how many of the first half are behind it;
+    or, where it needs the second half too, one less than minus how many of the second half are behind it."""
+    return first - prefix if first >= prefix else -1 - max(0, rare - prefix)
+
+
 def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
-    """Shingles of distinct sets by part of the hash range: a row holds the sets of a stretch, their sizes, then
-    how many frequent ones each has, and for each shingle its set's number and 32 bits. Rows marked frequent hold instead the
-    frequent shingles of prefixes and the set of each."""
+    """Shingles of distinct sets by part of the hash range: a row holds the sets of a stretch, the reach of each one's
+    prefix (see _reach), and for each shingle its set's number and 32 bits. A set whose prefix fits in the first half
+    sends that alone. Rows marked frequent hold instead the frequent shingles of prefixes and the set of each."""
 
     def flush(sets: list, sizes: list, tokens: list, held: list):
         for part, t, s in held:
             yield batch(SPREAD, [part], [True], binary([s.tobytes()]), binary([b""]), binary([b""]), binary([t.tobytes()]), binary([b""]))
-        flat, names, size = np.concatenate(tokens), np.array(sets, np.int64), np.array(sizes, np.int32).T
+        flat, names, size = np.concatenate(tokens), np.array(sets, np.int64), np.array(sizes, np.int32)
         order = np.argsort(flat)
         flat, owner = flat[order], np.repeat(np.arange(len(sets)), [len(t) for t in tokens])[order]
         part = (flat >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
@@ -275,7 +288,7 @@ def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
             there = np.zeros(len(sets), bool)
             there[owner[i:j]] = True
             number = (np.cumsum(there) - 1).astype(np.uint16)
-            yield batch(SPREAD, [int(part[i])], [False], binary([names[there].tobytes()]), binary([size[:, there].tobytes()]), binary([number[owner[i:j]].tobytes()]), binary([_thinned(key[i:j])]), binary([b""]))
+            yield batch(SPREAD, [int(part[i])], [False], binary([names[there].tobytes()]), binary([size[there].tobytes()]), binary([number[owner[i:j]].tobytes()]), binary([_thinned(key[i:j])]), binary([b""]))
 
     def run(batches):
         seen: set = set()
@@ -293,14 +306,16 @@ def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
                 seen.add(key)
                 own, w = found[until[i] : until[i + 1]], often[until[i] : until[i + 1]]
                 rare = own[w == 0]
-                if (more := int(prefix_size(np.int64(size))) - len(rare)) > 0:
+                prefix = int(prefix_size(np.int64(size)))
+                if (more := prefix - len(rare)) > 0:
                     hot, w = own[w > 0], w[w > 0]
                     hot = hot[np.lexsort((hot, w))][:more]
                     held.append((key & ((1 << bits) - 1), (hot | _U(1 << 63)).view(np.int64), np.full(len(hot), key)))
+                first = rare[~_second(rare >> _U(32 - bits))]
                 sets.append(key)
-                sizes.append((size, size - len(rare)))
-                tokens.append(rare)
-                total += len(rare)
+                sizes.append(_reach(prefix, len(first), len(rare)))
+                tokens.append(first if len(first) >= prefix else rare)
+                total += len(tokens[-1])
             if total >= FLUSH or len(sets) >= MOST_SETS - 10_000:
                 yield from flush(sets, sizes, tokens, held)
                 sets, sizes, tokens, held, total = [], [], [], [], 0
@@ -331,8 +346,8 @@ def _joined(rows: list, column: int, kind) -> np.ndarray:
 
 
 def _sizes(rows: list) -> np.ndarray:
-    """(size, frequent ones) of the rows' sets."""
-    return np.concatenate([np.frombuffer(r[2], np.int32).reshape(2, -1).T for r in rows])
+    """The reach of each of the rows' sets."""
+    return _joined(rows, 2, np.int32)
 
 
 def _counted(bits: int) -> Callable:
@@ -364,7 +379,7 @@ def _counted(bits: int) -> Callable:
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 own, each = np.unique(owner[i:j], return_counts=True)
                 # the sets' numbers are told by how many shingles each has; the part by the first of the counts' row
-                yield batch(SPREAD, [int(lot[i])], [False], binary([names[own].tobytes()]), binary([sizes[own].T.tobytes()]), binary([np.append(part, each).astype(np.int64).tobytes()]), binary([key[i:j].tobytes()]), binary([many[i:j].tobytes()]))
+                yield batch(SPREAD, [int(lot[i])], [False], binary([names[own].tobytes()]), binary([sizes[own].tobytes()]), binary([np.append(part, each).astype(np.int64).tobytes()]), binary([key[i:j].tobytes()]), binary([many[i:j].tobytes()]))
 
     return run
 
@@ -380,17 +395,19 @@ def _prefixes(batches):
         if not rows:
             continue
         names, first, number = np.unique(_joined(rows, 1, np.int64), return_index=True, return_inverse=True)
-        size, frequent = _sizes(rows)[first].astype(np.int64).T
+        reach = _sizes(rows)[first].astype(np.int64)
         heads = [np.frombuffer(r[3], np.int64) for r in rows]
         owner = np.repeat(number, np.concatenate([h[1:] for h in heads]))
         part = np.repeat([h[0] for h in heads], [len(r[4]) // 4 for r in rows])
         key = _joined(rows, 4, np.uint32)
-        order = np.lexsort((key, part, _joined(rows, 5, np.uint16), owner))
-        owner, key, part = owner[order], key[order], part[order]
-        shared = np.bincount(owner, minlength=len(names))
-        rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
-        rare = size - frequent
-        kept = rank < (np.minimum(prefix_size(size), rare) - (rare - shared))[owner]  # no other set has the others
+        half = 2 * owner + _second(key)
+        order = np.lexsort((key, part, _joined(rows, 5, np.uint16), half))
+        owner, key, part, half = owner[order], key[order], part[order], half[order]
+        shared = np.bincount(half, minlength=2 * len(names))
+        rank = np.arange(len(half)) - (np.cumsum(shared) - shared)[half]
+        # those of one set alone come first in a half, so what is behind the prefix are the last ones of its last half
+        behind = np.where(half % 2 == (reach < 0)[owner], np.where(reach < 0, -1 - reach, reach)[owner], 0)
+        kept = rank < shared[half] - behind
         owner, key, part = owner[kept], key[kept], part[kept]
         order = np.lexsort((owner, part))
         owner, key, part = owner[order], key[order], part[order]
@@ -720,7 +737,7 @@ def _same(found: np.ndarray) -> np.ndarray:
 def buckets_of(named: DataFrame, total: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """bucket, s, low (the least set of the bucket), times (how many shingles made it), of the sets' prefixes; kept.
     total: shingles of all sets, about."""
-    bits = min(31, max(3, (max(1, total) // PART).bit_length()))
+    bits = min(31, max(3, (max(1, total // 2) // PART).bit_length()))  # half of the shingles are exchanged
     sent = named.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT * 12 bytes at most
     kind = "part long, frequent boolean, sets binary, sizes binary, owners binary, keys binary, counts binary"
 
