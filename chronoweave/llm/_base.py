@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -57,6 +58,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def give_back() -> None:
+    """Return what a Python worker no longer holds to the system: workers are reused, and one task's peak would stay
+    with all later ones. Where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: int, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text in ``column`` of each is at most ``step`` bytes, or one row."""
     for batch in batches:
@@ -69,6 +78,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: int, step: int = STEP_BYTE
             end = max(begin + 1, int(np.searchsorted(ends, done + step, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _words
-from ._base import batch, binary, forget, free_name, keep, pieces, utf8
+from ._base import batch, binary, forget, free_name, give_back, keep, pieces, utf8
 
 SIZE, PERCENT, BLOCK, FAN, FREQUENT, STEP, FLUSH, PART, LEAST_GROUPS = 5, 75, 1024, 8, 1 << 20, 2 << 20, 1 << 21, 1 << 21, 64
 #: Sets of a stretch that make a shingle frequent, and sets of a stretch at most (their numbers have 16 bits).
@@ -315,13 +315,14 @@ def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
                 sets.append(key)
                 sizes.append(_reach(prefix, len(first), len(rare)))
                 tokens.append(first if len(first) >= prefix else rare)
-                total += len(tokens[-1])
+                total += len(rare)
             if total >= FLUSH or len(sets) >= MOST_SETS - 10_000:
                 yield from flush(sets, sizes, tokens, held)
                 sets, sizes, tokens, held, total = [], [], [], [], 0
         if sets:
             yield from flush(sets, sizes, tokens, held)
-        pa.default_memory_pool().release_unused()
+        sets, sizes, tokens, held = [], [], [], []
+        give_back()
 
     return run
 
@@ -338,7 +339,8 @@ def _by_part(batches) -> Iterator[tuple[int, list]]:
             held.append(row[1:])
     if held:
         yield part, held
-    pa.default_memory_pool().release_unused()
+    held = []
+    give_back()
 
 
 def _joined(rows: list, column: int, kind) -> np.ndarray:
@@ -364,17 +366,22 @@ def _counted(bits: int) -> Callable:
             names, first, number = np.unique(_joined(rows, 1, np.int64), return_index=True, return_inverse=True)
             sizes = _sizes(rows)[first]
             begin = np.cumsum([0, *(len(r[1]) // 8 for r in rows)])
-            owner = np.concatenate([number[begin[k] + np.frombuffer(r[3], np.uint16).astype(np.int64)] for k, r in enumerate(rows)])
-            keys = np.concatenate([_thickened(r[4], len(r[3]) // 2) for r in rows])
-            pairs = np.unique(keys.astype(np.uint64) << _U(32) | owner.astype(np.uint64))
-            key, owner = pairs >> _U(32), (pairs & _U(0xFFFFFFFF)).astype(np.int64)
+            number = number.astype(np.uint32)
+            owner = np.concatenate([number[begin[k] + np.frombuffer(r[3], np.uint16).astype(np.int32)] for k, r in enumerate(rows)])
+            pairs = np.concatenate([_thickened(r[4], len(r[3]) // 2).astype(np.uint32) for r in rows]).astype(np.uint64)
+            pairs <<= _U(32)
+            pairs |= owner
+            pairs.sort()
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+            key, owner = (pairs >> _U(32)).astype(np.uint32), pairs.astype(np.uint32)
+            del pairs
             cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(cuts, len(key)))
-            many = np.repeat(size, size)
+            many = np.repeat(np.minimum(size, 65535).astype(np.uint16), size)
             key, owner, many = key[many > 1], owner[many > 1], many[many > 1]
             lot = names[owner] & ((1 << bits) - 1)
             order = np.lexsort((owner, lot))
-            lot, owner, key, many = lot[order], owner[order], key[order].astype(np.uint32), np.minimum(many[order], 65535).astype(np.uint16)
+            lot, owner, key, many = lot[order], owner[order], key[order], many[order]
             cuts = np.append(np.flatnonzero(np.append(True, lot[1:] != lot[:-1])), len(lot)) if len(lot) else [0]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 own, each = np.unique(owner[i:j], return_counts=True)
@@ -662,6 +669,8 @@ def _tree_offers(batches, many: int):
                 yield batch(OFFER, *pairs(table.slice(int(i), int(j - i))))
     if held is not None and held.num_rows > 1:
         yield batch(OFFER, *pairs(held))
+    held = None
+    give_back()
 
 
 def searched(dealt: DataFrame, points: DataFrame, many: int) -> DataFrame:
