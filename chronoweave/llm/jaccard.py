@@ -9,9 +9,9 @@ Two sets link if ``100 * both >= PERCENT * either``. The join is exact up to col
    to the lot of their set. Shingles that are frequent already within a stretch (at most FREQUENT of them) are known
    beforehand and stay out of that exchange.
 3. A set's prefix are its first ``n - ceil(n * PERCENT / 100) + 1`` shingles in an order that all sets share, so two
-   sets that link share a shingle of their prefixes. The order: half of the hash space (told by a bit), the other
-   half, then the frequent ones; rarest first within each. The prefix is about a quarter of a set, so the first half
-   mostly holds it and the second half isn't exchanged for that set. Shingles of one set alone come first and make no
+   sets that link share a shingle of their prefixes. The order: three quarters of the hash space (told by
+   two bits), the last quarter, then the frequent ones; rarest first within each. The prefix is about a quarter of a
+   set, so the first part mostly holds it and the second part isn't exchanged for that set. Shingles of one set alone come first and make no
    bucket, so what many documents share makes one only where there is little else. Buckets of the same sets are one.
 4. A set is a point: its shingles hashed to groups, counted. The number of groups grows with the set (one for each
    one or two shingles); halves add up, so sets of different sizes compare at the coarser number. The sum over groups
@@ -260,20 +260,20 @@ def _thickened(steps: bytes, n: int) -> np.ndarray:
 
 
 def _second(keys: np.ndarray) -> np.ndarray:
-    """Whether shingles are of the second half of the order, by the last of their 32 bits."""
-    return keys.astype(np.uint32) & np.uint32(1) == 1
+    """Whether shingles are of the second part of the order, by the last two of their 32 bits."""
+    return keys.astype(np.uint32) & np.uint32(3) == 3
 
 
 def _reach(prefix: int, first: int, rare: int) -> int:
-    """How far a prefix reaches into a set's rare shingles, as one number: how many of the first half are behind it;
-    or, where it needs the second half too, one less than minus how many of the second half are behind it."""
+    """How far a prefix reaches into a set's rare shingles, as one number: how many of the first part of the order
+    are behind it; or, where it needs the second too, one less than minus how many of the second are behind it."""
     return first - prefix if first >= prefix else -1 - max(0, rare - prefix)
 
 
 def _spread(bits: int, frequent: np.ndarray, many: np.ndarray) -> Callable:
     """Shingles of distinct sets by part of the hash range: a row holds the sets of a stretch, the reach of each one's
-    prefix (see _reach), and for each shingle its set's number and 32 bits. A set whose prefix fits in the first half
-    sends that alone. Rows marked frequent hold instead the frequent shingles of prefixes and the set of each."""
+    prefix (see _reach), and for each shingle its set's number and 32 bits. A set whose prefix fits in the first part
+    of the order sends that alone. Rows marked frequent hold instead the frequent shingles of prefixes and the set of each."""
 
     def flush(sets: list, sizes: list, tokens: list, held: list):
         for part, t, s in held:
@@ -412,7 +412,7 @@ def _prefixes(batches):
         owner, key, part, half = owner[order], key[order], part[order], half[order]
         shared = np.bincount(half, minlength=2 * len(names))
         rank = np.arange(len(half)) - (np.cumsum(shared) - shared)[half]
-        # those of one set alone come first in a half, so what is behind the prefix are the last ones of its last half
+        # those of one set alone come first in a part, so what is behind the prefix are the last ones of its last part
         behind = np.where(half % 2 == (reach < 0)[owner], np.where(reach < 0, -1 - reach, reach)[owner], 0)
         kept = rank < shared[half] - behind
         owner, key, part = owner[kept], key[kept], part[kept]
@@ -681,6 +681,8 @@ def searched(dealt: DataFrame, points: DataFrame, many: int) -> DataFrame:
 
     own = [c for c in points.columns if c != "s"]
     placed = dealt.join(points, "s").select("key", "bucket", "side", "s", "label", *own)
+    if "buckets" in own:  # of a set's buckets only those before the group's own are asked for
+        placed = placed.withColumn("buckets", F.filter("buckets", lambda b: b < F.col("bucket")))
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, x long, y long, more boolean")
 
 
@@ -746,7 +748,7 @@ def _same(found: np.ndarray) -> np.ndarray:
 def buckets_of(named: DataFrame, total: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """bucket, s, low (the least set of the bucket), times (how many shingles made it), of the sets' prefixes; kept.
     total: shingles of all sets, about."""
-    bits = min(31, max(3, (max(1, total // 2) // PART).bit_length()))  # half of the shingles are exchanged
+    bits = min(31, max(3, (max(1, total * 3 // 4) // PART).bit_length()))  # three quarters of the shingles are exchanged
     sent = named.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT * 12 bytes at most
     kind = "part long, frequent boolean, sets binary, sizes binary, owners binary, keys binary, counts binary"
 
