@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, langid, media, packing, secrets, toxicity, urls
+from . import ann, bpe, chat, jaccard, langid, licenses, media, packing, secrets, spelling, toxicity, urls, whitening
 from ._base import documents
 
 QUERIES: dict = {}
@@ -140,3 +140,36 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows found for every row whose id is divisible by 100."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return ann.search(ann.build_index(rows), rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and notices."""
+    found = licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("found", lambda f: f.base)
+    labels = lambda some: F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda f: f.label))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda f: f.word)).alias("first_word"),
+        F.array_max(F.transform(base, lambda f: f.word)).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda f: f.similarity)), F.lit(0.0)).alias("score"),
+        F.array_join(F.transform("found", lambda f: F.concat_ws(":", f.label, f.start.cast("string"), f.end.cast("string"), f.edits.cast("string"))), ",").alias("spans"),
+    )
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's near words, form and root."""
+    return spelling.group(spelling.counts(documents(spark, sf_dir, "doc_id", "text")))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    return whitening.whiten(rows, model, whitening.identity_errors(rows, model))

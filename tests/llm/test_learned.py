@@ -157,7 +157,7 @@ def test_long_labelled_texts_teach(spark):
     plain = " ".join(t for t, k in zip(texts, y, strict=True) if not k)
     long = [t if not k else f"{plain} {t} {plain} " + " " * (1 << 16) for t, k in zip(texts, y, strict=True)]
     raw, at = toxicity.utf8(pa.array(long))
-    parts = toxicity.excerpts(raw, at, toxicity._odds(toxicity._seen(toxicity.Texts(raw, at), y)))
+    parts = toxicity.excerpts(raw, at, toxicity._odds(toxicity._seen(toxicity.Texts(raw, at), y, np.ones(len(y), bool))))
     assert all(n > toxicity.MOST == len(p) if k else len(p) == 1 for (n, p), k in zip(parts, y, strict=True))
     df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
     model = toxicity.learn(df, spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, toxic int"))
