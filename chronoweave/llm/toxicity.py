@@ -230,24 +230,32 @@ def train_on(w: dict, adam: Adam, texts: Texts, vocabulary: np.ndarray, first: n
 
 
 def _seen(texts: Texts, y: np.ndarray, taught: np.ndarray) -> np.ndarray:
-    """[class, n-gram]: in how many taught rows of a class each n-gram is; last in each class, how many rows it has."""
+    """[class, n-gram]: in how many stretches of WINDOW words of a class's taught rows each n-gram is; last in each class,
+    how many stretches it has. Then, for each n-gram, in how many rows it is."""
     n = np.diff(np.append(texts.first, len(texts.gram)))
-    out = np.zeros((2, BUCKETS + 1), np.int64)
+    out = np.zeros((3, BUCKETS + 1), np.int64)
     for i in np.flatnonzero(taught).tolist():
         begin, size = int(texts.begin[i]), int(texts.size[i])
-        word = np.unique(texts.number[begin : begin + size])
+        words = len(texts.first)
+        pair = np.unique(np.arange(size) // WINDOW * words + texts.number[begin : begin + size])
+        stretch, word = pair // max(1, words), pair % max(1, words)
         many = n[word]
         flat = np.repeat(texts.first[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        out[int(y[i]), np.unique(texts.gram[flat])] += 1
-        out[int(y[i]), BUCKETS] += 1
+        grams = texts.gram[flat]
+        each = np.unique(np.repeat(stretch, many)[:, None] * BUCKETS + grams) % BUCKETS
+        out[int(y[i]), :BUCKETS] += np.bincount(each, minlength=BUCKETS)
+        out[int(y[i]), BUCKETS] += -(-size // WINDOW)
+        out[2, np.unique(each)] += 1
+        out[2, BUCKETS] += 1
     return out
 
 
 def _odds(seen: np.ndarray) -> np.ndarray:
-    """The log odds of each n-gram, by rows, to be in a toxic one, over their standard error."""
-    (b, a), (clean, toxic) = seen[:, :BUCKETS], seen[:, BUCKETS]
-    lo = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
-    return lo / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    """The log odds of each n-gram, by stretches, to be in a toxic one, over their standard error. One stretch of either
+    class is added in proportion to the classes' sizes, so that an unseen n-gram tells nothing, however unlike they are."""
+    (b, a), (clean, toxic) = seen[:2, :BUCKETS], np.maximum(1, seen[:2, BUCKETS])
+    a, b = a + toxic / (clean + toxic), b + clean / (clean + toxic)
+    return np.log(a / toxic * clean / b) / np.sqrt(1 / a + 1 / b)
 
 
 def _telling(texts: Texts, odds: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -324,7 +332,7 @@ def train(texts: list[list[bytes]], y: np.ndarray, kept_out: np.ndarray, seen: n
     often = np.bincount(pairs, minlength=len(own.hashed))
     chosen = np.lexsort((own.hashed, -often))[:VOCABULARY]
     vocabulary = np.sort(own.hashed[chosen[often[chosen] >= RARE]])
-    odds, rows_of = _odds(seen), seen[:, :BUCKETS].sum(0)
+    odds, rows_of = _odds(seen), seen[2, :BUCKETS]
     value = _telling(own, odds, first, size)
     w = start_weights(rng)
     w["gram"][:, 0] = odds / 2  # where training starts from; the other dimensions start at random
@@ -406,8 +414,8 @@ PACKED = pa.schema([("packed", pa.binary())])
 
 
 def _counts(sums: pa.Table) -> np.ndarray:
-    """[class, n-gram] of rows kind, bucket and n."""
-    seen = np.zeros((2, BUCKETS + 1), np.int64)
+    """As _seen() gives it, of rows kind, bucket and n."""
+    seen = np.zeros((3, BUCKETS + 1), np.int64)
     seen[sums["kind"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return seen
 
@@ -424,7 +432,7 @@ def _learned(rows: DataFrame, share: dict, seed: int = SEED) -> dict:
     out = _kept_out(np.array([i for i, _ in ids], np.int64), y, rng)
 
     def counted(batches):
-        seen = np.zeros((2, BUCKETS + 1), np.int64)
+        seen = np.zeros((3, BUCKETS + 1), np.int64)
         for b in pieces(batches, 1, STEP):
             seen += _seen(Texts(*utf8(b.column(1))), b.column(2).to_numpy(), ~np.isin(b.column(0).to_numpy(), out))
         kind, bucket = np.nonzero(seen)
@@ -432,10 +440,10 @@ def _learned(rows: DataFrame, share: dict, seed: int = SEED) -> dict:
 
     def packed(batches):
         held = [pa.Table.from_batches([b]) for b in batches]
-        yield batch(PACKED, [(_counts(pa.concat_tables(held)) if held else np.zeros((2, BUCKETS + 1), np.int64)).tobytes()])
+        yield batch(PACKED, [(_counts(pa.concat_tables(held)) if held else np.zeros((3, BUCKETS + 1), np.int64)).tobytes()])
 
     sums = rows.mapInArrow(counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    seen = np.frombuffer(sums.coalesce(1).mapInArrow(packed, "packed binary").first().packed, np.int64).reshape(2, -1)
+    seen = np.frombuffer(sums.coalesce(1).mapInArrow(packed, "packed binary").first().packed, np.int64).reshape(3, -1)
     odds = _odds(seen)
 
     def cut(batches):

@@ -151,6 +151,16 @@ def test_toxicity_query(spark, small):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_finds_held_out_documents(spark, small):
+    """Nine of ten toxic documents that taught nothing, and nine of ten flags right, on 10,000 documents."""
+    folder = small.replace("sf0.001", "sf0.1")
+    toxic = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").collect()}
+    known = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    flagged = {r.doc_id: r.predicted for r in queries.op2_toxicity(spark, folder).where("held_out").collect() if r.doc_id in known}
+    hits = sum(k for i, k in flagged.items() if i in toxic)
+    assert hits >= 0.9 * len(toxic & set(flagged)) and hits >= 0.9 * sum(flagged.values())
+
+
 def test_long_labelled_texts_teach(spark):
     """Every toxic text has more windows than MOST and more bytes than 64 KiB."""
     texts, y = made_up(np.random.default_rng(5), 120)
@@ -159,8 +169,10 @@ def test_long_labelled_texts_teach(spark):
     raw, at = toxicity.utf8(pa.array(long))
     parts = toxicity.excerpts(raw, at, toxicity._odds(toxicity._seen(toxicity.Texts(raw, at), y, np.ones(len(y), bool))))
     assert all(n > toxicity.MOST == len(p) if k else len(p) == 1 for (n, p), k in zip(parts, y, strict=True))
-    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
-    model = toxicity.learn(df, spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, toxic int"))
+    # clean texts as long: else the words and windows of clean texts that are kept out are in toxic texts alone
+    rows = [*zip(long, y.tolist(), strict=True), *[(f"{t} {plain} {t} {plain}", 0) for t, k in zip(texts, y, strict=True) if not k]]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame([(i, k) for i, (_, k) in enumerate(rows)], "doc_id long, toxic int"))
     assert "line" in model
     peak, _ = toxicity.peaks(model, *toxicity.utf8(pa.array([plain, *[f"{plain} {w} {plain}" for w in ("zorrnak", "zorrnaku", "vlixxor")]])))
     assert (peak[1:] > peak[0]).all()
