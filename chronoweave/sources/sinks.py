@@ -1,19 +1,30 @@
-"""Sinks that replace what was there. The rows must not be read from the folder that they replace."""
+"""Sinks that replace what was there. Those by folder must not read the folder that they replace."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from . import publish
+
 
 def replace(rows: DataFrame, path: str) -> None:
     """All old rows go, all new ones stand."""
     rows.write.mode("overwrite").parquet(path)
 
 
-def replace_mart(rows: DataFrame, overview: DataFrame, path: str) -> None:
-    """A mart's rows and, beside them, its one row of overview; readers take the overview as the sign of a whole mart."""
-    replace(rows, f"{path}/rows")
-    replace(overview.coalesce(1), f"{path}/overview")
+def replace_mart(rows: DataFrame, overview: DataFrame, path: str) -> publish.Publication:
+    """A mart's rows and its one row of overview, which change together: readers take publish.current(spark, path)."""
+    return publish.publish({"rows": rows, "overview": overview.coalesce(1)}, path)
+
+
+def swap(rows: DataFrame, path: str, key: list[str], name: str = "rows") -> publish.Publication:
+    """A table made anew beside the old one, which it follows only if no key is null or there twice."""
+
+    def verify(tables: dict[str, DataFrame]) -> str | None:
+        bad = tables[name].groupBy(*key).count().where(" OR ".join([f"`{k}` IS NULL" for k in key] + ["count > 1"])).limit(1).count()
+        return f"{key} is null or repeated" if bad else None
+
+    return publish.publish({name: rows}, path, verify)
 
 
 def replace_by(rows: DataFrame, column: str, path: str) -> None:

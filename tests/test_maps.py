@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators import characters as C
 from chronoweave.operators import galaxy as Y
 from chronoweave.operators.build import INFOBOX
-from chronoweave.sources import sinks
+from chronoweave.sources import publish, sinks
 
 
 def one(spark, text, f):
@@ -78,5 +78,6 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(2, "y")]
     sinks.replace_mart(rows, rows.agg(F.count("*").alias("n")), str(tmp_path / "m"))
     sinks.replace_mart(rows.where("id = 1"), rows.agg(F.lit(1).alias("n")), str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m/rows")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "m/overview")).first().n == 1
+    mart = publish.current(spark, str(tmp_path / "m"))
+    assert mart.table("rows").count() == 1
+    assert mart.table("overview").first().n == 1
