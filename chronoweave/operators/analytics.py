@@ -205,3 +205,38 @@ def paged(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     size = where.clamp(size, 1, 100)
     rows = df.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
     return rows.withColumn("total", df.agg(F.count("*").alias("total")).scalar())
+
+
+def _remaining(pending: Column, per_hour: Column) -> Column:
+    return F.when(per_hour > 0, F.round(pending / per_hour, 1))
+
+
+def chunk_rates(pages: DataFrame, chunks: DataFrame, now: Column) -> DataFrame:
+    """type, pages, chunked, pending, chunks, avg_chunks, per_hour, hours_left, for each type and, as type null, for all.
+
+    pages: page, type of those that are to be chunked; chunks: page, created_at. A page's chunks are put together once;
+    pages that have one of the last hour are the rate of an hour. hours_left is null where that is 0."""
+    each = chunks.groupBy("page").agg(F.count("*").alias("n"), F.max("created_at").alias("last"))
+    rows = pages.select("page", F.coalesce("type", F.lit("Unknown")).alias("type")).join(each, "page", "left")
+    recent = (F.col("last") >= now - F.expr("INTERVAL 1 HOUR")) & (F.col("last") <= now)
+    sums = rows.rollup("type").agg(F.count("*").alias("pages"), F.count("n").alias("chunked"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count_if(recent).alias("per_hour"))
+    out = sums.withColumn("pending", F.col("pages") - F.col("chunked"))
+    mean = F.when(F.col("chunked") > 0, F.round(F.col("chunks") / F.col("chunked"), 1)).otherwise(0.0)
+    return out.select("type", "pages", "chunked", "pending", "chunks", mean.alias("avg_chunks"), "per_hour", _remaining(F.col("pending"), F.col("per_hour")).alias("hours_left"))
+
+
+def builder_rates(pages: DataFrame, states: DataFrame, batches: DataFrame, now: Column) -> DataFrame:
+    """type, total, processed, skipped, failed, pending, per_hour, hours_left, for each type and, as type null, for all.
+
+    pages: page, type; states: page, status; batches: created_at, processed_at, status, completed, skipped. The rate
+    is what the batches processed in the last day did in the hours since the oldest of them was made; it is one for all types,
+    and each type's hours are by its own pending pages."""
+    done = batches.where((F.col("status") == "Processed") & (F.col("processed_at") >= now - F.expr("INTERVAL 24 HOURS")) & (F.col("processed_at") <= now))
+    hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.min("created_at").cast("timestamp"))) / 3.6e9
+    rate = done.agg(F.sum(F.col("completed") + F.col("skipped")).alias("n"), hours.alias("hours"))
+    rate = rate.select(F.coalesce(F.when(F.col("hours") > 0, F.round(F.col("n") / F.col("hours"), 0)), F.lit(0.0)).alias("per_hour"))  # one row
+    rows = pages.select("page", F.coalesce("type", F.lit("Unknown")).alias("type")).join(states.select("page", "status"), "page", "left")
+    count = lambda status: F.count_if(F.col("status") == status)
+    sums = rows.rollup("type").agg(F.count("*").alias("total"), count("Completed").alias("processed"), count("Skipped").alias("skipped"), count("Failed").alias("failed"))
+    out = sums.withColumn("pending", F.col("total") - F.col("processed") - F.col("skipped") - F.col("failed")).join(F.broadcast(rate))
+    return out.select("type", "total", "processed", "skipped", "failed", "pending", "per_hour", _remaining(F.col("pending"), F.col("per_hour")).alias("hours_left"))

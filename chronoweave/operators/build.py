@@ -17,6 +17,8 @@ from ..functions import timecal
 
 INFOBOX = "struct<Template:string,ImageUrl:string,Data:array<struct<Label:string,Values:array<string>,Links:array<struct<Content:string,Href:string>>>>>"
 DEFAULT_WEIGHT, FALLBACK = 0.8, 0.8
+#: Full batches of exported lines that are walked in one task.
+PER_STRETCH = 16
 
 
 @dataclass
@@ -182,10 +184,14 @@ def release_stale(states: DataFrame, now: Column, minutes: int = 10) -> DataFram
     return states.withColumn("status", F.when(stale, "Pending").otherwise(F.col("status")))
 
 
-def export_batches(rows: DataFrame, key: str, line: str, most_bytes: int = 150 << 20, most_rows: int = 500, stretches: int = 64) -> DataFrame:
+def export_batches(rows: DataFrame, key: str, line: str, most_bytes: int = 150 << 20, most_rows: int = 500, stretches: int | None = None) -> DataFrame:
     """key, line and batch: JSON lines in files by size and number. Lines of a stretch are walked by key; a batch ends
     with ``most_rows`` lines or with the line that brings it to ``most_bytes``, so none is over by more than a line.
-    Stretches of keys (by hash) are walked apart; their number bounds the parallelism. A task holds one batch of rows."""
+    Stretches of keys (by hash) are walked apart; each ends with a file that may not be full, so without a given number there is one
+    for PER_STRETCH full batches, which the rows and bytes tell. A task holds one batch of rows."""
+    if stretches is None:
+        all_ = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).alias("bytes")).first()
+        stretches = max(1, round(max(all_["n"] / most_rows, all_["bytes"] / most_bytes) / PER_STRETCH))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, part, lines, size = None, 0, 0, 0

@@ -44,8 +44,9 @@ def region_name(raw: Column) -> Column:
 
 
 def short_region(raw: Column) -> Column:
-    """What stands before the first ; or , (unless that is first) without "Territories", short names written out."""
-    name = F.regexp_replace(F.trim(F.regexp_extract(raw, "(?s)^(.[^;,]*|)", 1)), "(?i) Territories$", "")
+    """What stands before the first ; or , (the whole, if one is first) without "Territories", short names written out."""
+    first = F.when(raw.rlike("^[;,]"), raw).otherwise(F.regexp_extract(raw, "(?s)^([^;,]*)", 1))
+    name = F.regexp_replace(F.trim(first), "(?i) Territories$", "")
     return F.coalesce(_lookup(F.lower(name), SHORT_REGIONS), name)
 
 

@@ -6,23 +6,30 @@ Frontiers are tables in the shared folder, so that each hop's plan is short and
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import filters as where
+from .build import DEFAULT_WEIGHT
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the folder in spark.checkpoint.dir and read back. Where that is unset, a local session uses
-    a folder of its own; on a cluster there is none that all executors see, so that is an error."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session uses a folder of its own; on a cluster there is
+    none that all executors see, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = base or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/chronoweave/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/chronoweave"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -240,3 +247,66 @@ def derive_bounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     edges = edges.withColumn("_set", F.col("from_year").isNull() & start.isNotNull() & (~both | end.isNull() | (start <= end)))
     edges = edges.withColumn("from_year", F.when(F.col("_set"), start).otherwise(F.col("from_year"))).withColumn("to_year", F.when(F.col("_set"), end).otherwise(F.col("to_year")))
     return edges.drop("_set", "_from_start", "_from_end", "_to_start", "_to_end")
+
+
+@dataclass
+class Neighbourhood:
+    """What query_graph() finds. nodes: id, name, type, depth; edges: from_id, to_id, label, weight, from_year, to_year;
+    truncated: whether the cap of nodes left one out."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    truncated: bool
+
+
+_NODES, _EDGES = "id long, name string, type string, depth int", "from_id long, to_id long, label string, weight double, from_year int, to_year int"
+
+
+def query_graph(nodes: DataFrame, edges: DataFrame, root: int, labels: list[str] | None = None, depth: int = 2, continuity: str | None = None, first: int | None = None, last: int | None = None, realm: str | None = None, max_nodes: int = 200, per_hop: int = 200, only_root: bool = False) -> Neighbourhood:
+    """The graph around a root as it is read from the root: edges that come in are turned, under their reverse label.
+
+    A root of another realm than the wanted one finds nothing, not even itself; ``only_root`` is the root alone, if it is a node.
+    Each hop takes the heaviest ``per_hop`` edges that go out of the front and as many that come in, of equal ones those
+    of smaller ends, and leaves those out that come from the front itself. New nodes are taken by id up to the cap; if
+    one is left out the result is truncated and no hop follows. Labels may be forward or reverse ones. Edges stay if both ends
+    do, parallel ones as one. Nodes that are not in ``nodes`` have the name that an edge gives them.
+
+    Fronts have max_nodes ids at most and are told to the scan as a list, so they reach the files' statistics; a hop brings
+    2 * per_hop edges at most.
+    """
+    spark = edges.sparkSession
+    none = Neighbourhood(spark.createDataFrame([], _NODES), spark.createDataFrame([], _EDGES), False)
+    depth, max_nodes = where.clamp(depth, 1, 4), where.clamp(max_nodes, 10, 1000)
+    own = nodes.where(F.col("id") == root).select("id", "name", "type", "realm").orderBy("name").first()
+    if realm and (own.realm if own and own.realm else "Unknown") not in (realm, "Unknown"):
+        return none
+    if only_root:
+        return Neighbourhood(spark.createDataFrame([(own.id, own.name, own.type, 0)], _NODES), none.edges, False) if own else none
+    rows = edges.where(where.graph_continuity("continuity", continuity) & where.edge_window(first, last)).withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_WEIGHT)))
+    out, back = rows.where(where.edge_realm("out", realm)), rows.where(where.edge_realm("in", realm))
+    if labels:
+        out, back = out.where(F.col("label").isin(labels)), back.where(F.col("reverse_label").isin(labels) | F.col("label").isin(labels))
+    order, columns = [F.desc("weight"), "from_id", "to_id", "label"], ["from_id", "from_name", "to_id", "to_name", "label", "reverse_label", "weight", "from_year", "to_year"]
+    visited, front, found, names, truncated = {root: 0}, [root], {}, {}, False
+    for hop in range(1, depth + 1):
+        went = out.where(F.col("from_id").isin(front)).orderBy(*order).limit(per_hop).select(*columns, F.lit(False).alias("turned"))
+        came = back.where(F.col("to_id").isin(front)).orderBy(*order).limit(per_hop).select(*columns, F.lit(True).alias("turned"))
+        new, known = set(), set(front)
+        for r in sorted(went.unionByName(came).collect(), key=lambda r: (r.turned, -r.weight, r.from_id, r.to_id, r.label)):
+            if r.turned and r.from_id in known:
+                continue
+            names.setdefault(r.from_id, r.from_name)
+            names.setdefault(r.to_id, r.to_name)
+            a, b, label = (r.to_id, r.from_id, r.reverse_label or r.label) if r.turned else (r.from_id, r.to_id, r.label)
+            found.setdefault((a, b, label), (r.weight, r.from_year, r.to_year))
+            if b not in visited:
+                new.add(b)
+        front = sorted(new)[: max_nodes - len(visited)]
+        truncated = len(front) < len(new)
+        visited |= dict.fromkeys(front, hop)
+        if truncated or not front:
+            break
+    kept_edges = [(a, b, label, *rest) for (a, b, label), rest in found.items() if a in visited and b in visited]
+    told = {r.id: (r.name, r.type) for r in nodes.where(F.col("id").isin(list(visited))).select("id", "name", "type").collect()}
+    listed = [(i, *told.get(i, (names.get(i, f"#{i}"), "")), at) for i, at in visited.items()]
+    return Neighbourhood(spark.createDataFrame(listed, _NODES), merge_parallel(spark.createDataFrame(kept_edges, _EDGES)), truncated)

@@ -22,4 +22,4 @@ def query(sql: str | None = None, graph: bool = True):
     return put
 
 
-from . import analytics_queries, build_queries, graph_queries, map_queries, page_queries, search_queries, timeline_queries  # noqa: E402, F401
+from . import analytics_queries, build_queries, flow_queries, graph_queries, map_queries, page_queries, search_queries, timeline_queries  # noqa: E402, F401

@@ -6,22 +6,22 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from ..sources.tables import table
+from ._texts import WORD_COUNTS, documents, probe
 from .catalog import query
 
 
-def _pages(spark, d):
-    return table(spark, d, "documents", F.col("doc_id").alias("id"), F.concat(F.lit("Page "), "doc_id").alias("title"), "text", "lang")
-
-
 @query()
 def article_chunks(spark, d):
-    made = S.chunks(_pages(spark, d), "id", "title", "text")
+    made = S.chunks(documents(spark, d), "id", "title", "text")
     return made.select("id", "chunk_index", "heading", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query("""SELECT doc_id AS id, length(trim(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)))::INT AS chars FROM documents WHERE NOT contains(text, 'data:image')""", graph=False)
+_BARE = "regexp_replace(regexp_replace(text, '\\[!\\[[^\\]]*\\]\\(data:image[^\\)]*\\)\\]\\([^\\)]*\\)', '', 'g'), 'data:image/[^)\\s]+', '', 'g')"
+
+
+@query(f"SELECT doc_id AS id, length(trim(regexp_replace({_BARE}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)))::INT AS chars FROM documents", graph=False)
 def boilerplate(spark, d):
-    return _pages(spark, d).select("id", F.length(S.strip_boilerplate(F.col("text"))).alias("chars"))
+    return documents(spark, d).select("id", F.length(S.strip_boilerplate(F.col("text"))).alias("chars"))
 
 
 @query()
@@ -30,42 +30,35 @@ def page_markdown(spark, d):
     return made.select("id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-def _probe(spark, d):
-    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first().embedding]
-
-
 @query("""SELECT vec_id AS id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY score DESC, id LIMIT 20""", graph=False)
 def vector_search(spark, d):
     rows = table(spark, d, "embeddings", F.col("vec_id").alias("id"), "label", "embedding").where(F.col("label").isin(1, 2, 3))
-    return S.vector_search(rows, "embedding", _probe(spark, d), 20).select("id", "label", "score")
+    return S.vector_search(rows, "embedding", probe(spark, d), 20).select("id", "label", "score")
 
 
 @query("""SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings WHERE round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) >= 0.6 ORDER BY score DESC, id LIMIT 50""", graph=False)
 def vector_search_least_score(spark, d):
     rows = table(spark, d, "embeddings", F.col("vec_id").alias("id"), "embedding")
-    return S.vector_search(rows, "embedding", _probe(spark, d), 50, 0.6).select("id", "score")
-
-
-_RAW = """(SELECT doc_id AS id, text, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x = 'with')) + len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x = 'from')) AS raw FROM documents)"""
+    return S.vector_search(rows, "embedding", probe(spark, d), 50, 0.6).select("id", "score")
 
 
-@query(f"SELECT id, round(raw / max(raw) OVER (), 6) AS score, substr(text, 1, 300) AS snippet FROM (SELECT * FROM {_RAW} WHERE raw > 0 ORDER BY raw DESC, id LIMIT 15)", graph=False)
+@query(f"SELECT id, round(raw / max(raw) OVER (), 6) AS score, substr(text, 1, 300) AS snippet FROM (SELECT * FROM {WORD_COUNTS} WHERE raw > 0 ORDER BY raw DESC, id LIMIT 15)", graph=False)
 def keyword_search(spark, d):
-    return S.keyword_search(_pages(spark, d), "with FROM", 15)
+    return S.keyword_search(documents(spark, d), "with FROM", 15)
 
 
 @query("SELECT doc_id AS id, 0.0::DOUBLE AS score, substr(text, 1, 300) AS snippet FROM documents WHERE contains(lower('Page ' || doc_id), 'pag') ORDER BY 'Page ' || doc_id, doc_id LIMIT 10", graph=False)
 def text_search_fallback(spark, d):
-    return S.text_search(_pages(spark, d), "pag", 10)
+    return S.text_search(documents(spark, d), "pag", 10)
 
 
-@query(f"""WITH k AS (SELECT id, round(raw / max(raw) OVER (), 6) AS score FROM (SELECT * FROM {_RAW} WHERE raw > 0 ORDER BY raw DESC, id LIMIT 60)),
+@query(f"""WITH k AS (SELECT id, round(raw / max(raw) OVER (), 6) AS score FROM (SELECT * FROM {WORD_COUNTS} WHERE raw > 0 ORDER BY raw DESC, id LIMIT 60)),
 s AS (SELECT id, min(score) AS score FROM (SELECT vec_id % 40 AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score, vec_id FROM embeddings ORDER BY score DESC, vec_id LIMIT 60) GROUP BY 1)
 SELECT coalesce(k.id, s.id) AS id, round(coalesce(least(1.0, (s.score + k.score) / 2 * 1.2), s.score, k.score), 6) AS score, CASE WHEN s.id IS NULL THEN 'keyword' WHEN k.id IS NULL THEN 'semantic' ELSE 'both' END AS source FROM k FULL JOIN s ON k.id = s.id""".replace("least(1.0, (s.score + k.score) / 2 * 1.2)", "CASE WHEN s.score IS NOT NULL AND k.score IS NOT NULL THEN least(1.0, (s.score + k.score) / 2 * 1.2) END"), graph=False)
 def hybrid_search(spark, d):
-    k = S.keyword_search(_pages(spark, d), "with from", 60)
+    k = S.keyword_search(documents(spark, d), "with from", 60)
     rows = table(spark, d, "embeddings", "vec_id", (F.col("vec_id") % 40).alias("id"), "embedding")
-    s = S.vector_search(rows, "embedding", _probe(spark, d), 60, id_col="vec_id")
+    s = S.vector_search(rows, "embedding", probe(spark, d), 60, id_col="vec_id")
     return S.hybrid(k, s)
 
 

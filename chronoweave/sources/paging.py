@@ -106,3 +106,29 @@ class FolderListing:
     def fetch(self, ids: list) -> Iterator[tuple]:
         rows = self._read(ids[0][0])["rows"]
         yield from (tuple(rows[i]) for _, i in ids)
+
+
+class TableListing:
+    """A listing kept as a Parquet table in folders page=<number>, from 0 to ``last``; a folder that is not there is an empty
+    page. Rows are ordered by the first of ``columns``, which is their id."""
+
+    def __init__(self, uri: str, last: int, columns: list[str]):
+        self.uri, self.last, self.columns = uri, last, columns
+
+    def _table(self, number: int, columns: list[str]):
+        from pyarrow import dataset, fs
+
+        store, path = fs.FileSystem.from_uri(f"{self.uri}/page={number}")
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        return dataset.dataset(path, filesystem=store, format="parquet").to_table(columns=columns).sort_by(columns[0])
+
+    def page(self, token: str | None) -> tuple[list, str | None]:
+        number = int(token or 0)
+        ids = self._table(number, self.columns[:1])
+        return [[number, i] for i in (ids.column(0).to_pylist() if ids else [])], str(number + 1) if number < self.last else None
+
+    def fetch(self, ids: list) -> Iterator[tuple]:
+        wanted = {i for _, i in ids}
+        rows = self._table(ids[0][0], self.columns)
+        yield from (r for r in zip(*(c.to_pylist() for c in rows.columns), strict=True) if r[0] in wanted)

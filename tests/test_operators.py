@@ -158,11 +158,21 @@ def test_bundles(spark):
     assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 0): 0, ("b", 1): 1}
 
 
-@pytest.mark.parametrize("html", ["<nav><ul><li>a<li>b</ul></nav><p>body</p>", "<footer><table><tr><td>a<tr><td>b</table></footer><p>body</p>", "<div><aside><p>a<p>b</div><p>body</p>", "<p class=toc>a<p>body</p>", "<form><b>a</form><p>body</p>", "<nav>a<b></nav></b>body"])
+@pytest.mark.parametrize("html", ["<nav class=toc><ul><li>a<li>b</ul></nav><p>body</p>", "<footer class=navbox><table><tr><td>a<tr><td>b</table></footer><p>body</p>", "<div><aside class=noprint><p>a<p>b</div><p>body</p>", "<p class=toc>a<p>body</p>", "<form class='x ambox'><b>a</form><p>body</p>", "<nav id=toc>a<b></nav></b>body"])
 def test_markdown_after_skipped_blocks(html):
     assert search.markdown(html) == "body"
 
 
+def test_markdown_keeps_what_is_not_listed():
+    """Only the listed classes go; other elements stay with their text, and of links those to wiki pages become absolute."""
+    for tag in ("nav", "header", "footer", "aside", "form"):
+        assert search.markdown(f"<{tag}>kept</{tag}><p>body</p>").split() == ["kept", "body"]
+    assert search.markdown("<div class=reflist>kept</div>") == "kept"
+    links = {"/wiki/A": "https://e.org/wiki/A", "mailto:a@b.c": "mailto:a@b.c", "#s": "#s", "//h/x": "//h/x", "y.html": "y.html", "/other": "/other", "https://o.org/wiki/B": "https://o.org/wiki/B"}
+    for given, want in links.items():
+        assert search.markdown(f'<a href="{given}">t</a>', "https://e.org") == f"[t]({want})"
+
+
 def test_boilerplate_keeps_rows_with_images(spark, tmp_path):
     from chronoweave.plans.search_queries import boilerplate
 
@@ -191,6 +201,15 @@ def test_batches_by_walking(spark):
         assert [b for _, b in got] == want
 
 
+def test_batches_of_small_and_large_inputs(spark):
+    """Few rows are few full files; many are walked in many stretches, and no batch is over its caps by more than a line."""
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("x" * 10).alias("line"))
+    assert build.export_batches(rows, "k", "line").select("batch").distinct().count() == 2
+    many = build.export_batches(rows, "k", "line", 10**9, 20).groupBy("batch").count().collect()
+    assert sum(r["count"] for r in many) == 1000 and max(r["count"] for r in many) == 20 and len(many) < 60 and len({r.batch.split("-")[0] for r in many}) > 1
+    assert build.export_batches(rows.limit(0), "k", "line").count() == 0
+
+
 def test_label_similarity(spark):
     labels = spark.createDataFrame([(x,) for x in ("employs", "employed_by", "in_nation", "in_region", "member_of", "members")], "label string")
     assert [(r.label, r.score) for r in build.label_similarity(labels, "in_nation").collect()] == [("in_nation", 1.0)]
@@ -209,22 +228,28 @@ def test_sections_with_odd_headings():
     assert search.sections("##### five\n##no") == [("Introduction", "##### five\n##no")]
 
 
-def test_paragraphs_against_joining():
+def test_paragraphs_by_their_properties():
+    """Chunks are stretches of the text, in order, that end with a paragraph, begin with the end of the one before, leave nothing
+    between them, and are cut only, and always, where the next paragraph would not fit."""
     import random
 
-    rng = random.Random(5)
+    rng, number = random.Random(5), iter(range(10**6))
     for _ in range(300):
-        parts = ["ab c"[: rng.randrange(1, 5)].strip() * rng.randrange(0, 60) for _ in range(rng.randrange(0, 12))]
+        parts = [" ".join(f"w{next(number):06d}" for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 12))]
         most, least, overlap = rng.randrange(20, 200), rng.randrange(1, 30), rng.randrange(1, 30)
-        out, now = [], ""
-        for p in filter(None, parts):
-            if now and len(now) > least and len(now) + 2 + len(p) > most:
-                out.append(now.strip())
-                now = now[-overlap:] + "\n\n" + p if len(now) > overlap else p
-            else:
-                now = now + "\n\n" + p if now else p
-        out += [now.strip()] if len(now) >= least else []
-        assert search.paragraphs("\n\n".join(parts), most, least, overlap) == out
+        text = "\n\n".join(parts)
+        made = search.paragraphs(text, most, least, overlap)
+        ends = [text.index(p) + len(p) for p in parts]
+        places = [(text.index(c), text.index(c) + len(c)) for c in made]
+        assert all(e in ends for _, e in places) and places == sorted(places) and (not places or places[0][0] == 0)
+        assert len(text) < least if not places else places[-1][1] == ends[-1]
+        begin, before = 0, 0
+        for k, (start, end) in enumerate(places):
+            assert text[begin:end].strip() == text[start:end]
+            for e, following in zip(ends, ends[1:], strict=False):
+                if before < e <= end:  # the first paragraph of a chunk is in it whatever its size
+                    assert (e == end) == (e - begin > least and following - begin > most) or k + 1 == len(places) and following > end
+            begin, before = end - overlap if end - begin > overlap else end + 2, end
 
 
 def test_closure_of_a_long_chain_and_depth(spark):
