@@ -10,6 +10,7 @@ from ..operators import analytics as A
 from ..operators import discovery as D
 from ..operators import graph as P
 from ..operators import intervals, pages, textindex, vectors
+from ..sources import pages as wiki
 from ..sources import paging, publish, sinks
 from ..sources import testgraph as G
 from ..sources.tables import table
@@ -292,3 +293,32 @@ def extracted_events(spark, d):
     bundled = pages.bundles(docs.where("text IS NOT NULL"), "source", ["page"], F.length("text"))
     events, _ = D.extract(bundled, ["source", "bundle"], ["page"], extractor, "page long, year long")
     return events.select("source", "page", "year")
+
+
+@query("""SELECT c_custkey AS id, 'Template:Customer' AS template, label, value FROM (
+  SELECT c_custkey, 'Titles' AS label, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'Segment', c_mktsegment FROM customer
+  UNION ALL SELECT c_custkey, 'Home', 'nation ' || c_nationkey FROM customer UNION ALL SELECT c_custkey, 'Home', 'customer ' || c_custkey FROM customer)""", graph=False)
+def infobox_variants(spark, d):
+    """Customers as infobox JSON of nested groups, walked as variants; one row for each value."""
+    text = '[{"type":"navigation","data":{"value":"<a href=/wiki/Template:Customer?action=edit>e</a>"}},{"type":"title","data":{"value":"%s"}},{"type":"group","data":{"value":[{"type":"data","data":{"label":"Segment","value":"<b>%s</b>"}},{"type":"section","data":{"value":[{"type":"panel","data":[{"type":"data","data":{"label":"Home:","value":"nation %d<br/>customer %d"}}]}]}}]}}]'
+    made = table(spark, d, "customer", F.col("c_custkey").alias("id"), F.format_string(text, F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey").cast("long"), F.col("c_custkey").cast("long")).alias("json"))
+    boxes = wiki.infobox_rows(made, "id", "json")
+    rows = boxes.select(F.col("pageId").alias("id"), F.col("infobox.Template").alias("template"), F.explode("infobox.Data").alias("f"))
+    return rows.select("id", "template", F.col("f.Label").alias("label"), F.explode("f.Values").alias("value"))
+
+
+@query("""SELECT id, arg_min(place, (depth, place)) AS place, min(depth)::INT AS depth FROM (
+  SELECT e.from_id AS id, e.to_id AS place, 1 AS depth FROM edges e WHERE e.label = 'in_nation' AND e.from_id % 7 <> 0
+  UNION ALL SELECT from_id, from_id, 0 FROM edges WHERE label = 'in_nation' AND from_id % 7 = 0
+  UNION ALL SELECT to_id, to_id, 0 FROM edges WHERE label = 'in_nation'
+  UNION ALL SELECT to_id, from_id, 1 FROM edges WHERE label = 'in_region'
+  UNION ALL SELECT p.from_id, p.to_id, 1 FROM edges p WHERE label = 'placed_by' AND p.to_id % 7 = 0
+  UNION ALL SELECT p.from_id, n.to_id, 2 FROM edges p JOIN edges n ON n.from_id = p.to_id AND n.label = 'in_nation' WHERE p.label = 'placed_by' AND p.to_id % 7 <> 0) GROUP BY 1""")
+def waypoints(spark, d):
+    """For every region, nation, customer, supplier and order the nearest nation or seventh party, itself included, within two
+    hops over where parties are at home and who placed orders."""
+    edges = G.bare_edges(spark, d).where(F.col("label").isin("in_nation", "in_region", "placed_by")).select("from_id", "to_id", "label")
+    homes = edges.where("label = 'in_nation'")
+    located = homes.select(F.col("to_id").alias("id")).unionByName(homes.where("from_id % 7 = 0").select(F.col("from_id").alias("id"))).distinct()
+    starts = edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id"))).distinct()
+    return P.nearest_location(edges, located, starts, 2, start_counts=True)

@@ -107,6 +107,71 @@ def infoboxes(pages: DataFrame, id_col: str, json_col: str, base: str = "") -> D
     return rows.mapInPandas(run, f"pageId long, infobox {INFOBOX}")
 
 
+#: Levels of groups that infobox_rows() follows in the JVM; deeper pages are parsed one by one.
+DEPTH = 10
+_GROUPS, _LEAVES = ("group", "section", "panel"), ("data", "title", "image", "navigation")
+
+
+def infobox_rows(pages: DataFrame, id_col: str, json_col: str, base: str = "", depth: int = DEPTH) -> DataFrame:
+    """The same as infoboxes(), with the JSON walked as variants: each level of nesting is one explode in the JVM, and Python
+    sees the HTML of values only. Pages that variants can't hold (such as repeated keys) or that are nested beyond ``depth`` go
+    through infoboxes(), so the result is whole. Ids must be distinct and not null."""
+    from ..operators.build import INFOBOX
+
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    is_object = lambda v: get(v, "$", "map<string,variant>").isNotNull()
+    none, step = F.lit(None).cast("variant"), "array<struct<path:array<int>,v:variant,kind:string,data:variant>>"
+    rows = pages.select(F.col(id_col).cast("long").alias("pageId"), F.col(json_col).alias("json"))
+    items = rows.select("pageId", F.array().cast("array<int>").alias("path"), F.try_parse_json("json").alias("v"), F.lit(None).cast("string").alias("kind"), none.alias("data")).where("v IS NOT NULL")
+    for _ in range(2 * depth + 1):  # a group and its list are two steps; leaves that are found go along as they are
+        v, path = F.col("v"), F.col("path")
+        kind, data, list_ = get(v, "$.type", "string"), get(v, "$.data", "variant"), get(v, "$", "array<variant>")
+        inner = F.when(is_object(data), get(data, "$.value", "variant")).otherwise(data)
+        one = lambda path, v, kind, data: F.array(F.struct(path.alias("path"), v.alias("v"), kind.alias("kind"), data.alias("data"))).cast(step)
+        below = (
+            F.when(F.col("kind").isNotNull(), one(path, none, F.col("kind"), F.col("data")))
+            .when(list_.isNotNull(), F.transform(list_, lambda x, i: F.struct(F.concat(F.col("path"), F.array(i)).alias("path"), x.alias("v"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("variant").alias("data"))).cast(step))
+            .when(is_object(v) & kind.isin(*_LEAVES), one(path, none, kind, data))
+            .when(is_object(v) & (kind.isNull() | kind.isin(*_GROUPS)), one(F.concat(path, F.array(F.lit(0))), inner, F.lit(None).cast("string"), none))
+        )
+        items = items.select("pageId", F.inline(below))
+
+    @F.pandas_udf("struct<values:array<string>,links:array<struct<Content:string,Href:string>>,label:string>")
+    def read(value: pd.Series, label: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, text in zip(value, label, strict=True):
+            values, links = parse_value(v, base)
+            named, _ = parse_value(text, base)
+            out.append((values, [{"Content": c, "Href": h} for c, h in links], named[0] if named else None))
+        return pd.DataFrame(out, columns=["values", "links", "label"])
+
+    kind, data = F.col("kind"), F.col("data")
+    valued, pictures = kind.isin("data", "title") & is_object(data), get(data, "$", "array<variant>")
+    told = items.select(
+        "*",
+        valued.alias("valued"),
+        read(F.when(valued, get(data, "$.value", "string")), F.when(valued & (kind == "data"), get(data, "$.label", "string"))).alias("r"),
+        ((kind == "image") & (F.size(pictures) > 0)).alias("pictured"),
+        get(data, "$[0].url", "string").alias("url"),
+        F.regexp_extract(get(data, "$.value", "string"), r"/wiki/(Template:[^\"?#]+)", 1).alias("template"),
+        (kind.isNull() & (get(F.col("v"), "$", "array<variant>").isNotNull() | is_object(F.col("v")))).alias("deeper"),
+    )
+    entry = F.struct("path", F.struct(F.when(kind == "title", "Titles").otherwise(F.col("r.label")).alias("Label"), F.col("r.values").alias("Values"), F.col("r.links").alias("Links")).alias("x"))
+    found = told.groupBy("pageId").agg(
+        F.array_sort(F.collect_list(F.when(F.col("valued") & ((kind == "title") | F.col("r.label").isNotNull()), entry))).alias("entries"),
+        F.min(F.when(F.col("pictured") & (F.col("url") != ""), F.struct("path", "url"))).alias("first"),
+        F.max(F.when(F.col("pictured"), F.struct("path", "url"))).alias("last"),
+        F.min(F.when((kind == "navigation") & (F.col("template") != ""), F.struct("path", "template"))).alias("place"),
+        F.max("deeper").alias("deeper"),
+    )
+    # of images the first with a url, else what the last one has
+    made = rows.select("pageId", (F.try_parse_json("json").isNull() | F.is_variant_null(F.try_parse_json("json"))).alias("odd")).join(found, "pageId", "left")
+    box = F.struct(F.col("place.template").alias("Template"), F.coalesce("first.url", "last.url").alias("ImageUrl"), F.coalesce(F.transform("entries", lambda e: e.x), F.array()).alias("Data"))
+    whole = ~F.col("odd") & ~F.coalesce("deeper", F.lit(False))
+    fine = made.where(whole).select("pageId", box.cast(INFOBOX).alias("infobox"))
+    return fine.unionByName(infoboxes(rows.join(made.where(~whole).select("pageId"), "pageId", "left_semi"), "pageId", "json", base))
+
+
 #: Parts of categories, in any case, that mark pages about the real world. A wiki's own go in ``more``.
 REAL_MARKS = ("Real-world", "Out-of-universe", "Behind the scenes", "Publishing eras", "Canceled", "Hoax articles", "webcomic")
 #: Fixed value: categories of a year's works.
