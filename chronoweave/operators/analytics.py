@@ -157,12 +157,14 @@ def edge_label_statistics(edges: DataFrame, pattern: str | None = None, continui
     pairs = rows.groupBy("label", "from_type", "to_type").agg(F.count("*").alias("n"), is_("Canon").alias("canon"), is_("Legends").alias("legends"), F.avg("weight").alias("mean"), F.sum("weight").alias("weight"), F.min(sample).alias("sample"))
 
     def types(side: str) -> Column:
-        total = F.struct((-F.col("n")).alias("n"), F.col(side).alias("type"))
-        return F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(total)), 1, top), lambda x: x.type), ", ")
-
-    by_label = pairs.groupBy("label").agg(F.sum("n").alias("count"), F.sum("canon").alias("canon"), F.sum("legends").alias("legends"), F.round(F.avg("mean"), 6).alias("avg_weight"), F.round(F.sum("weight") / F.sum("n"), 6).alias("weighted_avg"), F.min("sample").alias("sample"))
-    for side in ("from_type", "to_type"):
-        by_label = by_label.join(pairs.groupBy("label", side).agg(F.sum("n").alias("n")).groupBy("label").agg(types(side).alias(f"top_{side}s")), "label")
+        """The commonest types of a side, from a label's pairs; there are no more than types by types."""
+        n = lambda t: F.aggregate(F.filter("pairs", lambda p: p[side].eqNullSafe(t)), F.lit(0).cast("long"), lambda total, p: total - p.n)
+        each = F.transform(F.array_distinct(F.transform("pairs", lambda p: p[side])), lambda t: F.struct(n(t).alias("n"), t.alias("type")))
+        return F.array_join(F.transform(F.slice(F.array_sort(each), 1, top), lambda x: x.type), ", ")
+
+    sums = [F.sum("n").alias("count"), F.sum("canon").alias("canon"), F.sum("legends").alias("legends"), F.round(F.avg("mean"), 6).alias("avg_weight"), F.round(F.sum("weight") / F.sum("n"), 6).alias("weighted_avg"), F.min("sample").alias("sample")]
+    by_label = pairs.groupBy("label").agg(*sums, F.collect_list(F.struct("from_type", "to_type", "n")).alias("pairs"))
+    by_label = by_label.withColumns({"top_from_types": types("from_type"), "top_to_types": types("to_type")})
     return by_label.where(F.col("count") >= min_count).select("label", "count", "canon", "legends", "avg_weight", "weighted_avg", F.col("sample.from_name").alias("sample_from"), F.col("sample.to_name").alias("sample_to"), "top_from_types", "top_to_types").orderBy(F.desc("count"), "label")
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import filters as where
 from ..functions import timecal
+from . import vectors
 from .analytics import first_by_group
 from .build import type_of
+from .graph import kept
 from .search import text_search
 from .timelines import grid_square, nearest_available
 
@@ -235,3 +237,13 @@ def semantic_grid_search(pages: DataFrame, spatial: DataFrame, every: DataFrame,
     first = on_grid.join(refs, on_grid.title == refs.name).join(hits.select("pageId"), "pageId", "left_anti").groupBy("pageId", "grid_key").agg(F.min("source_id").alias("source_id"))
     linked = first.join(hits.withColumnRenamed("pageId", "source_id"), "source_id").select("grid_key", F.col("pageId").alias("page_id"), F.lit("semantic-linked").alias("match"), "source_id", "score", "snippet")
     return own.unionByName(linked).orderBy("match", F.desc("score"), "page_id").limit(limit)  # "semantic" sorts first
+
+
+def grid_search_by_vector(pages: DataFrame, index: str, query: list[float], places: list[str], limit: int = 10, least: float = 0.6) -> DataFrame:
+    """semantic_grid_search() over what the vector search finds: twice ``limit`` chunks of pages of the types that are places, then
+    three times as many of any type, each at least ``least`` near. ``index`` is one of vectors.build() over chunks, which keeps
+    page, type and text; of a page's chunks the best counts."""
+    spark = pages.sparkSession
+    # kept, as each is read several times
+    hit = lambda most, passes: kept(vectors.search(spark, index, query, most, passes, least).select(F.col("page").alias("id"), "score", "text"), "hits")
+    return semantic_grid_search(pages, hit(2 * limit, F.col("type").isin(places)), hit(3 * limit, None), limit)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import characters as C
 from ..operators import galaxy as Y
 from ..operators import graph as P
+from ..operators import vectors
 from ..sources import testgraph as G
 from ..sources.tables import table
+from ._texts import probe
 from .build_queries import order_pages
 from .catalog import query
 
@@ -144,3 +148,18 @@ def semantic_grid_search(spark, d):
     near = pages.where(F.col("pageId").between(4 * G.BASE, 4 * G.BASE + 3))
     every = hit(near, 0.95).unionByName(hit(pages.where(F.col("pageId").between(3 * G.BASE, 3 * G.BASE + 6)), 0.9))
     return Y.semantic_grid_search(pages, hit(near, 0.7), every).select("grid_key", "page_id", "match", "source_id", "score")
+
+
+@query("""SELECT grid_key, page_id, match, source_id, score FROM (WITH v AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS exact, vec_id % 3 = 0 AS place, CASE WHEN vec_id % 3 = 0 THEN 4000000001 + vec_id % 10 ELSE 3000000001 + vec_id % 100 END AS page FROM embeddings),
+f AS (SELECT page, exact, vec_id, 0 AS turn FROM (SELECT * FROM v WHERE place AND exact >= 0.05 ORDER BY exact DESC, vec_id LIMIT 8) UNION ALL SELECT page, exact, vec_id, 1 FROM (SELECT * FROM v WHERE exact >= 0.05 ORDER BY exact DESC, vec_id LIMIT 12)),
+h AS (SELECT page, round(exact, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY page ORDER BY turn, round(exact, 6) DESC, 'chunk ' || vec_id) = 1),
+l AS (SELECT grid, id, min(page) AS source FROM h JOIN cells ON page < 4000000000 AND id = (page - 3000000000) * 7 % 10 + 4000000001 WHERE id NOT IN (SELECT page FROM h) GROUP BY 1, 2)
+SELECT grid AS grid_key, page AS page_id, 'semantic' AS match, NULL::BIGINT AS source_id, score FROM h JOIN cells ON id = page
+UNION ALL SELECT grid, id, 'semantic-linked', source, score FROM l JOIN h ON page = source) ORDER BY match, score DESC, page_id LIMIT 4""")
+def grid_search_by_vector(spark, d):
+    """The squares of what a vector finds among places and customers, which name places as their homes."""
+    place = F.col("vec_id") % 3 == 0
+    chunks = table(spark, d, "embeddings", F.col("vec_id").alias("id"), F.when(place, F.col("vec_id") % 10 + 4 * G.BASE + 1).otherwise(F.col("vec_id") % 100 + 3 * G.BASE + 1).alias("page"), F.when(place, "Place").otherwise("Person").alias("type"), F.concat(F.lit("chunk "), "vec_id").alias("text"), "embedding")
+    index = f"{P.shared(spark)}/chunk-vectors-{uuid.uuid4().hex}"
+    vectors.build(chunks, index, "embedding", ["page", "type", "text"])
+    return Y.grid_search_by_vector(_map_pages(spark, d), index, probe(spark, d), ["Place"], 4, 0.05).select("grid_key", "page_id", "match", "source_id", "score")

@@ -150,6 +150,22 @@ def test_incremental_sync(spark, tmp_path):
     assert {r.id: r.t for r in sync.latest(spark, target, kind).collect()} == {1: "a", 2: "d", 3: "e"}
 
 
+def test_sync_writes_what_a_batch_touches(spark, tmp_path):
+    """A batch of two keys writes their parts and no other; one that runs again writes nothing; unused folders go."""
+    target, schema = str(tmp_path / "out"), spark.createDataFrame([], "id long, t string, at int").schema
+    rows = lambda ids, t, at: spark.createDataFrame([(i, t, at) for i in ids], schema)
+    first = sync.put_batch(rows(range(500), "a", 1), 0, schema, "id", "at", target)
+    assert len(first) == sync.PARTS
+    held = sync.latest(spark, target, schema)
+    second = sync.put_batch(rows([7, 600, 7], "b", 2), 1, schema, "id", "at", target)
+    parts = {r.p for r in spark.createDataFrame([(7,), (600,)], "id long").selectExpr(f"string(pmod(xxhash64(id), {sync.PARTS})) AS p").collect()}
+    assert set(second) == parts and sync.put_batch(rows([8], "c", 3), 1, schema, "id", "at", target) == []
+    now = {r.id: r.t for r in sync.latest(spark, target, schema).collect()}
+    assert now == {i: "b" if i in (7, 600) else "a" for i in [*range(500), 600]} and held.count() == 500
+    sync.put_batch(rows(range(700), "d", 4), 2, schema, "id", "at", target)
+    assert len(sync.clean(spark, target)) == 2 and {r.t for r in sync.latest(spark, target, schema).collect()} == {"d"}
+
+
 def test_bundles(spark):
     rows = spark.createDataFrame([("a", i, s) for i, s in enumerate([30, 20, 60, 10, 50])] + [("b", 0, 500), ("b", 1, 1)], "g string, i int, s int")
     from chronoweave.operators import pages as reads
