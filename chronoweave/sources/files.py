@@ -28,6 +28,11 @@ class Files:
         """What is in a folder, in order; nothing if there is none."""
         return sorted(s.getPath().getName() for s in self._fs(path).listStatus(self._path(path))) if self.exists(path) else []
 
+    def state(self, path: str) -> list[tuple[str, int, int]]:
+        """Name, length and time of a file, or of the files in a folder."""
+        found = self._fs(path).listStatus(self._path(path)) if self.exists(path) else []
+        return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)
+
     def delete(self, path: str) -> None:
         self._fs(path).delete(self._path(path), True)
 
