@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import filters as where
 from ..functions import timecal
 from . import vectors
-from .analytics import first_by_group
+from .analytics import first_by_group, territory_control
 from .build import type_of
-from .graph import kept
+from .graph import kept, nearest_location
+from .intervals import point_in_span
 from .search import text_search
 from .timelines import grid_square, nearest_available
 
@@ -247,3 +248,34 @@ def grid_search_by_vector(pages: DataFrame, index: str, query: list[float], plac
     # kept, as each is read several times
     hit = lambda most, passes: kept(vectors.search(spark, index, query, most, passes, least).select(F.col("page").alias("id"), "score", "text"), "hits")
     return semantic_grid_search(pages, hit(2 * limit, F.col("type").isin(places)), hit(3 * limit, None), limit)
+
+
+def places_of(nodes: DataFrame, edges: DataFrame, systems: DataFrame, hops: int = 3, properties: tuple[str, ...] = LOCATION_LABELS) -> DataFrame:
+    """id, place, region, col, row: of each node the nearest system over edges either way, itself not asked; of nodes that reach
+    none within the hops, the first of their properties about places that names a system. systems: id, name, region, col, row."""
+    place = systems.select(F.col("id").alias("at"), F.col("name").alias("place"), "region", "col", "row")
+    near = nearest_location(edges, systems.select("id"), nodes.select("id"), hops).select("id", F.col("place").alias("at"))
+    lost = nodes.join(near.select("id"), "id", "left_anti")
+    said = F.flatten(F.transform(F.array(*[F.lit(p) for p in properties]), lambda p: F.coalesce(F.try_element_at("properties", p), F.array().cast("array<string>"))))
+    named = lost.select("id", F.posexplode(said).alias("nth", "place")).join(place, "place").groupBy("id").agg(F.min(F.struct("nth", "at")).alias("x")).select("id", "x.at")
+    return near.unionByName(named).join(place, "at").select("id", "place", "region", "col", "row")
+
+
+def territory_by_year(years: DataFrame, affiliations: DataFrame, systems: DataFrame, **shares) -> DataFrame:
+    """year, region, faction, share, contested: who held how much of each region in each of ``years``, by the systems'
+    affiliations (id, faction, from_year, to_year; open bounds hold) that were in force."""
+    held = affiliations.join(systems.where("region IS NOT NULL").select("id", "region"), "id").select("region", "faction", "from_year", "to_year")
+    hits = point_in_span(years.select("year").distinct(), held, "year", "from_year", "to_year")
+    return territory_control(hits.groupBy("year", "region", "faction").agg(F.count("*").alias("n")), **shares)
+
+
+def year_mart(nodes: DataFrame, edges: DataFrame, systems: DataFrame, affiliations: DataFrame, eras: DataFrame, governments: DataFrame | None = None, hops: int = 3) -> DataFrame:
+    """year_documents() from the graph alone: places by places_of(), and in each year that has a document the regions by
+    territory_by_year()."""
+    dated = nodes.where(F.col("start_year").isNotNull())
+    places = kept(places_of(dated, edges, systems, hops), "places")
+    years = events_by_year(dated).select("year")
+    if governments is not None:
+        years = years.unionByName(governments.select(F.explode(F.array("start_year", "end_year")).cast(years.schema["year"].dataType).alias("year")))
+    regions = territory_by_year(years.where("year IS NOT NULL"), affiliations, systems)
+    return year_documents(dated, places, eras, governments, regions)

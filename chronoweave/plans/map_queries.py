@@ -163,3 +163,39 @@ def grid_search_by_vector(spark, d):
     index = f"{P.shared(spark)}/chunk-vectors-{uuid.uuid4().hex}"
     vectors.build(chunks, index, "embedding", ["page", "type", "text"])
     return Y.grid_search_by_vector(_map_pages(spark, d), index, probe(spark, d), ["Place"], 4, 0.05).select("grid_key", "page_id", "match", "source_id", "score")
+
+
+def _mart(spark, d):
+    """Orders as dated nodes, a third of which name a supplier as their location; suppliers outside Africa as systems, held by
+    their nations for some years."""
+    home = F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 10 + 1).cast("string"), 9, "0"))
+    nodes = _nodes(spark, d).withColumn("properties", F.when(F.col("id") % 3 == 0, F.create_map(F.lit("Location"), F.array(F.lit("nowhere"), home))).otherwise(F.col("properties")))
+    systems = G.cells(spark, d).where("region <> 'AFRICA'").select("id", "name", "region", "col", "row", "nation")
+    first = (F.col("id") % 4 + 1991).cast("int")
+    held = systems.select("id", F.col("nation").alias("faction"), F.when(F.col("id") % 5 != 0, first).alias("from_year"), F.when(F.col("id") % 2 == 0, first + 3).alias("to_year"))
+    edges = G.bare_edges(spark, d).where("label IN ('supplied_by', 'in_nation') AND from_id % 9 <> 0")
+    return Y.year_mart(nodes, edges, systems, held, _eras(spark), hops=2)
+
+
+_MART = """, systems AS (SELECT * FROM cells WHERE region <> 'AFRICA'),
+near AS (SELECT from_id AS id, min(c.id) AS at FROM bare JOIN systems c ON to_id = c.id WHERE label = 'supplied_by' AND from_id % 9 <> 0 GROUP BY 1),
+named AS (SELECT n.id, s.id AS at FROM nodes n JOIN systems s ON s.name = 'Supplier#' || lpad((n.id % 10 + 1)::VARCHAR, 9, '0') WHERE n.id % 3 = 0 AND n.id NOT IN (SELECT id FROM near)),
+places AS (SELECT p.id, region, col, row FROM (SELECT * FROM near UNION ALL SELECT * FROM named) p JOIN systems s ON s.id = p.at),
+dated AS (SELECT n.*, p.region, p.col, p.row, CASE WHEN n.id % 2 = 0 AND end_year > start_year AND end_year - start_year <= 100 THEN end_year ELSE start_year END AS last FROM nodes n LEFT JOIN places p USING (id) WHERE start_year IS NOT NULL),
+happened AS (SELECT *, unnest(range(start_year, last + 1)) AS year FROM dated),
+held AS (SELECT region, nation AS faction, CASE WHEN id % 5 <> 0 THEN id % 4 + 1991 END AS first, CASE WHEN id % 2 = 0 THEN id % 4 + 1994 END AS last FROM systems),
+counts AS (SELECT year, h.region, faction, count(*) AS n FROM (SELECT DISTINCT year FROM happened) y JOIN held h ON (first IS NULL OR first <= year) AND (h.last IS NULL OR year <= h.last) GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY year, region ORDER BY n DESC, faction) AS rank, sum(n) OVER (PARTITION BY year, region) AS total, count(*) OVER (PARTITION BY year, region) AS factions, max(n) OVER (PARTITION BY year, region) AS most FROM counts)
+"""
+
+
+@query(_MART + "SELECT year::INT AS year, count(*) AS count, count(*) FILTER (col IS NULL) AS unresolved, count(DISTINCT (col, row)) FILTER (col IS NOT NULL) AS cells FROM happened GROUP BY 1")
+def composed_years(spark, d):
+    """Each year's events, placed by traversal or else by a property."""
+    return _mart(spark, d).select("year", "count", "unresolved", F.size("cells").cast("long").alias("cells"))
+
+
+@query(_MART + "SELECT year::INT AS year, region, faction, round(greatest(n / total, CASE WHEN rank = 1 THEN 0.3 ELSE 0.1 END), 6) AS share, factions > 1 AND most / total < 0.7 AS contested FROM ranked WHERE rank = 1 OR factions > 1 AND most / total < 0.7")
+def composed_territory(spark, d):
+    """Who held each region in each year that has a document."""
+    return _mart(spark, d).select("year", F.inline("regions"))
