@@ -277,5 +277,5 @@ def year_mart(nodes: DataFrame, edges: DataFrame, systems: DataFrame, affiliatio
     years = events_by_year(dated).select("year")
     if governments is not None:
         years = years.unionByName(governments.select(F.explode(F.array("start_year", "end_year")).cast(years.schema["year"].dataType).alias("year")))
-    regions = territory_by_year(years.where("year IS NOT NULL"), affiliations, systems)
+    regions = kept(territory_by_year(years.where("year IS NOT NULL"), affiliations, systems), "regions")
     return year_documents(dated, places, eras, governments, regions)
