@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters as where
-from .analytics import first_by_group
+from .analytics import count_nodes_by_property, edge_labels_for_type, first_by_group
+from .graph import kept
 from .pages import infobox_types, label_usage
 from .timelines import sparse_hint
 
@@ -89,3 +92,32 @@ def why_empty(pages: DataFrame, kind: str, label: str) -> tuple[str, list[str]]:
         return "value" if label.lower() in {x.lower() for x in labels} else "label", labels
     types = [r.type for r in infobox_types(pages).orderBy("type").collect()]  # names of types alone
     return "case" if kind.lower() in {t.lower() for t in types if t} else "type", types
+
+
+@dataclass
+class PropertyCounts:
+    """rows: value, count, sources; total: the sum of these counts; stronger: labels and counts of edges that tell more; note: what
+    to read instead, or None."""
+
+    rows: DataFrame
+    total: int
+    stronger: list[tuple[str, int]]
+    note: str | None
+
+
+def property_counts(nodes: DataFrame, edges: DataFrame, kind: str, property_: str, limit: int = 20, max_sources: int = 5, continuity: str | None = None) -> PropertyCounts:
+    """Counts of a property's values, and what to do if they say little: with fewer than 20 in all, up to three labels of edges from the
+    type with at least five times as many, and ten; none for categories, which have few values by nature, but if there is nothing
+    at all, a count by years. ``rows`` is kept, limit rows, as its sum is needed too."""
+    limit, max_sources = where.clamp(limit, 1, 50), where.clamp(max_sources, 1, 25)
+    rows = kept(count_nodes_by_property(nodes, kind, property_, continuity, limit, max_sources), "counts")
+    total, category = rows.agg(F.sum("count")).first()[0] or 0, property_.lower() in CATEGORICAL
+    if category:
+        note = f"{property_!r} has no values on {kind!r}: count it by years instead." if not total else None
+        return PropertyCounts(rows, total, [], note)
+    if total >= 20:
+        return PropertyCounts(rows, total, [], None)
+    counts = edge_labels_for_type(edges, kind, continuity).where(F.col("count") >= max(5 * total, 10)).limit(3).collect()
+    stronger = [(r.label, r["count"]) for r in counts]
+    note = f"{property_!r} has {total} values on {kind!r}: group by the edges {', '.join(f'{label} ({n})' for label, n in stronger)} instead." if stronger else None
+    return PropertyCounts(rows, total, stronger, note)

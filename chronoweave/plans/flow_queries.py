@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import characters as C
 from ..operators import discovery as D
 from ..operators import graph as P
 from ..operators import intervals, pages, textindex, vectors
@@ -322,3 +323,15 @@ def waypoints(spark, d):
     located = homes.select(F.col("to_id").alias("id")).unionByName(homes.where("from_id % 7 = 0").select(F.col("from_id").alias("id"))).distinct()
     starts = edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id"))).distinct()
     return P.nearest_location(edges, located, starts, 2, start_counts=True)
+
+
+@query("""WITH n AS (SELECT 'Colour' AS property, 0::BIGINT AS total UNION ALL SELECT 'Gender', 0 UNION ALL SELECT 'Priority', count(*) FROM orders),
+l AS (SELECT label, count(*) AS n FROM (SELECT 'placed_by' AS label FROM orders UNION ALL SELECT 'contains' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'supplied_by' FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)) GROUP BY 1)
+SELECT property, total, CASE WHEN property = 'Colour' THEN (SELECT string_agg(label || ' (' || n || ')', ', ' ORDER BY n DESC, label) FROM l WHERE n >= 10) ELSE '' END AS stronger, property <> 'Priority' AS noted FROM n""", graph=False)
+def property_counts_with_hints(spark, d):
+    """A property that is not there, a category that is not there, and one that is, of orders."""
+    nodes, edges, rows = G.nodes(spark, d), G.edges(spark, d), []
+    for name in ("Colour", "Gender", "Priority"):
+        got = C.property_counts(nodes, edges, "Order", name)
+        rows.append((name, got.total, ", ".join(f"{label} ({n})" for label, n in got.stronger), got.note is not None))
+    return spark.createDataFrame(rows, "property string, total long, stronger string, noted boolean")
