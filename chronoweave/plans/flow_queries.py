@@ -120,7 +120,7 @@ def filtered_vector_search(spark, d):
 @query("""SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS open, round(sum(o_totalprice), 2) AS price FROM (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem)
 JOIN (SELECT o_orderkey, any_value(o_orderdate)::DATE AS first, CASE WHEN o_orderkey % 50 <> 0 THEN max(l_shipdate)::DATE END AS last, any_value(o_totalprice) AS o_totalprice FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) o
 ON day >= first AND (last IS NULL OR day <= last) GROUP BY 1""", graph=False)
-def open_orders_by_day(spark, d):
+def orders_open_by_day(spark, d):
     """Days and the orders open on them, from their date to their last item's; every fiftieth stays open for good."""
     number = lambda c: F.unix_date(F.col(c).cast("date"))
     days = table(spark, d, "lineitem", number("l_shipdate").alias("day")).distinct()
