@@ -21,10 +21,13 @@ Two sets link if ``100 * both >= PERCENT * either``. The join is exact up to col
    least set of the buckets that it shares most shingles with; of the pairs that the tree can't rule out, those of a
    spanning forest of the highest bounds are verified on the shingles themselves. That joins most of a group of near
    copies at one pair for each set.
-6. Then every bucket whose sets are not all joined is searched, in blocks of BLOCK sets; pairs of joined sets are left
-   out, and so are blocks of which both hold only the bucket's largest group. A pair counts only in the first bucket
-   that both sets are in, which each set's list of buckets tells. A forest of the highest bounds comes first again; where more candidates are left, the STEPS best between each two groups, then STEPS times as many, and
-   so on until the groups are joined or no candidate is left. So no link between groups is lost.
+6. Then every bucket whose sets are not all joined is searched; pairs of joined sets are left out. The bucket's other
+   sets go as queries to its main group, which lies in blocks of BLOCK sets that all buckets share, so a query goes to
+   a block once; among each other they are searched in pairs of blocks, unless they are all in one larger bucket. Of
+   these a pair counts only in the first bucket that both sets are in, which each set's list of buckets tells. A forest
+   of the highest bounds comes first again; where more candidates are left, the STEPS best between each two groups,
+   then STEPS times as many, and so on until the groups are joined or no candidate is left. So no link between groups
+   is lost.
 
 Defined cases: a null or empty text, or one of blanks alone, has no shingles and no links; fewer than SIZE words are
 one shingle; rows with a null id get their n_shingles and no component; rows that repeat an id are one document and
@@ -674,15 +677,12 @@ def _tree_offers(batches, many: int):
 
 
 def searched(dealt: DataFrame, points: DataFrame, many: int) -> DataFrame:
-    """bucket, x, y, more: what the R-trees of the groups (key, bucket, side, s, label) offer."""
+    """bucket, x, y, more: what the R-trees of the groups (key, bucket, side, s, label, maybe buckets) offer."""
 
     def run(batches):
         return _tree_offers(batches, many)
 
-    own = [c for c in points.columns if c != "s"]
-    placed = dealt.join(points, "s").select("key", "bucket", "side", "s", "label", *own)
-    if "buckets" in own:  # of a set's buckets only those before the group's own are asked for
-        placed = placed.withColumn("buckets", F.filter("buckets", lambda b: b < F.col("bucket")))
+    placed = dealt.join(points, "s").select(*dealt.columns, "n", "counts")
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, x long, y long, more boolean")
 
 
@@ -702,19 +702,54 @@ def by_pivot(chosen: DataFrame) -> DataFrame:
     return own.unionByName(pivots).select(F.xxhash64("low", "block").alias("key"), F.col("low").alias("bucket"), F.lit(0).alias("side"), "s", "label")
 
 
-def by_bucket(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Groups of the buckets that hold several labels, in pairs of blocks. Sets of a bucket's most frequent label have
-    blocks of their own, and of two such blocks there is nothing to search."""
+def opened(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """bucket, s, label, main and blocks of the sets of the buckets that hold several labels; kept. main is the
+    bucket's most frequent label, which has so many blocks, where sending the bucket's other sets to those blocks
+    takes no more rows than the bucket in pairs of blocks; else null."""
     rows = _labelled(buckets.select("bucket", "s"), labels, "s", "label")
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = mixed.select("bucket", "main", F.ceil((F.col("all") - F.col("n")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n") / BLOCK).cast("int").alias("mains"))
-    own = F.col("label") == F.col("main")
-    place = F.pmod(F.xxhash64("s"), F.when(own, F.col("mains")).otherwise(F.col("others"))).cast("int")
-    open_ = rows.join(mixed, "bucket").withColumn("block", F.when(own, F.col("others") + place).otherwise(place))
-    with_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.when(own, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)).alias("with"))
+    held = rows.join(mixed.select(F.col("main").alias("label")).distinct(), "label", "left_semi").select("s", "label").distinct()
+    blocks = held.groupBy(F.col("label").alias("main")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    others, touched = F.col("all") - F.col("n"), F.least("n", "blocks")
+    worth = others * touched <= F.col("all") * F.ceil(F.col("all") / BLOCK) - others
+    mixed = mixed.join(blocks, "main").select("bucket", F.when(worth, F.col("main")).alias("main"), F.when(worth, F.col("blocks")).alias("blocks"))
+    return keep(rows.join(mixed, "bucket").select("bucket", "s", "label", "main", "blocks"), "opened")
+
+
+def by_label(rows: DataFrame) -> DataFrame:
+    """Groups of the sets of a bucket's main label, in blocks that do not depend on the bucket, with the buckets' other
+    sets as queries: each goes to a block once, however many buckets it shares with sets there."""
+    home = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    mains = rows.where("label = main").withColumn("block", home)
+    queries = rows.where("label <> main").select("bucket", "s", "label").join(mains.select("bucket", "main", "block").distinct(), "bucket").select("main", "block", "s", "label").distinct()
+    lots = queries.groupBy("main", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
+    homes = mains.select("main", "block", "s", "label").distinct().join(lots, ["main", "block"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    queries = queries.join(lots, ["main", "block"]).withColumn("lot", F.pmod(F.xxhash64("s"), F.col("lots")).cast("int"))
+    key = F.xxhash64("main", "block", "lot", F.lit("label")).alias("key")
+    none = F.array().cast("array<bigint>").alias("buckets")
+    return homes.select(key, F.col("main").alias("bucket"), F.lit(0).alias("side"), "s", "label", none).unionByName(queries.select(key, F.col("main").alias("bucket"), F.lit(1).alias("side"), "s", "label", none))
+
+
+def by_bucket(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups of the sets of a bucket that are not of its main label, in pairs of blocks, with each set's buckets
+    before this one, and the tables that they are read from. A bucket that is part of another is left to that one, which is looked for among the largest
+    buckets of its sets."""
+    own = rows.where("main is null or label <> main").select("bucket", "s", "label")
+    sizes = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "n")
+    own = keep(own.join(sizes, "bucket"), "others")
+    largest = own.groupBy("s").agg(F.max(F.struct("n", "bucket")).alias("largest"))
+    whole = own.join(largest, "s").groupBy("bucket").agg(F.min("largest.bucket").alias("first"), F.max("largest.bucket").alias("last"), F.min("largest").alias("largest"))
+    whole = keep(whole.select("bucket", F.col("largest.bucket").alias("in"), (F.col("first") == F.col("last")).alias("sure")).where("bucket <> in"), "within")
+    asked = own.join(whole.where("not sure").select("bucket", "in"), "bucket").select("bucket", "n", "s", "in")
+    found = asked.join(own.select(F.col("bucket").alias("in"), "s"), ["in", "s"]).groupBy("bucket").agg(F.count("*").alias("found"), F.max("n").alias("n")).where("found = n")
+    kept = own.join(whole.where("sure").select("bucket").unionByName(found.select("bucket")), "bucket", "left_anti")
+    kept = keep(kept.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")), "kept")
+    lists = kept.groupBy("s").agg(F.collect_list("bucket").alias("buckets"))  # no more than its prefix has shingles
+    with_ = kept.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).join(lists, "s")
     low, high = F.least("block", "with"), F.greatest("block", "with")
-    return with_.select(F.xxhash64("bucket", low, high).alias("key"), "bucket", ((F.col("block") == high) & (low < high)).cast("int").alias("side"), "s", "label")
+    before = F.filter("buckets", lambda b: b < F.col("bucket")).alias("buckets")
+    return with_.select(F.xxhash64("bucket", low, high).alias("key"), "bucket", ((F.col("block") == high) & (low < high)).cast("int").alias("side"), "s", "label", before), [own, whole, kept]
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -809,12 +844,14 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     left = keep(buckets.select("bucket", "s").join(mixed.select("bucket"), "bucket", "left_semi"), "buckets")
     forget(buckets)
     buckets, all_points = left, points
-    # a set's buckets are no more than its prefix has shingles
-    points = keep(all_points.join(buckets.groupBy("s").agg(F.collect_list("bucket").alias("buckets")), "s"), "points")
+    points = keep(all_points.join(buckets.select("s").distinct(), "s", "left_semi"), "points")
     forget(all_points)
     many, open_ = 0, buckets
     while True:
-        offered = keep(searched(by_bucket(open_, labels), points, many), "offers")
+        rows = opened(open_, labels)
+        dealt, read = by_bucket(rows)
+        offered = keep(searched(dealt.unionByName(by_label(rows)), points, many), "offers")
+        forget(*read)
         fresh = keep(offered.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
         used.append(fresh)
         if n := fresh.count():
@@ -822,8 +859,10 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             if new.limit(1).count():
                 labels = extended(labels, new)
             forget(new)
-        more = keep(offered.where("more").select("bucket").distinct(), "open")
-        forget(offered)
+        # a label's groups stand for all buckets of that main label
+        left = offered.where("more").select("bucket").distinct()
+        more = keep(rows.join(left, "bucket", "left_semi").unionByName(rows.join(left.withColumnRenamed("bucket", "main"), "main", "left_semi").select(*rows.columns)).select("bucket").distinct(), "open")
+        forget(offered, rows)
         used.append(more)
         if not more.limit(1).count():
             break
