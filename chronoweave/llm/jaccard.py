@@ -242,24 +242,39 @@ def _profile(batches):
         yield flush()
 
 
+def _stepped(steps: np.ndarray, full: int) -> np.ndarray:
+    """Steps of less than ``full``; a larger one is told by full ones before its rest."""
+    many = steps // full + 1
+    out = np.full(int(many.sum()), full, np.uint32)
+    out[np.cumsum(many) - 1] = steps % full
+    return out
+
+
 def _thinned(keys: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as steps of 16 bits, a full one being followed by more of the same step; numbers too far
-    apart for that as they are."""
+    """Sorted 32-bit numbers as steps of 16 or 24 bits, or as they are, whichever is least. Steps of 24 bits have an odd
+    length, by a byte at the end where needed; the others an even one."""
     steps = np.diff(keys.astype(np.int64), prepend=0)
-    many = steps // 65535 + 1
-    if int(many.sum()) >= 2 * len(keys):
+    two, three = (int((steps // full + 1).sum()) * width for full, width in ((0xFFFF, 2), (0xFFFFFF, 3)))
+    three += three % 2 == 0
+    if min(two, three) >= 4 * len(keys):
         return keys.astype(np.uint32).tobytes()
-    out = np.full(int(many.sum()), 65535, np.uint16)
-    out[np.cumsum(many) - 1] = steps % 65535
-    return out.tobytes()
+    if two <= three:
+        return _stepped(steps, 0xFFFF).astype(np.uint16).tobytes()
+    made = _stepped(steps, 0xFFFFFF).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return made + b"\0" * (three - len(made))
 
 
 def _thickened(steps: bytes, n: int) -> np.ndarray:
     """The n numbers that _thinned() has packed."""
     if len(steps) == 4 * n:
         return np.frombuffer(steps, np.uint32).astype(np.int64)
-    own = np.frombuffer(steps, np.uint16)
-    return np.cumsum(own, dtype=np.int64)[own < 65535]
+    if len(steps) % 2:
+        own, full = np.zeros((len(steps) // 3, 4), np.uint8), 0xFFFFFF
+        own[:, :3] = np.frombuffer(steps, np.uint8)[: 3 * len(own)].reshape(-1, 3)
+        own = own.reshape(-1).view(np.uint32)
+    else:
+        own, full = np.frombuffer(steps, np.uint16), 0xFFFF
+    return np.cumsum(own, dtype=np.int64)[own < full]
 
 
 def _second(keys: np.ndarray) -> np.ndarray:
