@@ -153,8 +153,11 @@ def edge_label_statistics(edges: DataFrame, pattern: str | None = None, continui
     rows = rows.where(F.col("from_type") == from_type) if from_type else rows
     rows = rows.where(F.col("to_type") == to_type) if to_type else rows
     is_ = lambda c: F.sum(F.when(F.col("continuity") == c, 1).otherwise(0))
-    sample = F.struct("from_id", "to_id", "from_name", "to_name")
-    pairs = rows.groupBy("label", "from_type", "to_type").agg(F.count("*").alias("n"), is_("Canon").alias("canon"), is_("Legends").alias("legends"), F.avg("weight").alias("mean"), F.sum("weight").alias("weight"), F.min(sample).alias("sample"))
+    pairs = rows.groupBy("label", "from_type", "to_type").agg(F.count("*").alias("n"), is_("Canon").alias("canon"), is_("Legends").alias("legends"), F.avg("weight").alias("mean"), F.sum("weight").alias("weight"), F.min("from_id").alias("least"))
+    # the least edge of a label is one of its least source: minima of structs would sort all edges
+    least = pairs.groupBy("label").agg(F.min("least").alias("least")).select(F.col("label").alias("_label"), "least")
+    of_least = rows.join(F.broadcast(least), F.col("label").eqNullSafe(F.col("_label")) & F.col("from_id").eqNullSafe(F.col("least")), "left_semi")  # a row for each label
+    sample = of_least.groupBy(F.col("label").alias("_label")).agg(F.min(F.struct("from_id", "to_id", "from_name", "to_name")).alias("sample"))
 
     def types(side: str) -> Column:
         """The commonest types of a side, from a label's pairs; there are no more than types by types."""
@@ -162,8 +165,9 @@ def edge_label_statistics(edges: DataFrame, pattern: str | None = None, continui
         each = F.transform(F.array_distinct(F.transform("pairs", lambda p: p[side])), lambda t: F.struct(n(t).alias("n"), t.alias("type")))
         return F.array_join(F.transform(F.slice(F.array_sort(each), 1, top), lambda x: x.type), ", ")
 
-    sums = [F.sum("n").alias("count"), F.sum("canon").alias("canon"), F.sum("legends").alias("legends"), F.round(F.avg("mean"), 6).alias("avg_weight"), F.round(F.sum("weight") / F.sum("n"), 6).alias("weighted_avg"), F.min("sample").alias("sample")]
+    sums = [F.sum("n").alias("count"), F.sum("canon").alias("canon"), F.sum("legends").alias("legends"), F.round(F.avg("mean"), 6).alias("avg_weight"), F.round(F.sum("weight") / F.sum("n"), 6).alias("weighted_avg")]
     by_label = pairs.groupBy("label").agg(*sums, F.collect_list(F.struct("from_type", "to_type", "n")).alias("pairs"))
+    by_label = by_label.join(F.broadcast(sample), F.col("label").eqNullSafe(F.col("_label")))  # a row for each label
     by_label = by_label.withColumns({"top_from_types": types("from_type"), "top_to_types": types("to_type")})
     return by_label.where(F.col("count") >= min_count).select("label", "count", "canon", "legends", "avg_weight", "weighted_avg", F.col("sample.from_name").alias("sample_from"), F.col("sample.to_name").alias("sample_to"), "top_from_types", "top_to_types").orderBy(F.desc("count"), "label")
 

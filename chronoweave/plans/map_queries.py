@@ -121,7 +121,7 @@ def inferred_years(spark, d):
 
 @query("SELECT label FROM (SELECT label, count(*) AS n FROM edges WHERE from_type = 'Order' GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, label LIMIT 3)")
 def stronger_labels(spark, d):
-    found = C.stronger_labels(G.nodes(spark, d), P.kept(G.edges(spark, d), "edges"), "Order", "Colour")
+    found = C.stronger_labels(G.nodes(spark, d), G.edges(spark, d), "Order", "Colour")
     return spark.createDataFrame([(x,) for x in found], "label string")
 
 
