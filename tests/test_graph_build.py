@@ -49,3 +49,12 @@ def test_stronger_labels_copy_nothing(spark, small, monkeypatch):
     G.edges(spark, small), G.nodes(spark, small)
     monkeypatch.setattr(P, "kept", None)
     assert catalog.QUERIES["stronger_labels"](spark, small).count() == 3
+
+
+def test_a_hop_is_capped_over_both_directions(spark):
+    """As in the view of both directions: 600 sources and one target are 500 steps in all."""
+    columns = "from_id long, to_id long, label string, reverse_label string, weight double, continuity string, from_year int, to_year int, from_realm string, to_realm string"
+    rows = [(i, 5, "in", "has", 1.0, "Canon", None, None, "Real", "Real") for i in range(100, 700)] + [(5, 1, "of", "holds", 1.0, "Canon", None, None, "Real", "Real")]
+    nodes, _ = P.neighbourhood(spark.createDataFrame(rows, columns), 5, None, 1, max_nodes=1000)
+    got = [r.id for r in nodes.where("depth = 1").orderBy("id").collect()]
+    assert got == [1, *range(100, 599)]
