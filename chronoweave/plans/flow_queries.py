@@ -64,7 +64,7 @@ def swapped_edges(spark, d):
     """Edges made anew without repeats, verified, then put in the place of the old ones, from which they are made."""
     path, edges = _own(spark, "edges"), G.bare_edges(spark, d).select("from_id", "to_id", "label", "weight")
     publish.publish({"rows": edges.unionByName(edges.where("label = 'contains'"))}, path)
-    old = publish.current(spark, path).table("rows")
+    old = publish.current(spark, path).table("rows").repartition(2 * G.parts(spark, d), "from_id", "to_id")  # as many rows a task at any size
     return sinks.swap(old.groupBy("from_id", "to_id", "label").agg(F.round(F.max("weight"), 6).alias("weight")), path, ["from_id", "to_id", "label"]).table("rows")
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 
 from . import publish
 
+#: Rows that a task verifies.
+VERIFIED = 500_000
+
 
 def replace(rows: DataFrame, path: str) -> None:
     """All old rows go, all new ones stand."""
@@ -18,10 +21,12 @@ def replace_mart(rows: DataFrame, overview: DataFrame, path: str) -> publish.Pub
 
 
 def swap(rows: DataFrame, path: str, key: list[str], name: str = "rows") -> publish.Publication:
-    """A table made anew beside the old one, which it follows only if no key is null or there twice."""
+    """A table made anew beside the old one, which it follows only if no key is null or there twice. A task verifies about
+    VERIFIED rows, whatever the table's size."""
 
     def verify(tables: dict[str, DataFrame]) -> str | None:
-        bad = tables[name].groupBy(*key).count().where(" OR ".join([f"`{k}` IS NULL" for k in key] + ["count > 1"])).limit(1).count()
+        parts = -(-tables[name].count() // VERIFIED) or 1  # the files' own counts
+        bad = tables[name].repartition(parts, *key).groupBy(*key).count().where(" OR ".join([f"`{k}` IS NULL" for k in key] + ["count > 1"])).limit(1).count()
         return f"{key} is null or repeated" if bad else None
 
     return publish.publish({name: rows}, path, verify)

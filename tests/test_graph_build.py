@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators import analytics
 from chronoweave.operators import graph as P
 from chronoweave.plans import catalog
+from chronoweave.sources import sinks
 from chronoweave.sources import testgraph as G
 
 
@@ -58,3 +60,22 @@ def test_a_hop_is_capped_over_both_directions(spark):
     nodes, _ = P.neighbourhood(spark.createDataFrame(rows, columns), 5, None, 1, max_nodes=1000)
     got = [r.id for r in nodes.where("depth = 1").orderBy("id").collect()]
     assert got == [1, *range(100, 599)]
+
+
+def test_parts_grow_with_the_items(spark, small, monkeypatch):
+    """A task's rows stay as many at any size: ten times the parts are dealt where there are ten times the bytes for each."""
+    monkeypatch.setattr(G, "PART_BYTES", 1000)
+    most = 2 * G.parts(spark, small)
+    assert most > 8 * spark.sparkContext.defaultParallelism
+    assert "hashpartitioning(from_id#" in (plan := _plan(catalog.QUERIES["duplicate_edges"](spark, small))) and f", {most})" in plan
+    assert f", {most // 2})" in _plan(G.made_nodes(spark, small))
+
+
+def test_a_swap_is_verified_in_parts(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(sinks, "VERIFIED", 10)
+    own = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: asked.append(a[0]) or own(self, *a))
+    assert sinks.swap(spark.range(95), f"{tmp_path}/t", ["id"]).table("rows").count() == 95 and 10 in asked
+    with pytest.raises(ValueError):
+        sinks.swap(spark.range(9).union(spark.range(1)), f"{tmp_path}/t", ["id"])
