@@ -90,8 +90,9 @@ def paged_listing(spark, d):
 
 
 def _index(spark, d):
-    """The inverted index of documents, made once for a folder."""
-    path = f"{P.shared(spark)}/text-index-{uuid.uuid5(uuid.NAMESPACE_URL, d).hex}"
+    """The inverted index of documents, made once for a folder and its file as it now is."""
+    state = publish.Files(spark).state(f"{d}/documents.parquet")
+    path = f"{P.shared(spark)}/text-index-{uuid.uuid5(uuid.NAMESPACE_URL, repr((d, state))).hex}"
     if not publish.current(spark, path):
         own = f"{path}/{uuid.uuid4().hex}"
         textindex.build(documents(spark, d), own)
