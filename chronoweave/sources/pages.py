@@ -6,7 +6,7 @@ import html.parser
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import pandas as pd
@@ -56,6 +56,12 @@ def parse_value(text: str | None, base: str = "") -> tuple[list[str], list[tuple
     return list(values), list(links)
 
 
+@lru_cache(1 << 12)
+def _known(text: str | None, base: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """parse_value() of what repeats, such as labels; what it gives must not be changed."""
+    return parse_value(text, base)
+
+
 def parse_infobox(text: str | None, base: str = "") -> dict | None:
     """Template, ImageUrl and Data of an infobox's JSON, whatever groups its items are nested in; None if broken."""
     try:
@@ -109,19 +115,23 @@ def infoboxes(pages: DataFrame, id_col: str, json_col: str, base: str = "") -> D
 
 #: Levels of groups that infobox_rows() follows in the JVM; deeper pages are parsed one by one.
 DEPTH = 10
+#: Values of at most so many characters are remembered when they have been read.
+SHORT = 100
 _GROUPS, _LEAVES = ("group", "section", "panel"), ("data", "title", "image", "navigation")
 
 
 def infobox_rows(pages: DataFrame, id_col: str, json_col: str, base: str = "", depth: int = DEPTH) -> DataFrame:
     """The same as infoboxes(), with the JSON walked as variants: each level of nesting is one explode in the JVM, and Python
     sees the HTML of values only. Pages that variants can't hold (such as repeated keys) or that are nested beyond ``depth`` go
-    through infoboxes(), so the result is whole. Ids must be distinct and not null."""
+    through parse_infobox(), so the result is whole. Pages are dealt by id first, as a file may hold them in one stretch; all that
+    follows stays where they are, and each is walked once. Ids must be distinct and not null."""
     from ..operators.build import INFOBOX
 
+    spark = pages.sparkSession
     get = lambda v, path, kind: F.try_variant_get(v, path, kind)
     is_object = lambda v: get(v, "$", "map<string,variant>").isNotNull()
     none, step = F.lit(None).cast("variant"), "array<struct<path:array<int>,v:variant,kind:string,data:variant>>"
-    rows = pages.select(F.col(id_col).cast("long").alias("pageId"), F.col(json_col).alias("json"))
+    rows = pages.select(F.col(id_col).cast("long").alias("pageId"), F.col(json_col).alias("json")).repartition(2 * spark.sparkContext.defaultParallelism, "pageId")
     items = rows.select("pageId", F.array().cast("array<int>").alias("path"), F.try_parse_json("json").alias("v"), F.lit(None).cast("string").alias("kind"), none.alias("data")).where("v IS NOT NULL")
     for _ in range(2 * depth + 1):  # a group and its list are two steps; leaves that are found go along as they are
         v, path = F.col("v"), F.col("path")
@@ -140,11 +150,15 @@ def infobox_rows(pages: DataFrame, id_col: str, json_col: str, base: str = "", d
     def read(value: pd.Series, label: pd.Series) -> pd.DataFrame:
         out = []
         for v, text in zip(value, label, strict=True):
-            values, links = parse_value(v, base)
-            named, _ = parse_value(text, base)
+            values, links = parse_value(v, base) if v and len(v) > SHORT else _known(v, base)
+            named, _ = parse_value(text, base) if text and len(text) > SHORT else _known(text, base)
             out.append((values, [{"Content": c, "Href": h} for c, h in links], named[0] if named else None))
         return pd.DataFrame(out, columns=["values", "links", "label"])
 
+    @F.pandas_udf(f"struct<box:{INFOBOX}>")
+    def whole_page(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"box": [parse_infobox(x, base) for x in text]})
+
     kind, data = F.col("kind"), F.col("data")
     valued, pictures = kind.isin("data", "title") & is_object(data), get(data, "$", "array<variant>")
     told = items.select(
@@ -165,11 +179,11 @@ def infobox_rows(pages: DataFrame, id_col: str, json_col: str, base: str = "", d
         F.max("deeper").alias("deeper"),
     )
     # of images the first with a url, else what the last one has
-    made = rows.select("pageId", (F.try_parse_json("json").isNull() | F.is_variant_null(F.try_parse_json("json"))).alias("odd")).join(found, "pageId", "left")
+    made = rows.select("pageId", "json", (F.try_parse_json("json").isNull() | F.is_variant_null(F.try_parse_json("json"))).alias("odd")).join(found.hint("shuffle_merge"), "pageId", "left")
     box = F.struct(F.col("place.template").alias("Template"), F.coalesce("first.url", "last.url").alias("ImageUrl"), F.coalesce(F.transform("entries", lambda e: e.x), F.array()).alias("Data"))
-    whole = ~F.col("odd") & ~F.coalesce("deeper", F.lit(False))
-    fine = made.where(whole).select("pageId", box.cast(INFOBOX).alias("infobox"))
-    return fine.unionByName(infoboxes(rows.join(made.where(~whole).select("pageId"), "pageId", "left_semi"), "pageId", "json", base))
+    told = made.select("pageId", box.cast(INFOBOX).alias("walked"), (~F.col("odd") & ~F.coalesce("deeper", F.lit(False))).alias("whole"), "json")
+    told = told.select("pageId", "walked", "whole", whole_page(F.when(~F.col("whole"), F.col("json"))).alias("parsed"))  # nulls but for the others
+    return told.select("pageId", F.when(F.col("whole"), F.col("walked")).otherwise(F.col("parsed.box")).alias("infobox"))
 
 
 #: Parts of categories, in any case, that mark pages about the real world. A wiki's own go in ``more``.

@@ -39,3 +39,15 @@ def test_variants_against_the_walk(spark):
     for i, text in enumerate(texts):
         assert got[i] == want[i], (i, text)
     assert len(want[122]["Data"]) == 9 and any(w and w["Template"] for w in want.values()) and any(w and w["ImageUrl"] for w in want.values())
+
+
+def test_pages_are_dealt_and_walked_once(spark):
+    """Pages that lie in one stretch are dealt by id, which is the only exchange; no level is walked for a second branch."""
+    text = json.dumps(nested(2))
+    df = spark.range(0, 500, 1, 1).selectExpr("id", f"'{text}' AS json")
+    made = pages.infobox_rows(df, "id", "json")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 2 * pages.DEPTH + 1
+    assert made.select("infobox").distinct().count() == 1 and made.count() == 500
+    physical = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pageId" in physical and "SinglePartition" not in physical and physical.count("Exchange rangepartitioning") == 0
