@@ -188,27 +188,29 @@ def export_batches(rows: DataFrame, key: str, line: str, most_bytes: int = 150 <
     """key, line and batch: JSON lines in files by size and number. Lines of a stretch are walked by key; a batch ends
     with ``most_rows`` lines or with the line that brings it to ``most_bytes``, so none is over by more than a line.
     Stretches of keys (by hash) are walked apart; each ends with a file that may not be full, so without a given number there is one
-    for PER_STRETCH full batches, which the rows and bytes tell. A task holds one batch of rows."""
+    for PER_STRETCH full batches, which the rows and bytes tell. Python sees stretches and sizes, never the lines."""
     if stretches is None:
         all_ = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).alias("bytes")).first()
         stretches = max(1, round(max(all_["n"] / most_rows, all_["bytes"] / most_bytes) / PER_STRETCH))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def walk(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         own, part, lines, size = None, 0, 0, 0
-        for f in frames:
+        for stretches_, sizes in batches:
             out = []
-            for stretch, n in zip(f["stretch"], f["size"], strict=True):
+            for stretch, n in zip(stretches_, sizes, strict=True):
                 if stretch != own:
                     own, part, lines, size = stretch, 0, 0, 0
                 elif lines >= most_rows or size >= most_bytes:
                     part, lines, size = part + 1, 0, 0
                 lines, size = lines + 1, size + n
                 out.append(f"{stretch}-{part}")
-            yield f.assign(batch=out)[[key, line, "batch"]]
+            yield pd.Series(out, dtype=object)
 
     sized = rows.select(key, line, F.pmod(F.xxhash64(key), F.lit(stretches)).cast("long").alias("stretch"), F.coalesce(F.octet_length(line), F.lit(0)).cast("long").alias("size"))
-    kind = sized.select(key, line, F.lit("").alias("batch")).schema
-    return sized.repartition("stretch").sortWithinPartitions("stretch", key, line).mapInPandas(run, kind)
+    dealt = sized.repartition("stretch").sortWithinPartitions("stretch", key, line)
+    # the order of rows counts, which only a function that is not deterministic tells Spark
+    return dealt.select(key, line, walk.asNondeterministic()("stretch", "size").alias("batch"))
 
 
 def import_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
