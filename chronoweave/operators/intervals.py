@@ -55,6 +55,18 @@ def point_in_span(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     return flat(probes).join(flat(cut), keys).drop("_level", "_place")
 
 
+def sums_at_points(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, sums: list[str]) -> DataFrame:
+    """``at`` and, under their own names, the sums of the spans' columns over all spans that hold each distinct point; points in no span are left
+    out. Unlike point_in_span() no row is made for a hit: equal spans are added up first, then the spans of each bin, so that a point
+    meets at most one row of each level."""
+    add = lambda df, *by: df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+    cut = add(spans.select(start, end, *sums), start, end).withColumn("_bin", F.explode(bins_of_span(F.col(start), F.col(end))))
+    bins = add(cut.select(F.col("_bin.level").alias("_level"), F.col("_bin.bin").alias("_place"), *sums), "_level", "_place")
+    probes = points.select(at).distinct().withColumn("_bin", F.explode(bins_of_point(F.col(at))))
+    met = probes.select(at, F.col("_bin.level").alias("_level"), F.col("_bin.bin").alias("_place")).join(bins, ["_level", "_place"])
+    return add(met, at)
+
+
 def governments_in(years: DataFrame, governments: DataFrame) -> DataFrame:
     """year, id: the governments there were in each year (those without a start are in none)."""
     return point_in_span(years.select("year"), governments.where("start_year IS NOT NULL").select("id", "start_year", "end_year"), "year", "start_year", "end_year").select("year", "id")

@@ -128,8 +128,8 @@ def orders_open_by_day(spark, d):
     shipped = table(spark, d, "lineitem", "l_orderkey", number("l_shipdate").alias("last")).groupBy("l_orderkey").agg(F.max("last").alias("last"))
     orders = table(spark, d, "orders", F.col("o_orderkey").alias("l_orderkey"), number("o_orderdate").alias("first"), "o_totalprice").join(shipped, "l_orderkey")
     spans = orders.withColumn("last", F.when(F.col("l_orderkey") % 50 != 0, F.col("last")))
-    hits = intervals.point_in_span(days, spans, "day", "first", "last")
-    return hits.groupBy("day").agg(F.count("*").alias("open"), F.round(F.sum("o_totalprice"), 2).alias("price")).select(F.date_from_unix_date("day").cast("string").alias("day"), "open", "price")
+    hits = intervals.sums_at_points(days, spans.select("first", "last", F.lit(1).alias("open"), "o_totalprice"), "day", "first", "last", ["open", "o_totalprice"])
+    return hits.select(F.date_from_unix_date("day").cast("string").alias("day"), "open", F.round("o_totalprice", 2).alias("price"))
 
 
 _YEARS = "(SELECT DISTINCT start_year AS year FROM nodes WHERE start_year IS NOT NULL UNION SELECT DISTINCT end_year FROM nodes WHERE end_year IS NOT NULL)"
