@@ -29,7 +29,9 @@ from ._base import batch, binary, pieces
 
 #: Bytes of pieces and their ids, and pairs of neighbours, that a worker remembers; longer pieces than LONG are not
 #: remembered. Text at once. A rank file may have MAX_RANKS_MB.
-MEMO_BYTES, PAIRS, LONG, STEP, MAX_RANKS_MB = 4 << 20, 200_000, 64, 2 << 20, 64
+MEMO_BYTES, PAIRS, LONG, STEP, MAX_RANKS_MB = 8 << 20, 400_000, 64, 2 << 20, 64
+#: Above all ranks; characters of a text that is split into a list of all its pieces.
+NONE, LISTED = 1 << 40, 1 << 20
 
 
 class Codec(dict):
@@ -37,7 +39,7 @@ class Codec(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.bytes_of, self.split = ranks, {i: b for b, i in ranks.items()}, regex.compile(pattern).finditer
+        self.ranks, self.bytes_of, self.split = ranks, {i: b for b, i in ranks.items()}, regex.compile(pattern)
         self.held = 0
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no rank for the bytes {missing[:5]}")
@@ -52,12 +54,16 @@ class Codec(dict):
 
     def merged(self, raw: bytes) -> list[int]:
         """The merges as defined: join the neighbours of lowest rank, leftmost first, until none can be joined."""
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
-                break
+        parts, rank_of = [raw[i : i + 1] for i in range(len(raw))], self.ranks.get
+        joined = [rank_of(raw[i : i + 2], NONE) for i in range(len(raw) - 1)]
+        while joined and (rank := min(joined)) < NONE:
+            at = joined.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]  # a merge changes the ranks beside it alone
+            if at < len(joined):
+                joined[at] = rank_of(parts[at] + parts[at + 1], NONE)
+            if at:
+                joined[at - 1] = rank_of(parts[at - 1] + parts[at], NONE)
         return [self.ranks[p] for p in parts]
 
     def fits(self, left: int, token: int) -> bool:
@@ -109,8 +115,10 @@ class Codec(dict):
         """The ids of a text, packed as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if len(text) <= LISTED and not self.split.groups:
+            return b"".join(map(self.__getitem__, self.split.findall(text)))
         out = bytearray()  # grows in place: a very long text needs no list of all its pieces
-        for match in self.split(text):
+        for match in self.split.finditer(text):
             out += self[match[0]]
         return bytes(out)
 
